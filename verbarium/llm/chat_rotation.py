@@ -15,36 +15,15 @@ numbers come first; system turns alone have no perspective and give no row; extr
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import running
 
 SYSTEM = ("system",)
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
-def running(df: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
-    """`df` with `before` (sum of `value` over the earlier rows of the group) and `seq` (their number).
-
-    Rows are dealt by ranges of (group, order), so large groups span several ranges. Inside a range a window sums; of groups that
-    span ranges (two for each range at most) the sums of the earlier ranges are added.
-    """
-    placed = stage(df.repartitionByRange(*group, *order).withColumn("range_no", F.spark_partition_id()), "ranges")
-    inside = Window.partitionBy(*group, "range_no").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("long")
-    local = placed.withColumn("before", F.coalesce(F.sum(value).over(inside), zero)).withColumn("seq", F.count(F.lit(1)).over(inside))
-    totals = placed.groupBy(*group, "range_no").agg(F.sum(value).alias("v"), F.count(F.lit(1)).alias("c"))
-    over = Window.partitionBy(*group).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = totals.withColumn("v0", F.sum("v").over(over)).withColumn("c0", F.sum("c").over(over)).where("c0 > 0")
-    shifts = shifts.select(*[F.col(g).alias(f"s_{g}") for g in group], F.col("range_no").alias("s_range"), "v0", "c0")
-    same = F.col("range_no") == F.col("s_range")
-    for g in group:
-        same = same & F.col(g).eqNullSafe(F.col(f"s_{g}"))
-    out = local.join(shifts, same, "left")
-    return out.select(*df.columns, (F.col("before") + F.coalesce("v0", zero)).alias("before"), (F.col("seq") + F.coalesce("c0", zero)).alias("seq"))
-
-
 def rotate(conversations: DataFrame, system_roles: tuple[str, ...] = SYSTEM) -> DataFrame:
     """conv_id, perspective, seq, turn, speaker, role, segment, start, length, mask_start, mask_length (characters; length 0: no mask)."""
     speaker = F.coalesce("role", F.lit("unknown"))

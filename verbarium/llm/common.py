@@ -85,3 +85,59 @@ def only(docs: DataFrame, keep: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
+
+
+# -- ordered running sums --------------------------------------------------------------------------------------------------------
+
+
+def running(df: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
+    """`df` with `before` (sum of `value` over the earlier rows of the group) and `seq` (their number).
+
+    Rows are dealt by ranges of (group, order), so large groups span several ranges. Inside a range a window sums; of groups that
+    span ranges (two for each range at most) the sums of the earlier ranges are added.
+    """
+    placed = stage(df.repartitionByRange(*group, *order).withColumn("range_no", F.spark_partition_id()), "ranges")
+    inside = Window.partitionBy(*group, "range_no").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    zero = F.lit(0).cast("long")
+    local = placed.withColumn("before", F.coalesce(F.sum(value).over(inside), zero)).withColumn("seq", F.count(F.lit(1)).over(inside))
+    totals = placed.groupBy(*group, "range_no").agg(F.sum(value).alias("v"), F.count(F.lit(1)).alias("c"))
+    over = Window.partitionBy(*group).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = totals.withColumn("v0", F.sum("v").over(over)).withColumn("c0", F.sum("c").over(over)).where("c0 > 0")
+    shifts = shifts.select(*[F.col(g).alias(f"s_{g}") for g in group], F.col("range_no").alias("s_range"), "v0", "c0")
+    same = F.col("range_no") == F.col("s_range")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"s_{g}"))
+    out = local.join(shifts, same, "left")
+    return out.select(*df.columns, (F.col("before") + F.coalesce("v0", zero)).alias("before"), (F.col("seq") + F.coalesce("c0", zero)).alias("seq"))
+
+
+# -- artifacts of bounded size ---------------------------------------------------------------------------------------------------
+
+
+def publish(spark: SparkSession, name: str, data: bytes) -> str:
+    """Write a model file (of bounded size) to the shared folder; its URI."""
+    import pyarrow.fs as pafs
+
+    uri = fresh_dir(spark, name)
+    fs, root = pafs.FileSystem.from_uri(uri)
+    fs.create_dir(root, recursive=True)
+    with fs.open_output_stream(f"{root}/{name}") as f:
+        f.write(data)
+    return f"{uri}/{name}"
+
+
+def open_mapped(uri: str) -> memoryview:
+    """The bytes of a published file: memory-mapped where the shared folder is mounted, else read into an anonymous map."""
+    import mmap
+
+    import pyarrow.fs as pafs
+
+    fs, path = pafs.FileSystem.from_uri(uri)
+    if isinstance(fs, pafs.LocalFileSystem):
+        with open(path, "rb") as f:
+            return memoryview(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+    with fs.open_input_stream(path) as f:
+        data = f.read()
+    held = mmap.mmap(-1, max(1, len(data)))
+    held.write(data)
+    return memoryview(held)[: len(data)]

@@ -1,12 +1,14 @@
 """The registered queries of the training-data operators and, where SQL can express them, their SQL."""
 
-from . import chat_rotation, exact_dedup, quality_rules, token_counts, warc
+from . import bpe_lexicon, chat_rotation, exact_dedup, packing, quality_rules, token_counts, warc
 
 QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_warc": warc.op3_warc,
     "op6_chat_rotation": chat_rotation.op6_chat_rotation,
+    "op7_bpe_lexicon": bpe_lexicon.op7_bpe_lexicon,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
+    "op10_packing": packing.op10_packing,
 }
 SQL = {**warc.SQL, **chat_rotation.SQL, **exact_dedup.SQL}
