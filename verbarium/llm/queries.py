@@ -1,10 +1,12 @@
 """The registered queries of the training-data operators and, where SQL can express them, their SQL."""
 
-from . import bpe_lexicon, chat_rotation, exact_dedup, packing, quality_rules, token_counts, warc
+from . import bpe_lexicon, chat_rotation, exact_dedup, language_id, packing, quality_mil, quality_rules, token_counts, warc
 
 QUERIES = {
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_warc": warc.op3_warc,
+    "op4_language_id": language_id.op4_language_id,
+    "op5_quality_mil": quality_mil.op5_quality_mil,
     "op6_chat_rotation": chat_rotation.op6_chat_rotation,
     "op7_bpe_lexicon": bpe_lexicon.op7_bpe_lexicon,
     "op8_quality_rules": quality_rules.op8_quality_rules,
