@@ -1,8 +1,9 @@
 """The registered queries of the training-data operators and, where SQL can express them, their SQL."""
 
-from . import bpe_lexicon, chat_rotation, exact_dedup, language_id, packing, quality_mil, quality_rules, token_counts, warc
+from . import bpe_lexicon, chat_rotation, exact_dedup, language_id, packing, quality_mil, quality_rules, simhash, token_counts, warc
 
 QUERIES = {
+    "op1_simhash_golay": simhash.op1_simhash_golay,
     "op2_token_counts": token_counts.op2_token_counts,
     "op3_warc": warc.op3_warc,
     "op4_language_id": language_id.op4_language_id,
