@@ -4,8 +4,8 @@ An archive starts with a skippable frame (magic 0x184D2A5D) that holds the dicti
 frame for each record. The reader loads the dictionary, decodes frame by frame, and validates version line, mandatory headers,
 Content-Length against the block, the record's closing blank lines, and block and payload digests.
 
-Archives lie in a shared folder. A shard of rows is hash-partitioned, sorted and rolled over at a fixed size, so a task that runs again
-after the loss of an executor writes the same bytes under the same names; each file is written aside and then renamed.
+Archives lie in a shared folder. The rows of a task are sorted and rolled over at a fixed size, so a task that runs again after the loss
+of an executor writes the same bytes under the same names; each file is written aside and then renamed.
 
 Defined cases: null html is an empty payload; a null url becomes `urn:page:<id>`; a null page_id is left without one (the record then
 refers by digest) and sorts last; of rows that repeat page_id and payload one is the response and the rest revisit it; extra columns are ignored.
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import fresh_dir, small_batches, stage
@@ -31,7 +31,7 @@ ZSTD = b"\x28\xb5\x2f\xfd"
 MIN_PAYLOAD = 100
 #: Bytes of frames after which the next archive begins; an archive is read as one value.
 ROLL = 16 << 20
-#: The dictionary is trained on payloads of this many pages with the smallest hash, a bounded sample; of each this many characters.
+#: The dictionary is trained on payloads of about this many pages, a bounded sample picked by hash; of each this many characters.
 SAMPLE_PAGES, SAMPLE_CHARS, DICT_BYTES = 400, 8000, 32 << 10
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -181,25 +181,27 @@ def train(samples: list[bytes]) -> bytes:
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
-    """page_id, url, html, digest, first_id, shared: what each page's record depends on.
+    """page_id, url, html, digest, first_id, shared, copy: what each page's record depends on.
 
-    Digests are grouped with a combiner; a payload that a third of all pages share is one row of the grouped side of a join that Spark
-    may split.
+    Which digests are shared, and from which page on, is found on digests alone: they are grouped with a combiner, and a payload that a
+    third of all pages share is one row of the grouped side of a join that Spark may split. The html is shuffled once, by page and digest,
+    where rows that repeat a page are numbered.
     """
-    html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", html.alias("html")).withColumn("digest", F.sha2("html", 256))
+    key = F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("key")
+    rows = pages.select(key, "page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha2("html", 256))
+    slim = rows.where(F.octet_length("html") >= MIN_PAYLOAD).select("key", "page_id", "digest")
     order = F.struct(F.col("page_id").isNull().alias("a"), F.col("page_id").alias("b"))
-    first = rows.where(F.octet_length("html") >= MIN_PAYLOAD).groupBy("digest").agg(F.min(order).alias("o"), F.count(F.lit(1)).alias("n"))
-    first = first.where("n > 1").select("digest", F.col("o.b").alias("first_id"), F.lit(True).alias("shared"))
-    return rows.join(first, "digest", "left").select("page_id", "url", "html", "digest", "first_id", F.coalesce("shared", F.lit(False)).alias("shared"))
+    first = slim.groupBy("digest").agg(F.min(order).alias("o"), F.count(F.lit(1)).alias("n"))
+    first = first.where("n > 1").select("digest", F.col("o.b").alias("first_id"))
+    shared = slim.join(first, "digest").select("key", "digest", "first_id", F.lit(True).alias("shared")).distinct()
+    joined = rows.hint("merge").join(shared, ["key", "digest"], "left")
+    copies = Window.partitionBy("key", "digest").orderBy("url")
+    return joined.select("page_id", "url", "html", "digest", "first_id", F.coalesce("shared", F.lit(False)).alias("shared"), F.row_number().over(copies).alias("copy"))
 
 
-def write_archives(records: DataFrame, path: str, shards: int, dictionary: bytes, roll: int = ROLL) -> DataFrame:
+def write_archives(records: DataFrame, path: str, dictionary: bytes, roll: int = ROLL) -> DataFrame:
     """Write the rows of plan_records() as archives `shard-*.warc.zst` below `path` (any URI that pyarrow knows); a row for each file.
-
-    Rows that repeat page and payload meet in a shard, next to each other: the first is the response.
-    """
-    dealt = records.repartition(shards, "page_id", "digest").sortWithinPartitions("page_id", "digest", "url")
+    The rows of a task come sorted, so a task that runs again writes the same files."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -223,21 +225,17 @@ def write_archives(records: DataFrame, path: str, shards: int, dictionary: bytes
             frames, size, number = [], 0, number + 1
             return out
 
-        last, copy = None, 1
         for batch in batches:
             for r in batch.to_pylist():
-                key = (r["page_id"], r["digest"])
-                copy = copy + 1 if key == last else 1
-                last = key
-                revisit = r["shared"] and (r["page_id"] != r["first_id"] or copy > 1)
-                frames.append(engine.compress(build_record(r["page_id"], copy, r["url"], r["html"].encode(), r["digest"], r["first_id"] if revisit else None, revisit)))
+                revisit = r["shared"] and (r["page_id"] != r["first_id"] or r["copy"] > 1)
+                frames.append(engine.compress(build_record(r["page_id"], r["copy"], r["url"], r["html"].encode(), r["digest"], r["first_id"] if revisit else None, revisit)))
                 size += len(frames[-1])
                 if size >= roll:
                     yield close()
         if frames:
             yield close()
 
-    return dealt.mapInArrow(run, "file string, records long, bytes long")
+    return records.mapInArrow(run, "file string, records long, bytes long")
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
@@ -261,14 +259,14 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, target_uri string, record_id string, payload binary")
 
 
-def archive_pages(pages: DataFrame, path: str, shards: int | None = None) -> DataFrame:
-    """Write all pages as archives below `path`; the files written."""
-    spark = pages.sparkSession
-    small_batches(spark)
-    sample = pages.where("html is not null").select(F.substring("html", 1, SAMPLE_CHARS).alias("h")).orderBy(F.xxhash64("h")).limit(SAMPLE_PAGES)
+def archive_pages(pages: DataFrame, path: str) -> DataFrame:
+    """Write all pages as archives below `path`; the files written: file, records, bytes."""
+    small_batches(pages.sparkSession)
+    total = max(1, pages.count())
+    picked = pages.where("html is not null").where(F.pmod(F.xxhash64("page_id", "url"), F.lit(total)) < 2 * SAMPLE_PAGES)
+    sample = picked.select(F.substring("html", 1, SAMPLE_CHARS).alias("h")).limit(SAMPLE_PAGES)
     dictionary = train([r.h.encode() for r in sample.collect()])
-    count = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return stage(write_archives(plan_records(pages), path, count, dictionary), "warc-files")
+    return stage(write_archives(plan_records(pages), path, dictionary), "warc-files")
 
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:
