@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans import corpus_queries
+
+QUERIES: dict = {**corpus_queries.QUERIES}
+SQL: dict[str, str] = {**corpus_queries.SQL}
