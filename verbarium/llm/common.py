@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..plans.staging import fresh_dir, running, shared_dir, stage  # noqa: F401
+
 #: ASCII white space of the word rule `[^\x20\x09-\x0D]+`.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
@@ -18,32 +18,6 @@ SPACE_BYTES = b" \t\n\x0b\x0c\r"
 #: Rows of an Arrow batch. Whole texts travel in batches, so the bound on rows is what keeps a Python worker small.
 BATCH_ROWS = 500
 
-_fallback: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """URI of a folder that driver and executors share: spark.checkpoint.dir, or (only where unset, as in tests) a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not _fallback:
-        _fallback.append("file://" + tempfile.mkdtemp(prefix="verbarium-"))
-    return _fallback[0]
-
-
-def fresh_dir(spark: SparkSession, name: str) -> str:
-    """URI of a folder in the shared one that no other call uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet to the shared folder and read it back: cuts the lineage, survives lost executors, fixes anything that a
-    recomputation could order differently. The files stay until the folder is cleaned, as the result may be read late."""
-    path = fresh_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the rows of an Arrow batch for this session; whole texts of some 100 kB then need tens of MB at most in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -87,30 +61,6 @@ def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-# -- ordered running sums --------------------------------------------------------------------------------------------------------
-
-
-def running(df: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
-    """`df` with `before` (sum of `value` over the earlier rows of the group) and `seq` (their number).
-
-    Rows are dealt by ranges of (group, order), so large groups span several ranges. Inside a range a window sums; of groups that
-    span ranges (two for each range at most) the sums of the earlier ranges are added.
-    """
-    placed = stage(df.repartitionByRange(*group, *order).withColumn("range_no", F.spark_partition_id()), "ranges")
-    inside = Window.partitionBy(*group, "range_no").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0).cast("long")
-    local = placed.withColumn("before", F.coalesce(F.sum(value).over(inside), zero)).withColumn("seq", F.count(F.lit(1)).over(inside))
-    totals = placed.groupBy(*group, "range_no").agg(F.sum(value).alias("v"), F.count(F.lit(1)).alias("c"))
-    over = Window.partitionBy(*group).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = totals.withColumn("v0", F.sum("v").over(over)).withColumn("c0", F.sum("c").over(over)).where("c0 > 0")
-    shifts = shifts.select(*[F.col(g).alias(f"s_{g}") for g in group], F.col("range_no").alias("s_range"), "v0", "c0")
-    same = F.col("range_no") == F.col("s_range")
-    for g in group:
-        same = same & F.col(g).eqNullSafe(F.col(f"s_{g}"))
-    out = local.join(shifts, same, "left")
-    return out.select(*df.columns, (F.col("before") + F.coalesce("v0", zero)).alias("before"), (F.col("seq") + F.coalesce("c0", zero)).alias("seq"))
-
-
 # -- artifacts of bounded size ---------------------------------------------------------------------------------------------------
 
 
