@@ -48,35 +48,40 @@ def compile_words(words: list[bytes], ids: list[list[int]]) -> bytes:
         path[k - 1][1].append((last[k - 1], settle(path.pop())))
     root = settle(path.pop())
 
-    first, labels, targets, outs, finals = [0], bytearray(), [], [], bytearray()
-    for final, arcs in states:
+    n, finals = len(states), bytearray(final for final, _ in states)
+    bits, base = np.zeros((n, 4), dtype=np.uint64), np.zeros((n, 4), dtype=np.int32)
+    targets, outs = [], []
+    for at, (final, arcs) in enumerate(states):
         gone = int(final)
-        finals.append(final)
-        for label, target in arcs:
-            labels.append(label)
+        base[at] = len(targets)
+        for label, target in arcs:  # labels ascend
+            bits[at, label >> 6] |= np.uint64(1 << (label & 63))
+            base[at, (label >> 6) + 1 :] += 1
             targets.append(target)
             outs.append(gone)
             gone += sizes[target]
-        first.append(len(labels))
     offsets = np.cumsum([0] + [len(ids[i]) for i in order])
     flat = [x for i in order for x in ids[i]]
-    parts = [np.asarray(x, dtype="<i4").tobytes() for x in (first, targets, outs, offsets, flat)] + [bytes(labels), bytes(finals)]
-    return MAGIC + struct.pack("<8i", root, *map(len, parts)) + b"".join(parts)
+    parts = [bits.tobytes(), *(np.asarray(x, dtype="<i4").tobytes() for x in (base, targets, outs, offsets, flat)), bytes(finals)]
+    return MAGIC + struct.pack("<9i", root, *map(len, parts), 0) + b"".join(parts)
 
 
 class Automaton:
-    """Look-ups in a compiled file, given as a (memory-mapped) buffer; nothing of it is copied."""
+    """Look-ups of many strings at once in a compiled file, given as a (memory-mapped) buffer; nothing of it is copied.
+
+    A state's arcs are a bitmap of 256 labels; an arc's place is the state's base plus the number of smaller labels. All strings take a step
+    at a time, in arrays.
+    """
 
     def __init__(self, data: memoryview):
         if bytes(data[:4]) != MAGIC:
             raise ValueError("not a transducer file")
-        self.root, *sizes = struct.unpack_from("<8i", data, 4)
-        parts, at = [], 36
-        for n in sizes:
-            parts.append(data[at : at + n])
+        self.root, *sizes, _ = struct.unpack_from("<9i", data, 4)
+        parts, at = [], 40
+        for n, kind in zip(sizes, ("<u8", "<i4", "<i4", "<i4", "<i4", "<i4", "u1")):
+            parts.append(np.frombuffer(data, dtype=kind, count=n // np.dtype(kind).itemsize, offset=at))
             at += n
-        self.first, self.targets, self.outs, self.offsets, self.ids = (p.cast("B").cast("i") for p in parts[:5])
-        self.labels, self.finals = parts[5:]
+        self.bits, self.base, self.targets, self.outs, self.offsets, self.ids, self.finals = parts
 
     def __len__(self) -> int:
         return len(self.offsets) - 1
@@ -85,16 +90,31 @@ class Automaton:
     def n_states(self) -> int:
         return len(self.finals)
 
+    def step(self, state: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which states have an arc with their label, and these arcs."""
+        cell = (state << 2) + (label >> 6)
+        word, bit = self.bits[cell], np.uint64(1) << (label & 63).astype(np.uint64)
+        on = (word & bit) != 0
+        return on, (self.base[cell] + np.bitwise_count(word & (bit - np.uint64(1))))[on]
+
+    def ranks(self, starts: np.ndarray, lengths: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Rank of each string data[start : start + length] among the words; -1 for strings that are none."""
+        out = np.full(len(starts), -1, dtype=np.int64)
+        at, left = starts.astype(np.int64), lengths.astype(np.int64)
+        row, state, rank = np.arange(len(starts)), np.full(len(starts), self.root, dtype=np.int64), np.zeros(len(starts), dtype=np.int64)
+        while len(row):
+            done = left == 0
+            if done.any():
+                whole = done & (self.finals[state] == 1)
+                out[row[whole]] = rank[whole]
+                on = ~done
+                row, at, left, state, rank = row[on], at[on], left[on], state[on], rank[on]
+            on, arc = self.step(state, data[at])
+            row, at, left, rank = row[on], at[on], left[on], rank[on]
+            rank, state, at, left = rank + self.outs[arc], self.targets[arc].astype(np.int64), at + 1, left - 1
+        return out
+
     def get(self, word: bytes) -> list[int] | None:
-        first, labels, state, rank = self.first, self.labels, self.root, 0
-        for b in word:
-            k, end = first[state], first[state + 1]
-            while k < end and labels[k] < b:
-                k += 1
-            if k == end or labels[k] != b:
-                return None
-            rank += self.outs[k]
-            state = self.targets[k]
-        if not self.finals[state]:
-            return None
-        return self.ids[self.offsets[rank] : self.offsets[rank + 1]].tolist()
+        """The ids of one word."""
+        rank = int(self.ranks(np.zeros(1, dtype=np.int64), np.array([len(word)]), np.frombuffer(word, dtype=np.uint8))[0])
+        return None if rank < 0 else self.ids[self.offsets[rank] : self.offsets[rank + 1]].tolist()

@@ -1,8 +1,8 @@
 """Byte-pair encoding and decoding with a lexicon transducer.
 
-The words of the whole corpus are counted; the most frequent ones (a bounded number) are compiled, with the ids of their tokens, into a
-minimal acyclic transducer, which executors map into memory. Words that are not in it are merged exactly, pair by pair in the order of
-the vocabulary's merges. Texts are split at white space first, and each worker remembers a bounded number of such pieces.
+White-space pieces and words of the whole corpus are counted; the most frequent ones (a bounded number) are compiled, with the ids of
+their tokens, into a minimal acyclic transducer, which executors map into memory. Words that are not in it are merged exactly, pair by pair
+in the order of the vocabulary's merges, and each worker remembers a bounded number of them.
 
 Normalising, splitting and merging are done here for the characters of PLAIN, for which the tests compare them with the library one by one;
 a piece with any other character is given to the library.
@@ -22,7 +22,9 @@ from collections.abc import Iterator
 from functools import lru_cache
 from struct import pack
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +32,10 @@ from .automaton import Automaton, compile_words
 from .common import as_texts, map_batches, open_mapped, publish, small_batches, stage
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words in the transducer at most.
-LEXICON = 1 << 16
-#: White-space pieces, and words, that a worker remembers at most.
-CACHE = 500_000
+#: White-space pieces, and words, in the transducer at most.
+LEXICON = 1 << 18
+#: Merged words that a worker remembers at most.
+CACHE = 400_000
 
 PLAIN = re.compile(r"[\x21-\x7e¡-įı-ž‐-‧‰-⁞₠-₿]*")
 #: What Python splits at as white space and the library does not, or the other way round: such texts go to the library whole.
@@ -112,6 +114,20 @@ class Merger:
         return [x for x, on in zip(part, alive) if on]
 
 
+def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers start .. start + length - 1 of all spans, one after the other."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
+
+
+def _strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, lengths and bytes of a string array without nulls."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return ends[:-1], np.diff(ends), np.frombuffer(data, dtype=np.uint8) if data else np.zeros(1, dtype=np.uint8)
+
+
 class _Remembered(dict):
     """Key -> what `make` gives for it; of two generations of CACHE / 2 keys the older one goes when the younger is full."""
 
@@ -132,9 +148,13 @@ class _Remembered(dict):
 
 
 class Encoder:
-    """Texts to ids and back, as the tokenizers library does for the vocabulary without added special tokens."""
+    """Texts to ids and back, as the tokenizers library does for the vocabulary without added special tokens.
+
+    A batch is split at white space and its distinct pieces are looked up in the lexicon, all at once. Pieces that are not in it are split into
+    words, and these are looked up, remembered or merged.
+    """
 
-    def __init__(self, json_name: str = VOCABULARY, lexicon: Automaton | None = None):
+    def __init__(self, json_name: str = VOCABULARY, lexicon: Automaton | None = None, library_merges: bool = False):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -144,114 +164,168 @@ class Encoder:
         self.library = Tokenizer.from_file(public_tokenizers.path(json_name))
         self.library.no_truncation()
         self.library.no_padding()
-        self.merger = Merger(json_name)
         self.lexicon = lexicon
-        special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.special = special
-        self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(special, key=len, reverse=True))) + ")")
-        self.tokens = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
-        #: what words and white-space pieces give, as little-endian 32-bit integers, and what pieces look like decoded
-        self.words = _Remembered(self._word)
-        self.pieces = _Remembered(self._piece)
-        self.shown = _Remembered(lambda piece: self._show(self.pieces[piece]))
-
-    def _word(self, word: str) -> bytes:
-        raw = word.encode()
-        ids = (self.lexicon.get(raw) if self.lexicon else None) or self.merger.ids(raw)
-        return pack(f"<{len(ids)}I", *ids)
-
-    def _piece(self, piece: str) -> bytes:
-        if PLAIN.fullmatch(piece):
-            if piece.isalpha():
-                return self.words[piece.lower()]
-            if piece[-1:] in ",." and piece[:-1].isalpha():
-                return self.words[piece[:-1].lower()] + self.words[piece[-1]]
-            return b"".join([self.words[w] for w in WORDS.findall(piece.lower())])
-        ids = self.library.encode(piece, add_special_tokens=False).ids
-        return pack(f"<{len(ids)}I", *ids)
-
-    def _show(self, ids: bytes) -> str:
-        return " ".join([self.tokens[i] for i in memoryview(ids).cast("I")])
-
-    def _split(self, text: str) -> Iterator[list[str] | str]:
-        """Lists of white-space pieces, and special strings."""
-        if "<|" not in text:
-            yield text.split()
-            return
-        for part in self.special_split.split(text):
-            yield part if part in self.special else part.split()
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian 32-bit integers."""
-        if odd(text):
-            ids = self.library.encode(text, add_special_tokens=False).ids
-            return pack(f"<{len(ids)}I", *ids)
-        get = self.pieces.__getitem__
-        return b"".join([pack("<I", self.special[p]) if isinstance(p, str) else b"".join(map(get, p)) for p in self._split(text)])
-
-    def roundtrip(self, text: str) -> tuple[bytes, str]:
-        """The ids and their decoding: the vocabulary has no decoder, so that is the tokens, joined by spaces."""
-        ids = self.encode(text)
-        if odd(text):
-            return ids, self._show(ids)
-        get = self.shown.__getitem__
-        return ids, " ".join([x for p in self._split(text) for x in ([p] if isinstance(p, str) else map(get, p)) if x])
-
-    def decode(self, ids: bytes) -> str:
-        return self._show(ids)
+        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        tokens = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
+        self.tokens = pa.array([tokens.get(i, "") for i in range(max(tokens) + 1)])
+        self.kind = np.dtype("<u2" if max(tokens) < 1 << 16 else "<u4")
+        self.letter = {2: "H", 4: "I"}[self.kind.itemsize]
+        if library_merges:
+            shown = dict(enumerate(byte_alphabet()))
+            tokenize = self.library.model.tokenize
+            self.words = _Remembered(lambda w: self._pack([t.id for t in tokenize(w.encode().decode("latin-1").translate(shown))]))
+        else:
+            merger = Merger(json_name)
+            self.words = _Remembered(lambda w: self._pack(merger.ids(w.encode())))
+
+    def _pack(self, ids: list[int]) -> bytes:
+        return pack(f"<{len(ids)}{self.letter}", *ids)
+
+    def unseen(self, pieces: list[str]) -> list[bytes]:
+        """Ids (as numbers of `kind`) of pieces that aren't in the lexicon: word by word, first in the lexicon again."""
+        plain = PLAIN.fullmatch
+        split = [([p.lower()] if p.isalpha() else WORDS.findall(p.lower())) if plain(p) else None for p in pieces]
+        known: dict[str, bytes] = {}
+        if self.lexicon:
+            words = list({w for ws in split if ws for w in ws})
+            starts, lengths, data = _strings(pa.array(words, pa.string()))
+            ranks = self.lexicon.ranks(starts, lengths, data)
+            hit = ranks >= 0
+            low, high = self.lexicon.offsets[ranks[hit]].astype(np.int64), self.lexicon.offsets[ranks[hit] + 1].astype(np.int64)
+            flat = self.lexicon.ids[spans(low, high - low)].astype(self.kind).tobytes()
+            cuts = [0, *(np.cumsum(high - low) * self.kind.itemsize).tolist()]
+            known = {words[k]: flat[a:b] for k, a, b in zip(np.flatnonzero(hit).tolist(), cuts, cuts[1:])}
+        get, word, out = known.get, self.words, []
+        for p, ws in zip(pieces, split):
+            if ws is None:
+                out.append(self._pack(self.library.encode(p, add_special_tokens=False).ids))
+            elif len(ws) == 1:
+                out.append(get(ws[0]) or word[ws[0]])
+            else:
+                out.append(b"".join([get(w) or word[w] for w in ws]))
+        return out
+
+    def _library_only(self, text: str) -> bool:
+        return odd(text) or ("<|" in text and any([s in text for s in self.special]))
+
+    def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, text after text, and how many each text has."""
+        texts = pc.fill_null(texts, "")
+        strange = [k for k, t in enumerate(texts.to_pylist()) if self._library_only(t)]
+        if strange:
+            mask = np.zeros(len(texts), dtype=bool)
+            mask[strange] = True
+            own = [self.library.encode(texts[k].as_py(), add_special_tokens=False).ids for k in strange]
+            texts = pc.if_else(pa.array(mask), "", texts)
+        split = pc.utf8_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        index = coded.indices.to_numpy()
+        starts, lengths, data = _strings(coded.dictionary)
+        ranks = self.lexicon.ranks(starts, lengths, data) if self.lexicon else np.full(len(starts), -1)
+        miss = ranks < 0
+        pieces = coded.dictionary.filter(pa.array(miss)).to_pylist()
+        new = self.unseen(pieces)
+        if self.lexicon:
+            table, offsets = self.lexicon.ids, self.lexicon.offsets.astype(np.int64)
+            low, size = offsets[np.maximum(ranks, 0)], np.where(miss, 0, offsets[ranks + 1] - offsets[np.maximum(ranks, 0)])
+        else:
+            table, low, size = np.zeros(0, dtype=np.int32), np.zeros(len(ranks), dtype=np.int64), np.zeros(len(ranks), dtype=np.int64)
+        n_new = np.array([len(x) for x in new], dtype=np.int64) // self.kind.itemsize
+        low[miss], size[miss] = len(table) + np.cumsum(n_new) - n_new, n_new
+        # the ids of the batch's distinct pieces, then of all its pieces
+        used = np.concatenate([table[spans(low[~miss], size[~miss])], np.frombuffer(b"".join(new), dtype=self.kind)])
+        at = np.empty(len(ranks), dtype=np.int64)
+        at[~miss] = np.cumsum(size[~miss]) - size[~miss]
+        at[miss] = size[~miss].sum() + np.cumsum(n_new) - n_new
+        each = size[index]
+        flat = used[spans(at[index], each)].astype("<u4")
+        bounds = np.append(0, np.cumsum(each))[split.offsets.to_numpy()]
+        counts = np.diff(bounds)
+        if strange:
+            cuts = np.split(flat, bounds[1:-1])
+            for k, ids in zip(strange, own):
+                cuts[k] = np.array(ids, dtype="<u4")
+            flat, counts = np.concatenate(cuts), np.array([len(c) for c in cuts])
+        return flat, counts
+
+    def decode_batch(self, flat: np.ndarray, counts: np.ndarray) -> pa.Array:
+        """Texts from ids: the vocabulary has no decoder, so its decoding is the tokens, joined by spaces."""
+        tokens = self.tokens.take(pa.array(flat))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), tokens), " ")
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_batch(pa.array([text]))[0].tolist()
+
+    def decode(self, ids: list[int]) -> str:
+        return self.decode_batch(np.array(ids, dtype=np.int64), np.array([len(ids)]))[0].as_py()
 
 
 @lru_cache(maxsize=2)
-def encoder(json_name: str = VOCABULARY, lexicon_uri: str | None = None) -> Encoder:
+def encoder(json_name: str = VOCABULARY, lexicon_uri: str | None = None, library_merges: bool = False) -> Encoder:
     """One for each worker process; its lexicon is mapped, not copied."""
-    return Encoder(json_name, Automaton(open_mapped(lexicon_uri)) if lexicon_uri else None)
+    return Encoder(json_name, Automaton(open_mapped(lexicon_uri)) if lexicon_uri else None, library_merges)
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """word, n over all texts: words as the vocabulary splits them, of plain characters (others never reach the lexicon)."""
+def piece_counts(docs: DataFrame) -> DataFrame:
+    """piece, n: the white-space pieces of all texts, of plain characters (others never reach the lexicon)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter[str] = Counter()
 
         def flush() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+            pieces = [p for p in counts if len(p) < 64 and PLAIN.fullmatch(p)]
+            out = pa.RecordBatch.from_arrays([pa.array(pieces, pa.string()), pa.array([counts[p] for p in pieces], pa.int64())], ["piece", "n"])
             counts.clear()
             return out
 
         for batch in batches:
-            pieces = Counter()
             for text in as_texts(batch.column("text")):
-                pieces.update(text.split())
-            for piece, n in pieces.items():
-                if PLAIN.fullmatch(piece):
-                    for w in WORDS.findall(piece.lower()):
-                        if len(w) < 64:
-                            counts[w] += n
-            if len(counts) > 300_000:
+                counts.update(text.split())
+            if len(counts) > 200_000:
                 yield flush()
         yield flush()
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
-def build_lexicon(docs: DataFrame, json_name: str = VOCABULARY, size: int = LEXICON) -> str:
-    """Compile the most frequent words, `size` at most, and publish the transducer; its URI.
+def word_counts(pieces: DataFrame) -> DataFrame:
+    """word, n: the vocabulary's words of all counted pieces."""
 
-    The least count that keeps the lexicon within `size` is read from the histogram of counts, so no more than `size` words reach the driver.
-    """
-    spark = docs.sparkSession
-    counts = stage(word_counts(docs), "words")
-    top = counts.where("n >= 2").groupBy("n").agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).limit(size).collect()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: Counter[str] = Counter()
+            for piece, n in zip(batch.column("piece").to_pylist(), batch.column("n").to_pylist()):
+                for w in WORDS.findall(piece.lower()):
+                    counts[w] += n
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+    return pieces.mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def most_frequent(counts: DataFrame, column: str, size: int) -> list[str]:
+    """The most frequent strings, `size` at most. The least count that keeps within `size` is read from the histogram of counts, so no
+    more than `size` strings reach the driver."""
+    top = counts.where("n >= 2").groupBy("n").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("n")).limit(size).collect()
     least, total = None, 0
     for row in top:
-        total += row.words
+        total += row.c
         if total > size:
             break
         least = row.n
-    words = [r.word for r in counts.where(F.col("n") >= least).select("word").collect()] if least else []
-    merger = Merger(json_name)
-    raw = [w.encode() for w in words]
-    return publish(spark, "lexicon", compile_words(raw, [merger.ids(w) for w in raw]))
+    return counts.where(F.col("n") >= least).select(column).toArrow().column(0).to_pylist() if least else []
+
+
+def build_lexicon(docs: DataFrame, json_name: str = VOCABULARY, size: int = LEXICON) -> str:
+    """Compile the most frequent pieces and words, `size` at most of either, and publish the transducer; its URI."""
+    spark = docs.sparkSession
+    pieces = stage(piece_counts(docs), "pieces")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "20000")
+    words = stage(word_counts(pieces), "words")
+    found = sorted({*most_frequent(pieces, "piece", size), *most_frequent(words, "word", size)})
+    small_batches(spark)
+    plain = Encoder(json_name)
+    ids = [np.frombuffer(x, dtype=plain.kind).tolist() for x in plain.unseen(found)]
+    return publish(spark, "lexicon", compile_words([w.encode() for w in found], ids))
 
 
 def bpe_encode(docs: DataFrame, json_name: str = VOCABULARY, size: int = LEXICON) -> DataFrame:
@@ -261,10 +335,9 @@ def bpe_encode(docs: DataFrame, json_name: str = VOCABULARY, size: int = LEXICON
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         e = encoder(json_name, uri)
-        both = [e.roundtrip(t) for t in as_texts(batch.column("text"))]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([memoryview(i).cast("I").tolist() for i, _ in both], pa.list_(pa.int32())), pa.array([d for _, d in both])], ["doc_id", "ids", "decoded"]
-        )
+        flat, counts = e.encode_batch(batch.column("text"))
+        ids = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(flat.astype(np.int32)))
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, e.decode_batch(flat, counts)], ["doc_id", "ids", "decoded"])
 
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, ids array<int>, decoded string")
 
@@ -276,13 +349,11 @@ def bpe_digests(docs: DataFrame, json_name: str = VOCABULARY, size: int = LEXICO
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         e = encoder(json_name, uri)
-        n, a, b = [], [], []
-        for text in as_texts(batch.column("text")):
-            ids, shown = e.roundtrip(text)
-            n.append(len(ids) // 4)
-            a.append(hashlib.sha256(ids).hexdigest())
-            b.append(hashlib.sha256(shown.encode()).hexdigest())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        flat, counts = e.encode_batch(batch.column("text"))
+        shown = [hashlib.sha256(b).hexdigest() for b in e.decode_batch(flat, counts).cast(pa.binary()).to_pylist()]
+        view, ends = memoryview(flat).cast("B"), (4 * np.cumsum(counts)).tolist()
+        ids = [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip([0, *ends], ends)]
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(ids), pa.array(shown)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
