@@ -8,11 +8,13 @@ decoded codeword is among those near the other.
 If two fingerprints differ in 4 bits at most, the errors fall into three pigeonholes in one of two ways:
 
 * a segment is free of errors; then another one has 2 at most. Keys: the exact segment with a codeword near another segment.
-* no segment is free; then two have exactly one error. Their parities differ, so the fingerprint with even parity gives its decoded
-  codeword, the one with odd parity all those near it. Keys: the codewords of two segments, with sides by parity.
+* no segment is free; then two have exactly one error and the third has 2 at most, so that one of its three blocks of 7 bits is free. The
+  parities of the two differ, so the fingerprint with even parity gives its decoded codeword, the one with odd parity all those near it.
+  Keys: the codewords of two segments and a block of the third, with sides by parity.
 
-That is about 62 keys a fingerprint, with 33 bits and more or selective sides. Fingerprints with a key in common are verified by their distance; each
-bucket returns a spanning forest of its links, never all its pairs, and buckets of very many fingerprints are dealt out in pairs of blocks.
+That is about 120 keys a fingerprint, of 32 bits and more, so that chance meetings stay rare. Fingerprints with a key in common are
+verified by their distance; each bucket returns a spanning forest of its links, never all its pairs, and buckets of very many
+fingerprints are dealt out in pairs of blocks.
 
 Defined cases: a null text is an empty one; texts without words have fingerprint 0 and link like any other; repeated rows link to each
 other; null doc_ids are members but never a component's name, unless it has no other; extra columns are ignored.
@@ -134,17 +136,20 @@ def keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     for kind, (i, j) in enumerate((i, j) for i in range(3) for j in range(3) if i != j):
         add(kind, part[i][:, None] << 12 | near[j], np.int8(0), near[j] >= 0)
-    for kind, (i, j) in enumerate(combinations(range(3), 2), 6):
+    for number, (i, j) in enumerate(combinations(range(3), 2)):
         odd_i, odd_j = (np.bitwise_count(part[k]) & 1 for k in (i, j))
         mine = []
         for k, odd in ((i, odd_i), (j, odd_j)):
-            only_first = np.full_like(near[k], -1)
-            only_first[:, 0] = code.decode(part[k])
-            mine.append(np.where(odd[:, None] == 1, near[k], only_first))
+            decoded = np.full_like(near[k], -1)
+            decoded[:, 0] = code.decode(part[k])
+            mine.append(np.where(odd[:, None] == 1, near[k], decoded))
         pair = mine[0][:, :, None] << 12 | mine[1][:, None, :]
         ok = (mine[0][:, :, None] >= 0) & (mine[1][:, None, :] >= 0)
         mixed = (odd_i ^ odd_j).astype(np.int64)[:, None, None]
-        add(kind, pair | mixed << 24, (1 + odd_i).astype(np.int8)[:, None, None], ok)
+        third = part[3 - i - j]
+        for block in range(3):  # the last block of 22 bits has 8
+            free = (third >> 7 * block & (0x7F if block < 2 else 0xFF))[:, None, None]
+            add(6 + 3 * number + block, pair | mixed << 24 | free << 25, (1 + odd_i).astype(np.int8)[:, None, None], ok)
     rows, found, sides = (np.concatenate(x) for x in zip(*out))
     return rows, found, sides
 
@@ -218,11 +223,14 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that connect all that differ in 4 bits at most, directly or through others."""
     spark = fps.sparkSession
-    distinct = stage(fps.select("fp").distinct(), "fingerprints")
+    # a fingerprint becomes a hundred rows, so even few of them are dealt to all tasks
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    distinct = stage(fps.select("fp").distinct(), "fingerprints").repartition(tasks, "fp")
     emitted = distinct.mapInArrow(_emit, "key long, fp long, side byte")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")  # rows of three numbers
-    # buckets of one fingerprint link nothing; those of very many are cut into blocks, and each pair of blocks is a bucket
-    sizes = emitted.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # buckets of one fingerprint or one side link nothing; those of very many are cut into blocks, and each pair of blocks is a bucket
+    sizes = emitted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("side").alias("s0"), F.max("side").alias("s1"))
+    sizes = sizes.where("n > 1 and (s1 = 0 or s0 <> s1)").select("key", "n")
     rows = emitted.join(sizes, "key")
     parts = F.ceil(F.col("n") * 2 / bucket).cast("long")
     mine = F.pmod(F.xxhash64("fp", F.lit(7)), parts)
