@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -61,6 +62,21 @@ def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+# -- what a worker process holds --------------------------------------------------------------------------------------------------
+
+_resident: dict = {}
+
+
+def resident(key: tuple, make: Callable):
+    """The one large object (a model, an encoder with what it remembers) that this process holds. Spark uses workers again for later stages, so
+    another key replaces the object instead of adding to it."""
+    if key not in _resident:
+        _resident.clear()
+        gc.collect()
+        _resident[key] = make()
+    return _resident[key]
+
+
 # -- artifacts of bounded size ---------------------------------------------------------------------------------------------------
 
 

@@ -22,10 +22,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_texts, map_batches, only, open_mapped, publish, small_batches
+from .automaton import Automaton, compile_words
+from .common import as_texts, map_batches, only, open_mapped, publish, resident, small_batches
 
 VOCABULARY = "piece_bpe_32k.model"
 FOLDS, HELD_OUT = 5, 0
@@ -34,8 +36,10 @@ SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES, SAMPLE_WORDS = 250, 50_000, 200, 20_000
 ROUNDS = 3
 #: Probability of a character that no piece covers, the same in all languages.
 UNKNOWN = 1e-8
-#: White-space pieces that a worker remembers.
-CACHE = 300_000
+#: White-space pieces, and words, that a worker remembers at most.
+CACHE = 200_000
+#: Characters of words that pass together; longer ones are rescaled one by one.
+SHORT = 30
 LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 
@@ -55,16 +59,18 @@ class Unigrams:
 
     def __init__(self, pieces: list[str], table: np.ndarray, languages: list[str], priors: list[float]):
         self.languages, self.priors = languages, np.log(np.asarray(priors)) if priors else np.zeros(0)
-        self.k = len(languages)
-        self.p = {w: tuple(row) for w, row in zip(pieces, table.tolist())}
+        self.k, self.pieces, self.table = len(languages), pieces, table
         self.longest = max(map(len, pieces), default=1)
-        self.unknown = (UNKNOWN,) * self.k
+        self.p = {w: tuple(row) for w, row in zip(pieces, table.tolist())}
         self.zero = np.zeros(self.k)
-        self.known: dict[str, int] = {}
-        self.rows = np.zeros((1024, self.k))
-
-    def word(self, word: str) -> list[float]:
-        """Log-probability of a word in each language: forward pass, rescaled so that long words don't underflow."""
+        order = sorted(range(len(pieces)), key=lambda i: pieces[i].encode())
+        self.trie = Automaton(memoryview(compile_words([w.encode() for w in pieces], [[i] for i in range(len(pieces))])))
+        # by rank in the automaton; the last row is that of unknown characters
+        self.by_rank = np.concatenate([table[order].reshape(len(order), self.k), np.full((1, self.k), UNKNOWN)])
+        self.words, self.known = _Rows(self.k), _Rows(self.k)
+
+    def long_word(self, word: str) -> list[float]:
+        """Log-probability of one word of any length in each language: forward pass, rescaled against underflow."""
         text, get, longest, k = MARK + word, self.p.get, self.longest, self.k
         n, span = len(text), range(k)
         alpha: list[list[float] | None] = [[1.0] * k] + [None] * n
@@ -76,7 +82,7 @@ class Unigrams:
                 if p is None:
                     if i < j - 1:
                         continue
-                    p = self.unknown
+                    p = (UNKNOWN,) * k
                 a = alpha[i]
                 for m in span:
                     total[m] += a[m] * p[m]
@@ -89,50 +95,112 @@ class Unigrams:
                         alpha[i][m] /= s
         return [math.log(alpha[n][m]) + scale[m] for m in span]
 
-    def piece(self, piece: str) -> np.ndarray:
-        """Sum over the words of a white-space piece."""
-        out = self.zero
-        for w in LETTERS.findall(piece.lower()):
-            if any(map(str.isalpha, w)):
-                out = out + self.word(w)
+    def forward(self, words: list[str]) -> np.ndarray:
+        """Log-probabilities of many words, a row each. Short words pass together: the automaton of pieces walks from every
+        character of every word at once, and what it finds are the edges of the words' lattices, summed up end by end."""
+        out = np.empty((len(words), self.k))
+        short = [i for i, w in enumerate(words) if len(w) <= SHORT]
+        for i in set(range(len(words))) - set(short):
+            out[i] = self.long_word(words[i])
+        short.sort(key=lambda i: len(words[i]))
+        for low in range(0, len(short), 4000):
+            part = short[low : low + 4000]
+            out[part] = self._forward([(MARK + words[i]).encode() for i in part])
         return out
 
-    def text(self, text: str) -> np.ndarray | None:
-        """Log-probability of the text in each language, priors included; None if it has no letter."""
-        known, at = self.known, []
-        rest: np.ndarray | None = None
-        pieces = text.split()
-        try:
-            at = [known[p] for p in pieces]
-        except KeyError:
-            at = []
-            if len(known) + len(pieces) > CACHE:
-                known.clear()
-            for p in pieces:
-                row = known.get(p)
-                if row is None:
-                    value = self.piece(p)
-                    if len(p) > 64 or len(known) >= CACHE:  # not remembered: very long pieces, and the end of a very long text
-                        rest = value if rest is None else rest + value
-                        continue
-                    row = known[p] = len(known)
-                    if row >= len(self.rows):
-                        self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
-                    self.rows[row] = value
-                at.append(row)
-        total = self.rows[at].sum(axis=0) if at else self.zero
-        if rest is not None:
-            total = total + rest
-        if not total.any():  # every letter lowers the log-probability
-            return None
-        return total + self.priors
-
-    def predict(self, text: str) -> tuple[str, float]:
-        if not self.k or (z := self.text(text)) is None:
-            return "und", 0.0
-        e = np.exp(z - z.max())
-        best = int(e.argmax())
-        return self.languages[best], float(e[best] / e.sum())
+    def _forward(self, texts: list[bytes]) -> np.ndarray:
+        n = len(texts)
+        size = np.array([len(t) for t in texts])
+        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        first = np.cumsum(size) - size
+        heads = np.flatnonzero((data & 0xC0) != 0x80)  # first bytes of characters
+        word = np.repeat(np.arange(n), size)[heads]
+        start = heads - first[word]
+        step = np.diff(np.append(heads, len(data)))
+        rank, state, at, end = np.zeros(len(heads), dtype=np.int64), np.full(len(heads), self.trie.root, dtype=np.int64), heads.copy(), (first + size)[word]
+        row, single = np.arange(len(heads)), np.zeros(len(heads), dtype=bool)
+        edges: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (head, end, rank)
+        while len(row):
+            on, arc = self.trie.step(state, data[at])
+            row, at, end, rank = row[on], at[on] + 1, end[on], rank[on] + self.trie.outs[arc]
+            state = self.trie.targets[arc].astype(np.int64)
+            final = self.trie.finals[state] == 1
+            if final.any():
+                edges.append((row[final], at[final], rank[final]))
+                single[row[final]] |= at[final] == heads[row[final]] + step[row[final]]
+            more = at < end
+            row, at, end, rank, state = row[more], at[more], end[more], rank[more], state[more]
+        bare = np.flatnonzero(~single)
+        edges.append((bare, heads[bare] + step[bare], np.full(len(bare), len(self.by_rank) - 1)))
+        head, stop, rank = (np.concatenate(x) for x in zip(*edges))
+        w, i = word[head], start[head]
+        j = stop - first[w]
+        order = np.argsort(j.astype(np.int16), kind="stable")
+        w, i, j, p = w[order], i[order], j[order], self.by_rank[rank[order]]
+        cuts = np.searchsorted(j, np.arange(1, size.max() + 2))
+        alpha = np.zeros((size.max() + 1, n, self.k))
+        alpha[0] = 1.0
+        for at_j, (a, b) in enumerate(zip(cuts, cuts[1:]), 1):
+            if a < b:
+                flow = alpha[i[a:b], w[a:b]] * p[a:b]
+                for m in range(self.k):
+                    alpha[at_j, :, m] = np.bincount(w[a:b], flow[:, m], n)
+        return np.log(alpha[size, np.arange(n)])
+
+    def _new_pieces(self, pieces: list[str]) -> np.ndarray:
+        """Rows of white-space pieces: sums over their words."""
+        split = [[w for w in LETTERS.findall(p.lower()) if any(map(str.isalpha, w))] for p in pieces]
+        words = list(dict.fromkeys(w for ws in split for w in ws))
+        rows = self.words.rows(words, self.forward)
+        place = dict(zip(words, range(len(words))))
+        flat = np.array([place[w] for ws in split for w in ws], dtype=np.int64)
+        owner = np.repeat(np.arange(len(pieces)), [len(ws) for ws in split])
+        return np.stack([np.bincount(owner, rows[flat, m], len(pieces)) for m in range(self.k)], axis=1) if len(flat) else np.zeros((len(pieces), self.k))
+
+    def scores(self, texts: pa.Array) -> np.ndarray:
+        """Log-probability of each text in each language, without priors; 0 if it has no letter."""
+        split = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        rows = self.known.rows(coded.dictionary.to_pylist(), self._new_pieces)
+        index = coded.indices.to_numpy()
+        owner = np.repeat(np.arange(len(texts)), np.diff(split.offsets.to_numpy()))
+        return np.stack([np.bincount(owner, rows[index, m], len(texts)) for m in range(self.k)], axis=1) if len(index) else np.zeros((len(texts), self.k))
+
+    def predict(self, texts: pa.Array) -> list[tuple[str, float]]:
+        if not self.k:
+            return [("und", 0.0)] * len(texts)
+        z = self.scores(texts)
+        lettered = z.any(axis=1)  # every letter lowers the log-probability
+        z = z + self.priors
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        best, score = e.argmax(axis=1), e.max(axis=1) / e.sum(axis=1)
+        return [(self.languages[b], s) if on else ("und", 0.0) for b, s, on in zip(best.tolist(), score.tolist(), lettered.tolist())]
+
+
+class _Rows:
+    """Remembers the rows of up to CACHE strings."""
+
+    def __init__(self, k: int):
+        self.at: dict[str, int] = {}
+        self.table = np.zeros((4096, k))
+
+    def rows(self, strings: list[str], make) -> np.ndarray:
+        get = self.at.get
+        place = np.array([get(x, -1) for x in strings], dtype=np.int64)
+        new = np.flatnonzero(place < 0)
+        out = self.table[place]
+        if len(new):
+            fresh = [strings[i] for i in new]
+            made = out[new] = make(fresh)
+            if len(self.at) + len(fresh) > CACHE:
+                self.at.clear()
+            kept = [i for i, x in enumerate(fresh) if len(x) < 64][:CACHE]
+            low = len(self.at)
+            while low + len(kept) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[low : low + len(kept)] = made[kept]
+            self.at.update(zip([fresh[i] for i in kept], range(low, low + len(kept))))
+        return out
 
 
 def expectation(counts: dict[str, int], p: dict[str, float], longest: int) -> dict[str, float]:
@@ -213,9 +281,8 @@ def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, model_name: str = VOCAB
     return Unigrams(pieces, fit_pieces(counts, pieces), list(counts), [sizes[lang] / total for lang in counts])
 
 
-@lru_cache(maxsize=2)
 def _load(uri: str, languages: tuple[str, ...], priors: tuple[float, ...]) -> Unigrams:
-    return Unigrams(vocabulary(), np.load(io.BytesIO(open_mapped(uri))), list(languages), list(priors))
+    return resident(("language", uri), lambda: Unigrams(vocabulary(), np.load(io.BytesIO(open_mapped(uri))), list(languages), list(priors)))
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -225,12 +292,12 @@ def identify(docs: DataFrame) -> DataFrame:
     model = fit(docs)
     languages, priors = tuple(model.languages), tuple(np.exp(model.priors).tolist())
     out = io.BytesIO()
-    np.save(out, np.array(list(model.p.values()), dtype=np.float64).reshape(len(model.p), model.k))
+    np.save(out, model.table)
     uri = publish(spark, "unigrams", out.getvalue())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         m = _load(uri, languages, priors) if languages else Unigrams([], np.zeros((0, 0)), [], [])
-        said = [m.predict(t) for t in as_texts(batch.column("text"))]
+        said = m.predict(batch.column("text"))
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("held_out"), pa.array([x for x, _ in said], pa.string()), pa.array([s for _, s in said], pa.float64())],
             ["doc_id", "held_out", "lang_pred", "score"],

@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
-from functools import lru_cache
 from operator import eq
 
 import numpy as np
@@ -22,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_batches, only, open_mapped, publish, small_batches
+from .common import as_bytes, map_batches, only, open_mapped, publish, resident, small_batches
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
@@ -183,9 +182,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) -> d
     return train(np.concatenate(cuts).astype(np.float32), np.array([len(c) for c in cuts]), y, weight)
 
 
-@lru_cache(maxsize=2)
 def _load(uri: str) -> dict[str, np.ndarray]:
-    return {k: v.astype(np.float32) for k, v in np.load(io.BytesIO(open_mapped(uri))).items()}
+    return resident(("quality", uri), lambda: {k: v.astype(np.float32) for k, v in np.load(io.BytesIO(open_mapped(uri))).items()})
 
 
 def score_texts(m: dict[str, np.ndarray], texts: list[bytes], slab: int = 1 << 20) -> list[float]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import as_texts, fresh_dir, map_batches, small_batches, text_col
+from .common import as_texts, fresh_dir, map_batches, resident, small_batches, text_col
 
 LIMIT = 1024
 
@@ -65,9 +65,8 @@ class Counter:
         return out
 
 
-@lru_cache(maxsize=2)
 def counter(json_name: str, ranks_name: str | None) -> Counter:
-    return Counter(json_name, ranks_name)
+    return resident(("counter", json_name, ranks_name), lambda: Counter(json_name, ranks_name))
 
 
 @lru_cache(maxsize=8)
