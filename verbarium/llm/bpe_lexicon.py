@@ -19,7 +19,6 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
 from struct import pack
 
 import numpy as np
@@ -29,13 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import Automaton, compile_words
-from .common import as_texts, map_batches, open_mapped, publish, small_batches, stage
+from .common import as_texts, map_batches, open_mapped, publish, resident, small_batches, stage
 
 VOCABULARY = "word_bpe_49k.json"
 #: White-space pieces, and words, in the transducer at most.
 LEXICON = 1 << 18
 #: Merged words that a worker remembers at most.
-CACHE = 400_000
+CACHE = 200_000
 
 PLAIN = re.compile(r"[\x21-\x7e¡-įı-ž‐-‧‰-⁞₠-₿]*")
 #: What Python splits at as white space and the library does not, or the other way round: such texts go to the library whole.
@@ -260,10 +259,9 @@ class Encoder:
         return self.decode_batch(np.array(ids, dtype=np.int64), np.array([len(ids)]))[0].as_py()
 
 
-@lru_cache(maxsize=2)
 def encoder(json_name: str = VOCABULARY, lexicon_uri: str | None = None, library_merges: bool = False) -> Encoder:
-    """One for each worker process; its lexicon is mapped, not copied."""
-    return Encoder(json_name, Automaton(open_mapped(lexicon_uri)) if lexicon_uri else None, library_merges)
+    """That of this worker process; its lexicon is mapped, not copied."""
+    return resident(("bpe", json_name, lexicon_uri, library_merges), lambda: Encoder(json_name, Automaton(open_mapped(lexicon_uri)) if lexicon_uri else None, library_merges))
 
 
 def piece_counts(docs: DataFrame) -> DataFrame:

@@ -36,19 +36,23 @@ END_ID = 1
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, json_name: str = VOCABULARY, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: the pieces of every document's ids, each document's end mark included."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1000)
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, end = encoder(json_name), pack("<I", end_id)
+        e, end = encoder(json_name, None, True), pack("<I", end_id)
         for batch in batches:
+            flat, counts = e.encode_batch(batch.column("text"))
+            view, stops = memoryview(flat).cast("B"), (4 * np.cumsum(counts)).tolist()
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), as_texts(batch.column("text"))):
-                ids = e.encode(text) + end
-                view = memoryview(ids)
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    cut = view[at : at + 4 * capacity]
-                    rows.append((doc_id, k, at // 4, len(cut) // 4, zlib.crc32(cut)))
+            for doc_id, low, high in zip(batch.column("doc_id").to_pylist(), [0, *stops], stops):
+                size = high - low + 4
+                for k, at in enumerate(range(0, size, 4 * capacity)):
+                    cut = view[low + at : min(low + at + 4 * capacity, high)]
+                    check, n = zlib.crc32(cut), len(cut)
+                    if at + 4 * capacity >= size:  # the end mark belongs to the last piece
+                        check, n = zlib.crc32(end, check), n + 4
+                    rows.append((doc_id, k, at // 4, n // 4, check))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length int, ids_crc32 long")
@@ -101,8 +105,10 @@ def best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[np.nd
 
 
 @lru_cache(maxsize=2)
-def _plan(uri: str) -> np.ndarray:
-    return np.load(io.BytesIO(open_mapped(uri)))
+def _plan(uri: str) -> tuple[np.ndarray, np.ndarray]:
+    """The runs, and (length, first rank) of each as one number: ranks stay below 2^48."""
+    runs = np.load(io.BytesIO(open_mapped(uri)))
+    return runs, runs[:, 0] << 48 | runs[:, 1]
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -117,10 +123,9 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     uri = publish(spark, "plan", out.getvalue())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        plan = _plan(uri)
+        plan, order = _plan(uri)
         length, rank = batch.column("length").to_numpy().astype(np.int64), batch.column("seq").to_numpy()
-        # order of (length, first rank) as one number: ranks stay below 2^48
-        row = plan[np.searchsorted(plan[:, 0] << 48 | plan[:, 1], length << 48 | rank, side="right") - 1]
+        row = plan[np.searchsorted(order, length << 48 | rank, side="right") - 1]
         k = rank - row[:, 1]
         bin_no, offset = row[:, 4] + k // row[:, 3], row[:, 5] + (k % row[:, 3]) * length
         names = ["doc_id", "piece", "start", "length", "ids_crc32"]
