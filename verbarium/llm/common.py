@@ -50,7 +50,7 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch],
 
 def only(docs: DataFrame, keep: DataFrame, key: str = "doc_id") -> DataFrame:
     """The rows of `docs` whose key is in `keep`, one for each key (repeated rows of a key that stays give one row). All columns of
-    `docs` come back unchanged, whatever their names."""
+    `docs` come back unchanged, whatever their names. Rows without a key can't be told apart, so they go."""
     cols = [F.col(_q(c)) for c in docs.columns]
     mine = docs.select(F.struct(*cols).alias("row"), F.col(_q(key)).alias("k"))
     kept = mine.join(keep.select(F.col(_q(key)).alias("k")).distinct(), "k", "left_semi")
