@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,8 +151,6 @@ def characters(df: DataFrame, text: str = "text") -> DataFrame:
 
 def named_characters(df: DataFrame, text: str = "text") -> DataFrame:
     """characters() with Unicode names; the few distinct characters alone pass through Python."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def name(c: pd.Series) -> pd.Series:
         import unicodedata

@@ -248,8 +248,8 @@ def publish_subset(entity: DataFrame, prop: DataFrame, root: str = ROOT, most_de
     paths are prefixes of theirs, stay as shells. A cycle only makes longer paths, which never win.
     """
     links = stage(children(prop).join(entity.select(F.col("id").alias("child")), "child", "left_semi"), "children")
-    flag = F.lower(F.trim("value"))
-    own = prop.where((F.col("key") == PUBLISH) & (F.col("ord") == 0)).select(F.col("id").alias("child"), F.when(flag == "true", True).when(flag == "false", False).alias("own")).dropDuplicates(["child"])
+    flag = F.lower(F.trim(F.min_by("value", "ord")))
+    own = prop.where(F.col("key") == PUBLISH).groupBy(F.col("id").alias("child")).agg(F.when(flag == "true", True).when(flag == "false", False).alias("own"))
     spark = entity.sparkSession
     start = spark.createDataFrame([(root,)], "child string").join(own, "child", "left").select(F.col("child").alias("id"), F.lit("").alias("path"), F.col("own").alias("effective"))
     known = stage(start, "paths")

@@ -76,7 +76,7 @@ def ranked(rows: DataFrame, by: str = "n_count") -> DataFrame:
 
 def shown(rows: DataFrame) -> DataFrame:
     """As exported: two decimals."""
-    return rows.withColumns({c: F.format_string("%.2f", round_half_up(F.col(c), 2)) for c in ("mi", "t") if c in rows.columns})
+    return rows.withColumns({c: F.when(F.col(c).isNotNull(), F.format_string("%.2f", round_half_up(F.col(c), 2))).otherwise("") for c in ("mi", "t") if c in rows.columns})
 
 
 ENGLISH_STOPWORDS = ENGLISH

@@ -48,7 +48,7 @@ def write_types(tables: dict[str, DataFrame], path: str, overwrite: bool = False
 
 def fixed(df: DataFrame, digits: int, columns: list[str]) -> DataFrame:
     """Numbers as they are exported: a fixed number of decimals; nulls empty."""
-    return df.withColumns({c: F.coalesce(F.format_string(f"%.{digits}f", F.when(F.col(c).isNotNull(), round_half_up(F.col(c), digits))), F.lit("")) for c in columns})
+    return df.withColumns({c: F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", round_half_up(F.col(c), digits))).otherwise("") for c in columns})
 
 
 def shown(df: DataFrame) -> DataFrame:
