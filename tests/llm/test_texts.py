@@ -149,23 +149,26 @@ def test_kept_follows_posterior_and_base(documents):
 
 
 def test_estimation_finds_accuracies():
+    """From expectations that are off, the votes lead to the true probabilities."""
     rng = np.random.default_rng(3)
-    accuracy = [0.95, 0.9, 0.8, 0.75, 0.5]
     truth = rng.random(20_000) < 0.7
-    votes = np.stack([np.where(rng.random(len(truth)) < 0.1, 0, np.where((rng.random(len(truth)) < a) == truth, 1, -1)) for a in accuracy], axis=1)
+    true = [((0.8, 0.1), (0.1, 0.7)), ((0.7, 0.05), (0.2, 0.6)), ((0.6, 0.1), (0.1, 0.5)), ((0.3, 0.3), (0.3, 0.3)), ((0.0, 0.02), (0.0, 0.6))]
+    u = rng.random((len(truth), len(true)))
+    votes = np.stack([np.where(u[:, k] < np.where(truth, g[0], b[0]), 1, np.where(u[:, k] < np.where(truth, sum(g), sum(b)), -1, 0)) for k, (g, b) in enumerate(true)], axis=1)
     patterns, counts = np.unique(votes, axis=0, return_counts=True)
-    prior, table = R.fit([(tuple(p.tolist()), int(n)) for p, n in zip(patterns, counts)], rounds=200)
+    expected = [((0.6, 0.2), (0.2, 0.6))] * 4 + [((0.0, 0.1), (0.0, 0.3))]
+    prior, table = R.fit([(tuple(p.tolist()), int(n)) for p, n in zip(patterns, counts)], expected, rounds=200, weight=0.001)
     assert abs(prior - 0.7) < 0.03
-    for a, t in zip(accuracy, table):
-        assert abs(t[1][0] / (t[1][0] + t[-1][0]) - a) < 0.04
+    for (g, b), t in zip(true, table):
+        assert all(abs(x - y) < 0.04 for k, v in enumerate((1, -1)) for x, y in zip((g[k], b[k]), t[v]))
     right = np.array([R.posterior(tuple(v.tolist()), prior, table) >= 0.5 for v in votes]) == truth
-    assert right.mean() > 0.95 and math.isfinite(R.posterior((1,) * 5, prior, table))
+    assert right.mean() > 0.93 and math.isfinite(R.posterior((1,) * 5, prior, table))
 
 
 def test_rules_agree_with_labels(spark, documents, data):
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
     rows = [r for r in R.quality_rules(documents).collect() if r.doc_id in labels and not r.base_failed]
-    assert sum(r.kept == (labels[r.doc_id] == 1) for r in rows) >= 0.9 * len(rows)
+    assert sum(r.kept == (labels[r.doc_id] == 1) for r in rows) >= 0.98 * len(rows)
 
 
 def test_rules_on_an_empty_table(none):

@@ -19,7 +19,8 @@ from .common import only, stage, text_col
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-PRIOR = 0.85
+#: Share of good texts expected beforehand, and how much such expectations weigh, as a share of the texts.
+PRIOR, WEIGHT = 0.85, 0.5
 ROUNDS = 50
 
 
@@ -55,52 +56,62 @@ def base_features(docs: DataFrame) -> DataFrame:
         F.length(F.regexp_replace("text", r"[^a-z]+", "")).cast("long").alias("n_lower"),
         F.length(F.regexp_replace("text", r"[^!?]+", "")).cast("long").alias("n_shouts"),
         F.length(F.regexp_replace("text", r"[^0-9]+", "")).cast("long").alias("n_digits"),
+        F.length(F.regexp_replace("text", r"[^.,;:]+", "")).cast("long").alias("n_stops"),
     )
 
 
-def _vote(bad: Column, good: Column) -> Column:
-    return F.when(bad, -1).when(good, 1).otherwise(0)
-
-
-def rules() -> dict[str, Column]:
-    """Votes from the columns of base_features(); each rule looks at another property, and abstains between its two thresholds."""
-    c = F.col
+def rules() -> dict[str, tuple[Column, tuple[float, float], tuple[float, float]]]:
+    """Votes from the columns of base_features(), and what is expected of each rule beforehand: P(good, bad vote | good text) and
+    P(good, bad vote | bad text). Each rule looks at another property. Most see trouble or abstain: that a text has no symbols says little for it.
+    Two see signs of running prose."""
+    c, abstain = F.col, F.lit(0)
     per_word = lambda x: c(x) / F.greatest(c("n_words"), F.lit(1))
-    mean = per_word("word_chars")
-    upper = c("n_upper") / F.greatest(c("n_upper") + c("n_lower"), F.lit(1))
+    letters = F.greatest(c("n_upper") + c("n_lower"), F.lit(1))
+    upper, mean = c("n_upper") / letters, per_word("word_chars")
     # distinct words of running text fall about with the root of its length
-    variety = c("n_distinct") / F.greatest(F.sqrt(F.col("n_words").cast("double")), F.lit(1.0))
+    variety = c("n_distinct") / F.greatest(F.sqrt(c("n_words").cast("double")), F.lit(1.0))
+    trouble, seen = ((0.0, 0.004), (0.0, 0.3)), ((0.7, 0.02), (0.3, 0.3))
+    bad = lambda when: F.when(when, -1).otherwise(abstain)
+    calm = (per_word("n_symbols") < 0.02) & (per_word("n_shouts") < 0.05) & (upper < 0.15)
     return {
-        "symbols": _vote(per_word("n_symbols") > 0.1, per_word("n_symbols") < 0.02),
-        "repeats": _vote(per_word("n_repeat_words") > 0.1, c("n_repeat_words") == 0),
-        "lines": _vote(c("n_dup_lines") > 0.3 * c("n_lines"), c("n_dup_lines") == 0),
-        "capitals": _vote(upper > 0.3, upper < 0.15),
-        "shouts": _vote(per_word("n_shouts") > 0.1, per_word("n_shouts") < 0.02),
-        "variety": _vote((c("n_words") >= 30) & (variety < 2.5), variety > 4),
-        "length": _vote((mean < 2.5) | (mean > 14), (mean > 3.5) & (mean < 9)),
-        "digits": _vote(c("n_digits") > 0.3 * c("word_chars"), c("n_digits") < 0.1 * c("word_chars")),
+        "symbols": (bad(per_word("n_symbols") > 0.1), *trouble),
+        "capitals": (bad((upper > 0.3) & (letters > 20)), *trouble),
+        "shouts": (bad(per_word("n_shouts") > 0.15), *trouble),
+        "lines": (bad((c("n_lines") >= 4) & (c("n_dup_lines") > 0.5 * c("n_lines"))), *trouble),
+        "variety": (bad(F.when(c("n_words") >= 50, variety < 2.0).otherwise(c("n_distinct") < 0.6 * c("n_words"))), *trouble),
+        "length": (bad((mean < 2.5) | (mean > 14)), *trouble),
+        "digits": (bad(c("n_digits") > 0.5 * c("word_chars")), *trouble),
+        "stops": (F.when((c("n_words") >= 50) & (c("n_stops") == 0), -1).when(per_word("n_stops").between(0.01, 0.4), 1).otherwise(abstain), *seen),
+        "calm": (F.when(calm, 1).otherwise(abstain), (0.9, 0.0), (0.4, 0.0)),
     }
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = ROUNDS, prior: float = PRIOR) -> tuple[float, list[dict[int, tuple[float, float]]]]:
+#: votes in the order of the expectations
+VOTES = (1, -1, 0)
+
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], expected: list[tuple[tuple[float, float], tuple[float, float]]], rounds: int = ROUNDS, prior: float = PRIOR, weight: float = WEIGHT) -> tuple[float, list[dict[int, tuple[float, float]]]]:
     """Expectation-maximisation over counted vote patterns: the share of good texts, and for each rule {vote: (P(vote | good),
-    P(vote | bad))}. It starts from rules that are right three times out of four, which also fixes which class is "good"."""
-    k = len(patterns[0][0]) if patterns else 0
-    start = {1: (0.6, 0.2), 0: (0.2, 0.2), -1: (0.2, 0.6)}
-    table = [dict(start) for _ in range(k)]
+    P(vote | bad))}. What is expected beforehand counts as `weight` times the texts, so that of two ways to split the texts the one is found
+    in which "good" means good; the votes then move each rule's probabilities, its accuracy, from there."""
+    total = sum(n for _, n in patterns)
+    start = [{v: (g[k] if k < 2 else 1 - sum(g), b[k] if k < 2 else 1 - sum(b)) for k, v in enumerate(VOTES)} for g, b in expected]
+    start = [{v: (max(g, 1e-4), max(b, 1e-4)) for v, (g, b) in t.items()} for t in start]
+    table, share = [dict(t) for t in start], prior
+    held = (1 + weight * total * share, 1 + weight * total * (1 - share))
     for _ in range(rounds):
-        good = bad = 1.0
-        sums = [{v: [0.2, 0.2] for v in (-1, 0, 1)} for _ in range(k)]
+        sums = [{v: [held[0] * t[v][0], held[1] * t[v][1]] for v in t} for t in start]
+        good, bad = held
         for votes, n in patterns:
-            p = posterior(votes, prior, table)
+            p = posterior(votes, share, table)
             good += n * p
             bad += n * (1 - p)
             for s, v in zip(sums, votes):
                 s[v][0] += n * p
                 s[v][1] += n * (1 - p)
-        prior = good / (good + bad)
+        share = good / (good + bad)
         table = [{v: (s[v][0] / sum(x[0] for x in s.values()), s[v][1] / sum(x[1] for x in s.values())) for v in s} for s in sums]
-    return prior, table
+    return share, table
 
 
 def posterior(votes: tuple[int, ...], prior: float, table: list[dict[int, tuple[float, float]]]) -> float:
@@ -117,10 +128,10 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     named = rules()
     f = stage(base_features(docs), "quality")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    f = f.withColumn("base_failed", failed).withColumn("votes", F.array(*[v.cast("int") for v in named.values()]))
+    f = f.withColumn("base_failed", failed).withColumn("votes", F.array(*[v[0].cast("int") for v in named.values()]))
     counted = f.where(~F.col("base_failed")).groupBy(*[F.col("votes")[i].alias(f"v{i}") for i in range(len(named))]).count().collect()
     patterns = sorted((tuple(r[:-1]), r[-1]) for r in counted)
-    prior, table = fit(patterns)
+    prior, table = fit(patterns, [v[1:] for v in named.values()])
     z = F.lit(math.log(prior / (1 - prior)))
     for i, t in enumerate(table):
         v = F.col("votes")[i]
