@@ -1,7 +1,7 @@
 """Collocation: what occurs within a span of node words, with association measures.
 
 All documents form one stream of tokens, so spans cross documents. Positions come from a running sum over the documents' token counts
-(a small table), never over tokens; the span is an equi-join on position.
+(a small table), never over tokens, and only tokens near the ends of documents are joined by position.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.staging import running
-from .ngrams import token_table, tokenize
+from .ngrams import token_table, tokenize, unigrams
 
 #: fixed value: the columns of the result, in order
 COLUMNS = "node collocate O E OE MI MI2 MI3 G2 tscore DeltaP12 DeltaP21 FisherP f_node f_collocate N".split()
@@ -33,22 +33,37 @@ def stream(docs: DataFrame, ignore_case: bool = True) -> DataFrame:
     return tokens.join(offsets, ["source", "line_no"]).select((F.col("offset") + F.col("pos")).alias("position"), "token")
 
 
-def cooccurrences(tokens: DataFrame, nodes: list[str], left: int, right: int) -> DataFrame:
-    """node, collocate, O: each hit counts every token of its span but itself; overlapping spans count twice."""
-    hits = tokens.where(F.col("token").isin(nodes)).select(F.col("position").alias("hit"), F.col("token").alias("node"))
-    offsets = [k for k in range(-left, right + 1) if k]
-    spread = hits.select("node", F.explode(F.transform(F.array(*map(F.lit, offsets)), lambda k: F.col("hit") + k)).alias("position"))
-    # the frequent node words would meet in no key: positions are distinct
-    return spread.join(tokens, "position").groupBy("node", F.col("token").alias("collocate")).agg(F.count(F.lit(1)).alias("O"))
+def cooccurrences(docs: DataFrame, nodes: list[str], left: int, right: int, ignore_case: bool = True) -> DataFrame:
+    """node, collocate, O: each hit counts every token of its span but itself; overlapping spans count twice.
+
+    Inside a document a span is a slice of its tokens, counted in the task that reads it. Only what crosses a document's ends is joined: offsets of
+    hits near an end with tokens near an end, by position in the stream.
+    """
+    wide = max(left, right)
+    found = F.array(*map(F.lit, nodes))
+    rows = docs.select("source", "line_no", tokenize("text", not ignore_case).alias("t"))
+    hits = F.expr("filter(transform(t, (x, i) -> struct(x as node, i as at)), h -> array_contains(nodes, h.node))")
+    # the tokens of a span, without the hit itself
+    span = F.expr(f"transform(hits, h -> struct(h.node as node, concat(slice(t, greatest(h.at - {left}, 0) + 1, least(h.at, {left})), slice(t, h.at + 2, {right})) as c))")
+    inside = rows.withColumn("nodes", found).withColumn("hits", hits).where(F.size("hits") > 0).select(F.explode(span).alias("s")).select(F.col("s.node").alias("node"), F.explode("s.c").alias("collocate"))
+    inside = inside.groupBy("node", "collocate").agg(F.count(F.lit(1)).alias("O"))
+    edge = F.expr(f"transform(filter(sequence(0, size(t) - 1), i -> i < {wide} or i >= size(t) - {wide}), i -> struct(i as at, t[i] as token))")
+    ends = rows.where(F.size("t") > 0).select("source", "line_no", F.size("t").alias("n"), F.explode(edge).alias("e")).select("source", "line_no", "n", "e.*")
+    counts = rows.select("source", "line_no", F.size("t").cast("long").alias("n"))
+    offsets = running(counts, [], ["source", "line_no"], "n").select("source", "line_no", "before")
+    tokens = ends.join(offsets, ["source", "line_no"]).select((F.col("before") + F.col("at")).alias("position"), "token", "at", "n")
+    beyond = F.filter(F.sequence(F.lit(-left), F.lit(right)), lambda k: ((F.col("at") + k) < 0) | ((F.col("at") + k) >= F.col("n")))
+    across = tokens.where(F.col("token").isin(nodes)).select(F.col("token").alias("node"), F.explode(F.transform(beyond, lambda k: F.col("position") + k)).alias("position"))
+    across = across.join(tokens.select("position", F.col("token").alias("collocate")), "position").groupBy("node", "collocate").agg(F.count(F.lit(1)).alias("O"))
+    return inside.union(across).groupBy("node", "collocate").agg(F.sum("O").alias("O"))
 
 
 def collocations(docs: DataFrame, nodes: str | list[str], span_left: int = 5, span_right: int = 5, min_freq: int = 1, ignore_case: bool = True) -> DataFrame:
     """COLUMNS of every pair with O >= min_freq; node words that don't occur give none."""
     wanted = parse_nodes(nodes)
-    tokens = stream(docs, ignore_case)
-    freq = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
+    freq = unigrams(docs, not ignore_case)
     total = freq.agg(F.sum("f").alias("N"))
-    pairs = cooccurrences(tokens, wanted, span_left, span_right).where(F.col("O") >= min_freq)
+    pairs = cooccurrences(docs, wanted, span_left, span_right, ignore_case).where(F.col("O") >= min_freq)
     f1 = freq.where(F.col("token").isin(wanted)).select(F.col("token").alias("node"), F.col("f").alias("f_node"))
     f2 = freq.select(F.col("token").alias("collocate"), F.col("f").alias("f_collocate"))
     rows = pairs.join(f1, "node").join(f2, "collocate").crossJoin(F.broadcast(total))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import PatternError, check_pattern, java_pattern, literal_pattern, words
@@ -48,16 +48,36 @@ def search(docs: DataFrame, query: str, match: str = "fixed", whole_word: bool =
     rows = rows.withColumn("parts", F.split(F.regexp_replace("text", pattern, f"{OPEN}$0{CLOSE}"), OPEN))
     found = rows.select("source", "line_no", "speaker", "parts", F.posexplode("parts").alias("k", "part")).where("k > 0")
     found = found.withColumn("keyword", F.substring_index("part", CLOSE, 1)).where("keyword <> ''")
-    before = F.translate(F.array_join(F.slice("parts", F.lit(1), F.col("k")), ""), CLOSE, "")
-    rest = F.concat(F.expr("substring(part, length(keyword) + 2)"), F.array_join(F.slice("parts", F.col("k") + 2, F.size("parts")), ""))
-    left, right = words(before), words(F.translate(rest, CLOSE, ""))
-    return found.select(
+    left, right = _context(window)
+    return found.withColumns({"left_words": left, "right_words": right}).select(
         "source", "line_no", F.col("k").alias("match_no"), "speaker",
-        F.array_join(F.slice(left, F.greatest(F.size(left) - window, F.lit(0)) + 1, F.lit(window)), " ").alias("left"), "keyword",
-        F.array_join(F.slice(right, F.lit(1), F.lit(window)), " ").alias("right"),
+        F.array_join(F.slice("left_words", F.greatest(F.size("left_words") - window, F.lit(0)) + 1, F.lit(window)), " ").alias("left"), "keyword",
+        F.array_join(F.slice("right_words", F.lit(1), F.lit(window)), " ").alias("right"),
     )
 
 
+#: Parts beside a match that are looked at first, and characters for each word of the window
+NEAR, CHARS = 15, 64
+
+
+def _context(window: int) -> tuple[Column, Column]:
+    """Words before and after a match (columns parts, k, part, keyword), as many as the window needs. The text near the match is taken first; only
+    where it holds too few words is the whole text put together, so a row with many matches isn't copied for each of them."""
+    k, last = F.col("k"), F.size("parts") - 1
+    plain = lambda x: F.translate(x, CLOSE, "")
+    rest = F.expr("substring(part, length(keyword) + 2)")
+    low = F.greatest(k - NEAR, F.lit(0))
+    ahead = F.least(last - k, F.lit(NEAR))
+    near_left = plain(F.array_join(F.slice("parts", low + 1, k - low), ""))
+    near_right = plain(F.concat(rest, F.array_join(F.slice("parts", k + 2, ahead), "")))
+    all_left = plain(F.array_join(F.slice("parts", F.lit(1), k), ""))
+    all_right = plain(F.concat(rest, F.array_join(F.slice("parts", k + 2, F.size("parts")), "")))
+    close_left, close_right = words(F.right(near_left, F.lit(CHARS * window))), words(F.left(near_right, F.lit(CHARS * window)))
+    # one word more than needed: the outermost may be cut
+    left = F.when(F.size(close_left) > window, close_left).otherwise(words(all_left))
+    return left, F.when(F.size(close_right) > window, close_right).otherwise(words(all_right))
+
+
 def sort_rows(rows: DataFrame, by: str | None = None) -> DataFrame:
     """Document and match order, or the locale order of one side."""
     keys = ["source", "line_no", "match_no"]

@@ -52,7 +52,7 @@ def analyze(docs: DataFrame, n: int = 2, min_freq: int = 1, stopwords: list[str]
     counted = count_ngrams(docs, n, case_sensitive).where(F.col("n_count") >= min_freq)
     if stopwords:
         banned = F.array(*[F.lit(w) for w in stopwords])
-        counted = counted.where(~F.exists(F.split("ngram", " "), lambda x: F.array_contains(banned, F.lower(x))))
+        counted = counted.where(~F.arrays_overlap(F.split(F.lower("ngram"), " "), banned))
     if n != 2:
         return counted
     words = unigrams(docs, case_sensitive)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import JS_SPACE, squash, trim
+from ..plans.staging import stage
 from .cleaning import straighten, strip_timecodes
 
 #: fixed values: speaker codes, markers and header lines of the convention
@@ -187,18 +188,19 @@ def _with_declared(lines: DataFrame, declared: DataFrame | None) -> DataFrame:
 def parse(docs: DataFrame, text: str = "text", header_rows: int = 0, footer_rows: int = 0) -> dict[str, DataFrame]:
     """Frames rows, speakers, speaker_diagnostics, body_diagnostics, markers, section_diagnostics of documents (doc, text).
 
-    Two plans, as the halves need each other: the first folds on line shape and reads the declared codes, the second folds with them.
+    Two plans, as the halves need each other: the first folds on line shape and reads the declared codes, the second folds with them. Lines are
+    staged after each step, as six frames come from them.
     """
-    lines = to_lines(docs, text)
+    lines = stage(to_lines(docs, text), "lines")
     first = speakers(speaker_block(fold(_with_declared(lines, None))))
     declared = first.groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list(F.array_compact(F.array("code", "optional_code"))))).alias("declared"))
-    folded = fold(_with_declared(lines, declared))
+    folded = stage(fold(_with_declared(lines, declared)), "folded")
     block = speaker_block(folded)
     who = speakers(block)
     codes = who.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("code", "resolved"))).alias("ids"))
 
     per_doc, w = Window.partitionBy("doc"), Window.partitionBy("doc").orderBy("line_no")
-    m = folded.where("line <> ''").withColumn("c", classify(F.col("line"), F.col("declared"))).select("doc", "line_no", "line", "c.*")
+    m = stage(folded.where("line <> ''").withColumn("c", classify(F.col("line"), F.col("declared"))).select("doc", "line_no", "line", "c.*"), "classified")
     is_block, is_marker = F.col("line").rlike(BLOCK), F.col("kind") == "section"
     m = m.withColumn("free", ~F.coalesce(F.max(is_block | is_marker).over(per_doc), F.lit(False)))
     # without block and markers the body starts at the first turn of a speaker who comes back
