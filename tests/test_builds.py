@@ -7,9 +7,9 @@ from verbarium.operators import transcripts as T
 def test_transcript_graph_and_chat_files(spark):
     p = T.parse(spark.createDataFrame([("My Talk.txt", "Speakers:\nA: An [Anna] (x) #an\nPRELIMINARIES\nMAIN\nA: hi")], "doc string, text string"))
     e, props = B.transcript_graph(p)
-    assert sorted(r.id for r in e.collect()) == ["#an", "#my-talk", "My Talk.txt", "_outputs/csv/My Talk.csv"]
+    assert sorted(r.id for r in e.collect()) == ["#an", "#my-talk", "#my-talk-annotation", "My Talk.txt", "_outputs/csv/My Talk.csv"]
     got = {(r.id, r.key, r.value or r.ref) for r in props.collect()}
-    assert {("#my-talk", "speaker", "#an"), ("#an", "alternateName", "Anna"), ("#an", "description", "x"), ("#my-talk", "hasPart", "_outputs/csv/My Talk.csv")} <= got
+    assert {("#my-talk", "speaker", "#an"), ("#an", "alternateName", "Anna"), ("#an", "description", "x"), ("#my-talk", "hasPart", "_outputs/csv/My Talk.csv"), ("#my-talk-annotation", "annotationBody", "_outputs/csv/My Talk.csv"), ("_outputs/csv/My Talk.csv", "isPartOf", "#my-talk")} <= got
     docs = spark.createDataFrame([("My Talk.txt",), ("none.txt",)], "doc string")
     for _ in range(2):  # a second time adds nothing
         e, props = B.add_chat_files(e, props, docs)

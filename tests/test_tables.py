@@ -69,7 +69,7 @@ def test_merge_graphs(make, spark):
     seeded = graph.seed_root(make([], [("./", "name", "mine")])[1], make([], [("./", "name", "theirs"), ("./", "license", "L"), ("./", "hasPart", ("x",))])[1])
     assert sorted((r.key, r.value) for r in seeded.collect()) == [("license", "L"), ("name", "mine")]
     wanted = spark.createDataFrame([("#x", "#y"), ("#x", "#none"), ("#y", "#none")], "id string, ref string")
-    p2, missing = graph.apply_membership(e, make([], [("#x", "memberOf", ("#old",)), ("#y", "memberOf", ("#old",))])[1], wanted)
+    p2, missing = graph.apply_membership(e, make([], [("#x", "pcdm:hasMember", ("#old",)), ("#y", "pcdm:hasMember", ("#old",))])[1], wanted)
     assert sorted((r.id, r.ref) for r in p2.collect()) == [("#x", "#y"), ("#y", "#old")] and missing.count() == 2
 
 
@@ -77,7 +77,7 @@ def test_warnings(make, spark):
     e, p = make([("./", "Dataset"), ("#a", "X")], [("./", "hasPart", ("#a",)), ("./", "about", ("#b",)), ("./", "license", ("http://l",)), ("#a", "odd", "1"), ("#a", "rdfs:label", "1")])
     assert [(r.key, r.ref) for r in graph.dangling(e, p).collect()] == [("about", "#b")]
     known = spark.createDataFrame([("hasPart",), ("about",), ("license",)], "key string")
-    assert [r.key for r in graph.unknown_properties(p, known).collect()] == ["odd"]
+    assert [r.key for r in graph.unknown_properties(e, p, known).collect()] == ["odd"]
     m = spark.createDataFrame([(0, "b"), (1, "a"), (2, "b")], "ord int, message string")
     assert [(r.message, r.n) for r in graph.counted_messages(m).collect()] == [("b", 2), ("a", 1)]
 
@@ -139,7 +139,7 @@ def test_sheets_and_geometry(make, spark):
     rows = spark.createDataFrame([(0, "@context", '{"a": "http://a/"}'), (1, "a:", "http://other/"), (2, "b", "https://b/"), (3, "c", "text")], "ord int, key string, value string")
     assert {(r.prefix, r.uri) for r in graph.prefixes(rows).collect()} == {("a", "http://a/"), ("b", "https://b/")}
     e3, p3 = graph.custom_properties(*make([("x", "File")], [("x", "custom:fileSize_kb", "1")]))
-    assert "File Size Kb" in {r.value for r in p3.where("key = 'name'").collect()} and e3.count() == 2
+    assert "File Size kb" in {r.value for r in p3.where("key = 'name'").collect()} and e3.count() == 2
 
 
 def test_tables(make, spark):

@@ -29,14 +29,21 @@ def _link(df: DataFrame, key: str, ref, order=None) -> DataFrame:
 def transcript_graph(parsed: dict[str, DataFrame], folder: str = "_outputs/csv") -> tuple[DataFrame, DataFrame]:
     """entity and prop: an object for each transcript with its source file and CSV, and its speakers as people with their details."""
     docs = parsed["rows"].select("doc").distinct()
-    objects = docs.select(F.concat(F.lit("#"), slug(F.regexp_replace("doc", r"\.[^.]*\z", ""))).alias("id"), "doc")
-    csv = F.concat(F.lit(f"{folder}/"), F.regexp_replace("doc", r"\.[^.]*\z", ""), F.lit(".csv"))
+    base = F.regexp_replace("doc", r"\.[^.]*\z", "")
+    objects = docs.select(F.concat(F.lit("#"), slug(base)).alias("id"), "doc", F.concat(F.lit(f"{folder}/"), base, F.lit(".csv")).alias("csv"))
     people = person_entities(parsed["speakers"])
+    note = F.concat("id", F.lit("-annotation"))
     kind = lambda df, c, *t: df.select(c.alias("id"), F.array(*map(F.lit, t)).alias("types"))
-    entity = kind(objects, F.col("id"), "RepositoryObject").unionByName(kind(docs, F.col("doc"), "File")).unionByName(kind(docs, csv, "File")).unionByName(kind(people, F.col("id"), "Person"))
+    entity = kind(objects, F.col("id"), "RepositoryObject").unionByName(kind(objects, F.col("doc"), "File")).unionByName(kind(objects, F.col("csv"), "File")).unionByName(kind(objects, note, "Annotation")).unionByName(kind(people, F.col("id"), "Person"))
     who = parsed["speakers"].select("doc", F.when(F.col("resolved").startswith("#"), F.col("resolved")).otherwise(F.concat(F.lit("#"), "resolved")).alias("person"), "order").dropDuplicates(["doc", "person"])
     speaks = objects.join(who, "doc").withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("order")) - 1)
-    prop = _value(objects, "name", F.col("doc")).unionByName(_link(objects, "hasPart", F.col("doc"))).unionByName(_link(objects, "hasPart", csv, F.lit(1)))
+    prop = _value(objects, "name", F.col("doc")).unionByName(_link(objects, "hasPart", F.col("doc"))).unionByName(_link(objects, "hasPart", F.col("csv"), F.lit(1)))
+    source, table = objects.select(F.col("doc").alias("id")), objects.select(F.col("csv").alias("id"), "doc", F.col("id").alias("object"))
+    media = F.when(F.lower("id").endswith(".docx"), "application/vnd.openxmlformats-officedocument.wordprocessingml.document").otherwise("text/plain")
+    prop = prop.unionByName(_value(source, "name", F.col("id"))).unionByName(_value(source, "encodingFormat", media)).unionByName(_value(table, "encodingFormat", F.lit("text/csv")))
+    prop = prop.unionByName(_value(table, "name", F.regexp_extract("id", r"([^/]*)\z", 1))).unionByName(_link(table, "annotationOf", F.col("doc"))).unionByName(_link(table, "isPartOf", F.col("object")))
+    notes = objects.select(note.alias("id"), F.col("id").alias("object"), "csv")
+    prop = prop.unionByName(_link(notes, "annotationOf", F.col("object"))).unionByName(_link(notes, "annotationBody", F.col("csv")))
     prop = prop.unionByName(_link(speaks, "speaker", F.col("person"), F.col("n"))).unionByName(_value(people, "name", F.col("name")))
     some = lambda c: people.where(F.coalesce(c, F.lit("")) != "")
     prop = prop.unionByName(_value(some("alternate_name"), "alternateName", F.col("alternate_name"))).unionByName(_value(some("description"), "description", F.col("description")))

@@ -159,16 +159,15 @@ def mercator(lat: Column, lon: Column, zoom: int, tile_x: float = 0, tile_y: flo
     return round_half_up(x, 2), round_half_up(y, 2)
 
 
-def best_zoom(points: DataFrame, width: int = 640, height: int = 400, most: int = 18) -> int:
-    """The closest zoom at which all points fit."""
+def best_zoom(points: DataFrame, target: int = 512, tile: int = TILE, most: int = 20) -> int:
+    """The closest zoom at which all points fit a square of `target` pixels."""
     r = points.agg(F.min("latitude").alias("a"), F.max("latitude").alias("b"), F.min("longitude").alias("c"), F.max("longitude").alias("d")).first()
     if r.a is None:
         return 0
-    y = lambda lat: (1 - math.log(math.tan(math.radians(lat)) + 1 / math.cos(math.radians(lat))) / math.pi) / 2
-    clamp = lambda lat: max(-MOST_LATITUDE, min(MOST_LATITUDE, lat))
-    dx, dy = (r.d - r.c) / 360 * TILE, abs(y(clamp(r.a)) - y(clamp(r.b))) * TILE
-    fits = [math.log2(side / d) for side, d in ((width, dx), (height, dy)) if d > 0]
-    return max(0, min(most, math.floor(min(fits)))) if fits else most
+    north = lambda lat: math.log(math.tan(math.pi / 4 + math.radians(max(-MOST_LATITUDE, min(MOST_LATITUDE, lat))) / 2))
+    across, along = (r.d - r.c) or 0.0001, abs(north(r.b) - north(r.a)) or 0.0001
+    zoom = min(math.log2(target * 360 / (across * tile)), math.log2(target * 2 * math.pi / (along * tile)))
+    return max(0, min(most, math.floor(zoom)))
 
 
 def heat_cells(points: DataFrame, zoom: int, cell: int = 16) -> DataFrame:

@@ -20,18 +20,27 @@ VERSION = 1
 #: fixed value: a `Key: value` line
 HEADER_FIELD = r"^\s*(?<key>[^:\t]+?)\s*:\s*(?<value>.*)$"
 TURN_FIELDS = ("turn", "speaker", "text")
-SPEAKER_FIELDS = ("code", "name", "details", "id")
-CUSTOM = re.compile(r"^c_[a-z0-9_]+$")
+SPEAKER_FIELDS = ("code", "name", "alternateName", "affiliation", "id")
+CUSTOM = re.compile(r"^c_[A-Za-z0-9_]+$")
 MARK = "\x00"
 
 
 def layout(grammar: dict) -> dict[str, bool]:
-    """Which parts a format has; all unless its regions say otherwise."""
-    regions = grammar.get("regions") or {}
-    return {
-        "header": not (regions.get("header") or {}).get("absent", False), "speakers": bool(grammar.get("speakerRow")) and not (regions.get("speakers") or {}).get("absent", False),
-        "markers": not regions.get("noMarkers", False),
-    }
+    """Which parts a format has: all but those that its saved layout rules out."""
+    saved = (grammar.get("regions") or {}).get("layout") or {}
+    return {part: saved.get(part) is not False for part in ("header", "speakers", "markers")}
+
+
+def custom_key(label: str, taken: tuple[str, ...] = ()) -> str:
+    """The key of a custom field: `c_` and the label's letters and digits, unique among those taken."""
+    import unicodedata
+
+    plain = unicodedata.normalize("NFKD", label)
+    base = "c_" + (re.sub(r"[^A-Za-z0-9]+", "_", plain).strip("_").lower() or "field")
+    key, n = base, 2
+    while key in taken:
+        key, n = f"{base}_{n}", n + 1
+    return key
 
 
 def validate(grammar: object) -> list[str]:
@@ -430,7 +439,8 @@ def build(name: str, speaker_samples: list[dict], turn_samples: list[dict], *, s
     return {
         "version": VERSION, "name": name or "default",
         "regions": {
-            "header": {"keys": list(header_keys), "absent": not has_header}, "speakers": {"start": f"^{exact(speakers_start)}$" if speakers_start else None, "absent": not speaker_samples},
+            "layout": {"header": has_header, "speakers": bool(speaker_samples), "markers": bool(speakers_start or main_start or sections)},
+            "header": {"keys": list(header_keys)}, "speakers": {"start": f"^{exact(speakers_start)}$" if speakers_start else None},
             "main": {"start": f"^{exact(main_start)}$" if main_start else None, "sectionPattern": "^(?:" + "|".join(map(exact, sections)) + ")$" if sections else None},
         },
         "ignore": list(dict.fromkeys(ignore)), "strip": [{"pattern": p, "flags": "u"} for p in strip], "dropColumns": [] if fixed_width else list(drop),

@@ -12,10 +12,15 @@ from ..plans.staging import stage
 
 ENTITY, PROP = "id string, types array<string>", "id string, key string, ord int, value string, ref string"
 #: fixed values: what is structure in a scanned folder
-STRUCTURAL = ["File", "RepositoryObject", "RepositoryCollection", "Dataset"]
+STRUCTURAL = ["File", "RepositoryObject", "RepositoryCollection"]
 MEMBERS, MEMBER_OF = ["hasPart", "hasMember", "pcdm:hasMember"], ["isPartOf", "memberOf", "pcdm:memberOf"]
 DESCRIPTOR, ROOT = "ro-crate-metadata.json", "./"
 PUBLISH = "custom:publish"
+#: fixed values: what a root keeps to itself, references that leave the graph, types that only define words, the base of custom properties
+ROOT_ONLY = ["hasPart", "pcdm:hasMember", "conformsTo"]
+EXTERNAL = ["conformsTo", "license", "encodingFormat", "url", "sameAs", "identifier", "isBasedOn", "citation"]
+VOCABULARY = ["rdf:Property", "rdfs:Class", "DefinedTerm", "DefinedTermSet", "ItemList", "PropertyValue"]
+CUSTOM_BASE = "arcp://name,custom/terms#"
 
 
 # -- JSON in and out -----------------------------------------------------------------------------------------------------------------
@@ -105,7 +110,7 @@ def clear_scan(entity: DataFrame, prop: DataFrame, root: str = ROOT, descriptor:
 
 def seed_root(prop: DataFrame, source: DataFrame, root: str = ROOT, source_root: str = ROOT) -> DataFrame:
     """The root's gaps filled with what the source's root states; structure is left out."""
-    new = source.where((F.col("id") == source_root) & ~F.col("key").isin(*MEMBERS, *MEMBER_OF, "conformsTo"))
+    new = source.where((F.col("id") == source_root) & ~F.col("key").isin(ROOT_ONLY))
     have = prop.where(F.col("id") == root).select("key").distinct()
     return prop.unionByName(new.join(have, "key", "left_anti").withColumn("id", F.lit(root)).select("id", "key", "ord", "value", "ref"))
 
@@ -130,7 +135,7 @@ def merge_graphs(entity: DataFrame, prop: DataFrame, source_entity: DataFrame, s
     return e, p, added.crossJoin(enriched).crossJoin(sp.agg(F.count_if("moved").alias("remapped")))
 
 
-def apply_membership(entity: DataFrame, prop: DataFrame, wanted: DataFrame, key: str = "memberOf") -> tuple[DataFrame, DataFrame]:
+def apply_membership(entity: DataFrame, prop: DataFrame, wanted: DataFrame, key: str = "pcdm:hasMember") -> tuple[DataFrame, DataFrame]:
     """wanted: id, ref. An entity's members become those wanted that exist; if none does, the old ones stay. Second frame: those missing."""
     there = wanted.join(entity.select(F.col("id").alias("ref")), "ref", "left_semi")
     missing = wanted.join(entity.select(F.col("id").alias("ref")), "ref", "left_anti")
@@ -140,16 +145,17 @@ def apply_membership(entity: DataFrame, prop: DataFrame, wanted: DataFrame, key:
     return kept.unionByName(there.select("id", F.lit(key).alias("key"), order.cast("int").alias("ord"), F.lit(None).cast("string").alias("value"), "ref")), missing
 
 
-def dangling(entity: DataFrame, prop: DataFrame, external: list[str] = ("conformsTo", "license", "sameAs", "url")) -> DataFrame:
+def dangling(entity: DataFrame, prop: DataFrame, external: list[str] = EXTERNAL) -> DataFrame:
     """id, key, ref of references to nothing."""
     refs = prop.where(F.col("ref").isNotNull() & ~F.col("key").isin(*external))
     return refs.join(entity.select(F.col("id").alias("ref")), "ref", "left_anti").select("id", "key", "ref")
 
 
-def unknown_properties(prop: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """key, n of properties outside a vocabulary (column key) that aren't keywords or rdf(s) terms."""
-    used = prop.where(~F.col("key").rlike("^(@|rdfs?:)") & (F.col("id") != DESCRIPTOR)).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    return used.join(vocabulary.select("key"), "key", "left_anti")
+def unknown_properties(entity: DataFrame, prop: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """id, key of properties outside a vocabulary (column key) that aren't rdf(s) terms; entities that define words, and the descriptor, are left out."""
+    judged = entity.where(~F.arrays_overlap("types", F.array(*map(F.lit, VOCABULARY))) & (F.col("id") != DESCRIPTOR)).select("id")
+    used = prop.where(~F.col("key").rlike("^rdfs?:")).join(judged, "id", "left_semi").select("id", "key").distinct()
+    return used.join(vocabulary.select("key"), "key", "left_anti").select("id", "key")
 
 
 def counted_messages(messages: DataFrame, most: int = 40) -> DataFrame:
@@ -197,17 +203,20 @@ def merge_sheet(entity: DataFrame, prop: DataFrame, sheet: DataFrame, mapping: l
 
 
 def set_geometry(entity: DataFrame, prop: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """places: id, name, latitude, longitude. Writes each Place's geometry, the one it has or a new one. Third frame: one row, enriched."""
+    """places: id, name, latitude, longitude. Writes each Place's geometry, the one it has or a new one. Third frame: one row, enriched: the
+    places that had none before."""
     have = prop.where("key = 'geo' and ref is not null").groupBy("id").agg(F.min_by("ref", "ord").alias("geo"))
     first = places.withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("name"))).where("r = 1 and latitude is not null and longitude is not null")
     g = first.join(have, "id", "left").withColumn("new", F.col("geo").isNull()).withColumn("geo", F.coalesce("geo", geometry_id(F.col("id"), F.col("name"))))
     wkt = F.concat(F.lit("POINT("), F.col("longitude").cast("string"), F.lit(" "), F.col("latitude").cast("string"), F.lit(")"))
     none = F.lit(None).cast("string")
-    point = g.select(F.col("geo").alias("id"), F.lit("asWKT").alias("key"), F.lit(0).alias("ord"), wkt.alias("value"), none.alias("ref")).dropDuplicates(["id"])
-    link = g.where("new").select("id", F.lit("geo").alias("key"), F.lit(0).alias("ord"), none.alias("value"), F.col("geo").alias("ref"))
-    made = point.select("id", F.array(F.lit("Geometry")).alias("types")).join(entity.select("id"), "id", "left_anti")
+    facts = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in ((".latitude", F.col("latitude")), (".longitude", F.col("longitude")), ("asWKT", wkt))])
+    point = g.dropDuplicates(["geo"]).select(F.col("geo").alias("id"), F.explode(facts).alias("f")).select("id", "f.key", F.lit(0).alias("ord"), "f.value", none.alias("ref"))
+    known = g.join(entity.select("id"), "id", "left_semi")
+    link = known.where("new").select("id", F.lit("geo").alias("key"), F.lit(0).alias("ord"), none.alias("value"), F.col("geo").alias("ref"))
+    made = g.select(F.col("geo").alias("id")).distinct().join(entity.select("id"), "id", "left_anti").select("id", F.array(F.lit("Geometry")).alias("types"))
     p = prop.join(point.select("id", "key"), ["id", "key"], "left_anti").unionByName(point).unionByName(link)
-    return entity.unionByName(made), p, g.agg(F.count(F.lit(1)).alias("enriched"))
+    return entity.unionByName(made), p, known.agg(F.count_if("new").alias("enriched"))
 
 
 def prefixes(rows: DataFrame) -> DataFrame:
@@ -220,13 +229,13 @@ def prefixes(rows: DataFrame) -> DataFrame:
 
 def custom_properties(entity: DataFrame, prop: DataFrame) -> tuple[DataFrame, DataFrame]:
     """An rdf:Property with a readable name for every `custom:` property in use that has none."""
-    used = prop.where("key like 'custom:%'").select(F.concat(F.lit("https://w3id.org/ldac/terms#"), F.substring("key", 8, 1000)).alias("id"), "key").distinct()
+    local = F.substring("key", 8, 1000)
+    used = prop.where("key like 'custom:%'").select(F.concat(F.lit(CUSTOM_BASE), local).alias("id"), local.alias("local")).distinct()
     new = used.join(entity.select("id"), "id", "left_anti")
-    words = F.initcap(F.lower(F.trim(F.regexp_replace(F.regexp_replace(F.substring("key", 8, 1000), "([a-z0-9])([A-Z])", "$1 $2"), "[_-]+", " "))))
-    none = F.lit(None).cast("string")
-    pairs = F.array(F.struct(F.lit("name").alias("key"), words.alias("value")), F.struct(F.lit("rdfs:label").alias("key"), F.col("key").alias("value")))
-    p = new.select("id", F.explode(pairs).alias("p")).select("id", "p.key", F.lit(0).alias("ord"), "p.value", none.alias("ref"))
-    return entity.unionByName(new.select("id", F.array(F.lit("rdf:Property")).alias("types"))), prop.unionByName(p)
+    spaced = F.trim(F.regexp_replace(F.regexp_replace("local", "([a-z0-9])([A-Z])", "$1 $2"), "[_-]+", " "))
+    words = F.concat(F.upper(F.substring(spaced, 1, 1)), F.substring(spaced, 2, 1000))
+    names = new.select("id", F.lit("name").alias("key"), F.lit(0).alias("ord"), words.alias("value"), F.lit(None).cast("string").alias("ref"))
+    return entity.unionByName(new.select("id", F.array(F.lit("rdf:Property")).alias("types"))), prop.unionByName(names)
 
 
 # -- publishing a part ---------------------------------------------------------------------------------------------------------------

@@ -50,13 +50,15 @@ def to_lines(docs: DataFrame, text: str = "text", doc: str = "doc") -> DataFrame
 
 
 def paragraph_numbers(lines: DataFrame) -> DataFrame:
-    """Adds paragraph: blank lines end paragraphs where at least nine in ten filled lines are followed by one; else it is the line number."""
+    """Adds paragraph: the number of the paragraph that each line is in, where paragraphs are divided by an empty line each, as in the text of
+    a word processor's file. Every second empty line of a run, and the line after an odd run, begins one."""
     w = Window.partitionBy("doc").orderBy("line_no")
-    filled = trim("raw") != ""
-    spaced = filled & (F.coalesce(trim(F.lead("raw").over(w)), F.lit("")) == "")
-    share = F.sum(spaced.cast("int")).over(Window.partitionBy("doc")) / F.greatest(F.sum(filled.cast("int")).over(Window.partitionBy("doc")), F.lit(1))
-    pairs = F.count_if(~filled).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return lines.withColumn("paragraph", F.when(share >= 0.9, pairs + 1).otherwise(F.col("line_no")))
+    empty = (F.col("raw") == "") & (F.col("line_no") > 1)
+    m = lines.withColumn("empty", empty).withColumn("filled", F.sum((~empty).cast("int")).over(w))
+    m = m.withColumn("nth", F.sum(F.col("empty").cast("int")).over(Window.partitionBy("doc", "filled").orderBy("line_no")))
+    before = F.coalesce(F.lag("nth").over(w), F.lit(0))
+    begins = F.when(F.col("empty"), F.col("nth") % 2 == 0).otherwise(before % 2 == 1)
+    return m.withColumn("paragraph", 1 + F.sum(begins.cast("int")).over(w)).drop("empty", "filled", "nth")
 
 
 def _issue(when: Column, field: str, kind: str, detail: Column | str) -> Column:
