@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import charts, graph, names, transcripts
+from ..operators import charts, grammar, graph, names, transcripts
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -213,6 +213,35 @@ def merge_by_id(spark, d):
     return out["prop"].where("key in ('label', 'author')").select("id", "key", "ord", "value", "ref")
 
 
+@query("unknown_properties", "SELECT '#c' || c_custkey AS id, 'custom:publish' AS key FROM customer WHERE c_custkey % 3 = 0 UNION ALL SELECT '#n' || n_nationkey, 'custom:publish' FROM nation WHERE n_nationkey % 4 = 1")
+def unknown_properties(spark, d):
+    known = spark.createDataFrame([("hasPart",), ("name",), ("knows",)], "key string")
+    return graph.unknown_properties(*_graph(spark, d), known)
+
+
+@query("set_geometry", """
+SELECT '#location-place-' || n_nationkey AS id, '.latitude' AS key, CAST(CAST(n_nationkey AS DOUBLE) AS VARCHAR) AS value FROM nation
+UNION ALL SELECT '#location-place-' || n_nationkey, '.longitude', CAST(CAST(n_regionkey AS DOUBLE) AS VARCHAR) FROM nation
+UNION ALL SELECT '#location-place-' || n_nationkey, 'asWKT', 'POINT(' || CAST(n_regionkey AS DOUBLE) || ' ' || CAST(n_nationkey AS DOUBLE) || ')' FROM nation""")
+def set_geometry(spark, d):
+    e, p = _graph(spark, d)
+    places = _t(spark, d, "nation").select(F.concat(F.lit("#place-place-"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"), F.col("n_nationkey").cast("double").alias("latitude"), F.col("n_regionkey").cast("double").alias("longitude"))
+    return graph.set_geometry(e, p, places)[1].where("id like '#location-%'").select("id", "key", "value")
+
+
+@query("custom_properties", "SELECT 'arcp://name,custom/terms#publish' AS id, 'Publish' AS value")
+def custom_properties(spark, d):
+    return graph.custom_properties(*_graph(spark, d))[1].where("id like 'arcp:%'").select("id", "value")
+
+
+@query("collection_members", "SELECT './' AS id, 'pcdm:hasMember' AS key, '#n' || n_nationkey AS ref FROM nation WHERE n_regionkey = 1")
+def collection_members(spark, d):
+    e, p = _graph(spark, d)
+    n = _t(spark, d, "nation").where("n_regionkey = 1").select(F.lit("./").alias("id"), F.concat(F.lit("#n"), F.col("n_nationkey").cast("string")).alias("ref"))
+    wanted = n.union(spark.createDataFrame([("./", "#nowhere")], "id string, ref string"))
+    return graph.apply_membership(e, p, wanted)[0].where("key = 'pcdm:hasMember'").select("id", "key", "ref")
+
+
 @query("merge_graphs", """
 WITH n AS (SELECT n_nationkey FROM nation)
 SELECT count(*) FILTER (s_suppkey NOT IN (SELECT c_custkey FROM customer)) AS added, count(*) FILTER (s_suppkey IN (SELECT c_custkey FROM customer)) AS enriched, CAST(0 AS BIGINT) AS remapped FROM supplier""")
@@ -266,6 +295,46 @@ def chat_export(spark, d):
     return transcripts.chat_text(p["rows"], p["speakers"], "eng", "c1")
 
 
+@query("transcript_csv", f"""
+WITH t AS (SELECT conv_id, turn, {_LINE} AS l, CASE role WHEN 'user' THEN '#una' WHEN 'assistant' THEN '#abe' ELSE 'SYSTEM' END AS who,
+  translate(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')), '“”‘’—–', '""\'\'--') AS x FROM conversations)
+SELECT CAST(conv_id AS VARCHAR) AS doc, 'turnNumber,speakerID,text,section' || chr(10) || string_agg(',' || who || ',' || CASE WHEN regexp_matches(x, '[,"]') THEN '"' || replace(x, '"', '""') || '"' ELSE x END || ',MAIN', chr(10) ORDER BY turn, l) || chr(10) AS text
+FROM t GROUP BY conv_id""".replace("\\'", "''"))
+def transcript_csv(spark, d):
+    return transcripts.csv_text(transcripts.parse(_as_transcripts(spark, d))["rows"])
+
+
+GRAMMAR = {
+    "version": 1, "name": "numbered", "regions": {"layout": {"header": False, "speakers": False}, "main": {"sectionPattern": "^== .*$"}}, "ignore": ["^%.*"], "strip": [{"pattern": "[(][^()]*[)]"}],
+    "turnRow": {"pattern": r"^(?<turn>\d+)\t(?<speaker>[a-z]+): (?<text>.*)$", "rowStart": r"^(?<turn>\d+)\t"},
+}
+
+
+@query("grammar_turns", """
+SELECT CAST(conv_id AS VARCHAR) AS doc, CAST(turn AS VARCHAR) AS turn_number, '#' || role AS speaker_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) || ' tail' AS text, '== A' AS section
+FROM conversations WHERE NOT regexp_matches(coalesce(text, ''), '[()]')""")
+def grammar_turns(spark, d):
+    """Each turn as a numbered row that is followed by a comment and a wrapped line, below a section line."""
+    c = _t(spark, d, "conversations").where("not coalesce(text, '') rlike '[()]'")
+    row = F.concat(F.col("turn").cast("string"), F.lit("\t"), "role", F.lit(": "), F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), F.lit(" (x)\n% note\n  tail"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", row.alias("l")))), lambda x: x["l"])
+    docs = c.groupBy(F.col("conv_id").cast("string").alias("doc")).agg(F.concat(F.lit("== A\n"), F.array_join(ordered, "\n")).alias("text"))
+    return grammar.rows(grammar.parse(grammar.read_lines(docs), GRAMMAR)).select("doc", "turn_number", "speaker_id", "text", "section")
+
+
+@query("grammar_roles", """
+SELECT role, n FROM (SELECT 'main' AS role, count(*) AS n FROM conversations WHERE NOT regexp_matches(coalesce(text, ''), '[()]')
+UNION ALL SELECT 'ignore', count(*) FROM conversations WHERE NOT regexp_matches(coalesce(text, ''), '[()]')
+UNION ALL SELECT 'main:continuation', count(*) FROM conversations WHERE NOT regexp_matches(coalesce(text, ''), '[()]')
+UNION ALL SELECT 'main:marker', count(DISTINCT conv_id) FROM conversations WHERE NOT regexp_matches(coalesce(text, ''), '[()]'))""")
+def grammar_roles(spark, d):
+    c = _t(spark, d, "conversations").where("not coalesce(text, '') rlike '[()]'")
+    row = F.concat(F.col("turn").cast("string"), F.lit("\t"), "role", F.lit(": "), F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), F.lit(" (x)\n% note\n  tail"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", row.alias("l")))), lambda x: x["l"])
+    docs = c.groupBy(F.col("conv_id").cast("string").alias("doc")).agg(F.concat(F.lit("== A\n"), F.array_join(ordered, "\n")).alias("text"))
+    return grammar.parse(grammar.read_lines(docs), GRAMMAR).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+
+
 # -- names and places ------------------------------------------------------------------------------------------------------------------
 
 PEOPLE = ["The Heat", "Wh Ha", "De la", "Tion Er", "Les des", "La que"]
@@ -303,3 +372,18 @@ def entity_ids(spark, d):
     return _t(spark, d, "supplier").select("s_suppkey", graph.entity_id("Person", F.col("s_name")).alias("person"), graph.entity_id("Place", F.col("s_name")).alias("place"))
 
 
+
+
+@query("people_list", "WITH k AS (SELECT o_orderkey, 'P ' || (o_custkey % 50) AS name FROM orders) SELECT DISTINCT name, lower(name) AS key FROM k")
+def people_list(spark, d):
+    lines = _t(spark, d, "orders").select(F.col("o_orderkey").alias("line_no"), F.concat(F.lit(" P  "), (F.col("o_custkey") % 50).cast("string"), F.lit(" ")).alias("line"))
+    return names.people_list(lines)
+
+
+@query("candidate_names", r"""
+WITH t AS (SELECT doc_id AS doc, list_filter(regexp_extract_all(text, '\p{Lu}[\p{L}\p{M}''’-]*(?:[ \t]+\p{Lu}[\p{L}\p{M}''’-]*)*'), lambda x: length(regexp_replace(x, '\P{L}', '', 'g')) >= 4) AS l FROM documents
+  WHERE NOT regexp_matches(text, '[''’]s|\b(Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Dame|Rev|Fr)\b'))
+SELECT DISTINCT doc, unnest(l) AS name FROM t""")
+def candidate_names(spark, d):
+    docs = _t(spark, d, "documents").where(r"not text rlike '[\'’]s|(?<![A-Za-z0-9_])(Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Dame|Rev|Fr)(?![A-Za-z0-9_])'").select(F.col("doc_id").alias("doc"), "text")
+    return names.candidate_names(docs).select("doc", "name")
