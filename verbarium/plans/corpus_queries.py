@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.stopwords import ENGLISH
 from ..functions.text import TOKEN
 from ..operators import cleaning, collocation, concordance, ngrams, selection, sentiment, topics
+from .staging import spread
 
 TOKEN_SQL = TOKEN.replace("'", "''")
 TOKENS = f"list_transform(regexp_extract_all(coalesce(text, ''), '{TOKEN_SQL}'), lambda x: lower(x))"
@@ -25,8 +26,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "source"))
+
+
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    return selection.corpus(spark.read.parquet(f"{d}/documents.parquet"), order="doc_id")
+    return selection.corpus(_documents(spark, d), order="doc_id")
 
 
 def conversations(spark: SparkSession, d: str) -> DataFrame:
@@ -210,14 +215,14 @@ l AS (SELECT doc_id, CAST({_UNITS.format('a')} AS BIGINT) AS original_length, CA
 SELECT doc_id, original_length, cleaned_length, original_length - cleaned_length AS removed,
   CASE WHEN original_length > 0 THEN floor(CAST(original_length - cleaned_length AS DOUBLE) / original_length * 100 * 10 + 0.5) / 10 ELSE 0.0 END AS percent_removed FROM l""")
 def clean_stats(spark, d):
-    t = spark.read.parquet(f"{d}/documents.parquet")
+    t = _documents(spark, d)
     return cleaning.clean_documents(t, cleaning.Options(["nonalpha"])).select("doc_id", "original_length", "cleaned_length", "removed", "percent_removed")
 
 
 @query("characters", """SELECT character, 'U+' || upper(lpad(to_hex(unicode(character)), 4, '0')) AS code, count(*) AS n
 FROM (SELECT unnest(string_split(coalesce(text, ''), '')) AS character FROM documents) WHERE character <> '' GROUP BY character""")
 def characters(spark, d):
-    return cleaning.characters(spark.read.parquet(f"{d}/documents.parquet"))
+    return cleaning.characters(_documents(spark, d))
 
 
 @query("clean_targets", r"SELECT page_id, 'out/' || regexp_replace(f, '(\.[^.]+)?$', '') || '_v2' || regexp_extract(f, '(\.[^.]+)$', 1) AS target FROM (SELECT page_id, regexp_extract(coalesce(nullif(regexp_extract(url, '([^/]*)$', 1), ''), 'untitled.txt'), '(.*)', 1) AS f FROM pages)")
@@ -264,7 +269,7 @@ v AS (SELECT term, count(*) AS n, count(DISTINCT id) AS n_docs FROM k GROUP BY t
 
 
 def _terms(spark, d):
-    return topics.tokens(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("id"), "text"))
+    return topics.tokens(_documents(spark, d).select(F.col("doc_id").alias("id"), "text"))
 
 
 @query("vocabulary", f"WITH {_TERMS} SELECT CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS term_id, term, n, n_docs FROM v")

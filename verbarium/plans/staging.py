@@ -53,3 +53,10 @@ def running(df: DataFrame, group: list[str], order: list[str], value: str) -> Da
         same = same & F.col(g).eqNullSafe(F.col(f"s_{g}"))
     out = local.join(shifts, same, "left")
     return out.select(*df.columns, (F.col("before") + F.coalesce("v0", zero)).alias("before"), (F.col("seq") + F.coalesce("c0", zero)).alias("seq"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` over all cores where its files give fewer partitions than that, as a small file of one row group does; else unchanged. What is dealt out
+    is then less than one full partition for each core."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

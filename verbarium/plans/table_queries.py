@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import charts, grammar, graph, names, transcripts
+from .staging import spread
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -345,7 +346,7 @@ WITH n AS (SELECT unnest([{', '.join(f"'{p}'" for p in PEOPLE)}]) AS name)
 SELECT doc_id AS doc, name FROM documents, n WHERE regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{N}}])' || replace(name, ' ', '\\s+') || '($|[^\\p{{L}}\\p{{N}}])')""")
 def name_match(spark, d):
     lines = spark.createDataFrame(list(enumerate(PEOPLE)), "line_no long, line string")
-    docs = _t(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
+    docs = spread(_t(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text"))
     return names.find_names(docs, names.people_list(lines)).select("doc", "name")
 
 
