@@ -70,8 +70,8 @@ def bar_count(df: DataFrame, x: str, color: str | None = None) -> DataFrame:
 def bar_percent(df: DataFrame, x: str, color: str | None = None, within: bool = True) -> DataFrame:
     """Counts as percentages of their x (with a colour), or of all rows."""
     counts = bar_count(df, x, color)
-    over = Window.partitionBy(x) if color and within else Window.partitionBy(F.lit(1))
-    return counts.withColumn("percent", F.col("n") * 100.0 / F.sum("n").over(over))
+    whole = F.sum("n").over(Window.partitionBy(x)) if color and within else df.agg(F.count(F.lit(1)).alias("all")).scalar()
+    return counts.withColumn("percent", F.col("n") * 100.0 / whole)
 
 
 def sorted_bars(counts: DataFrame, x: str, order: str | list[str] = "descending") -> DataFrame:

@@ -66,7 +66,7 @@ def collocations(docs: DataFrame, nodes: str | list[str], span_left: int = 5, sp
     pairs = cooccurrences(docs, wanted, span_left, span_right, ignore_case).where(F.col("O") >= min_freq)
     f1 = freq.where(F.col("token").isin(wanted)).select(F.col("token").alias("node"), F.col("f").alias("f_node"))
     f2 = freq.select(F.col("token").alias("collocate"), F.col("f").alias("f_collocate"))
-    rows = pairs.join(f1, "node").join(f2, "collocate").crossJoin(F.broadcast(total))
+    rows = pairs.join(f1, "node").join(f2, "collocate").withColumn("N", total.scalar())
     return measures(rows)
 
 

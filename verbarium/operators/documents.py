@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import slug, trim
+from ..plans.staging import running
 
 #: fixed values: marks of media in running text
 MEDIA = r"\[(sound|image|video):\s*([^\]]+)\]"
@@ -61,10 +62,10 @@ def assemble(blocks: DataFrame, collection: str) -> tuple[DataFrame, DataFrame]:
     entity = kind(one, "id", "RepositoryCollection").unionByName(kind(docs, "doc", "RepositoryObject")).unionByName(kind(parts, "id", "DocumentPart")).unionByName(kind(docs, "path", "File"))
     value = lambda df, c, k, v: df.select(F.col(c).alias("id"), F.lit(k).alias("key"), F.lit(0).alias("ord"), v.alias("value"), none.alias("ref"))
     ref = lambda df, c, k, r, o: df.select(c.alias("id"), F.lit(k).alias("key"), o.cast("int").alias("ord"), none.alias("value"), r.alias("ref"))
-    number = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("path")) - 1
+    numbered = running(docs.withColumn("one", F.lit(1)), [], ["path"], "one")
     prop = value(parts, "id", "name", F.col("name")).unionByName(value(parts, "id", "text", F.col("text")))
     prop = prop.unionByName(ref(parts, F.col("doc"), "hasPart", F.col("id"), F.col("chapter_no"))).unionByName(ref(docs, F.col("doc"), "source", F.col("path"), F.lit(0)))
-    return entity, prop.unionByName(ref(docs, F.lit(root), "pcdm:hasMember", F.col("doc"), number))
+    return entity, prop.unionByName(ref(numbered, F.lit(root), "pcdm:hasMember", F.col("doc"), F.col("seq")))
 
 
 def build_defaults(options: dict) -> dict:

@@ -132,7 +132,8 @@ def merge_graphs(entity: DataFrame, prop: DataFrame, source_entity: DataFrame, s
     old = entity.select("id")
     enriched = differs.union(retyped).distinct().join(old, "id", "left_semi").agg(F.count(F.lit(1)).alias("enriched"))
     added = se.join(old, "id", "left_anti").agg(F.count(F.lit(1)).alias("added"))
-    return e, p, added.crossJoin(enriched).crossJoin(sp.agg(F.count_if("moved").alias("remapped")))
+    counts = sp.agg(F.count_if("moved").alias("remapped"))
+    return e, p, counts.select(added.scalar().alias("added"), enriched.scalar().alias("enriched"), "remapped")
 
 
 def apply_membership(entity: DataFrame, prop: DataFrame, wanted: DataFrame, key: str = "pcdm:hasMember") -> tuple[DataFrame, DataFrame]:

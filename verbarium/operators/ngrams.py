@@ -59,7 +59,7 @@ def analyze(docs: DataFrame, n: int = 2, min_freq: int = 1, stopwords: list[str]
     total = words.agg(F.sum("f").alias("n_tokens"))
     left, right = words.select(F.col("token").alias("w1"), F.col("f").alias("f1")), words.select(F.col("token").alias("w2"), F.col("f").alias("f2"))
     pairs = counted.withColumn("w1", F.substring_index("ngram", " ", 1)).withColumn("w2", F.substring_index("ngram", " ", -1))
-    joined = pairs.join(left, "w1").join(right, "w2").crossJoin(F.broadcast(total))
+    joined = pairs.join(left, "w1").join(right, "w2").withColumn("n_tokens", total.scalar())
     return joined.select("ngram", "n_count", "first_line", "first_pos", *[c.alias(k) for k, c in association("n_count", "f1", "f2", "n_tokens").items()])
 
 

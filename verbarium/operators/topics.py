@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.staging import running
 from .ngrams import topic_tokens
 
 RESIDUAL = "other"
@@ -26,12 +27,12 @@ def tokens(docs: DataFrame, stopwords: list[str] = ()) -> DataFrame:
 def vocabulary(terms: DataFrame, min_term_freq: int = 2, min_doc_freq: int = 2, n_docs: int | None = None) -> DataFrame:
     """term_id, term, n, n_docs of the terms that are frequent enough, numbered in code-unit order.
 
-    The numbering is a window over the kept terms only.
+    The numbers are ranks over ranges of terms, so no task sees the whole vocabulary.
     """
     least_docs = min_doc_freq if n_docs is None else min(min_doc_freq, max(1, n_docs))
     by_doc = terms.groupBy("term", "id").agg(F.count(F.lit(1)).alias("n"))
     kept = by_doc.groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs")).where((F.col("n") >= min_term_freq) & (F.col("n_docs") >= least_docs))
-    return kept.select((F.row_number().over(Window.orderBy("term")) - 1).alias("term_id"), "term", "n", "n_docs")
+    return running(kept, [], ["term"], "n").select(F.col("seq").cast("int").alias("term_id"), "term", "n", "n_docs")
 
 
 def encode(terms: DataFrame, vocab: DataFrame) -> DataFrame:
@@ -47,18 +48,15 @@ def dropped(docs: DataFrame, encoded: DataFrame) -> DataFrame:
 def lda(encoded: DataFrame, vocab: DataFrame, k: int = 5, iterations: int = 20, seed: int = 1234) -> tuple[DataFrame, DataFrame]:
     """Distributed online variational LDA: (topic, term, term_id, weight) and (id, topic, weight)."""
     from pyspark.ml.clustering import LDA
+    from pyspark.ml.feature import CountVectorizerModel
     from pyspark.ml.functions import vector_to_array
-    from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    size = vocab.count()
-
-    @F.udf(VectorUDT())
-    def vector(pairs):  # one call for each document
-        return SparseVector(size, sorted((p[0], float(p[1])) for p in pairs))
-
-    counts = encoded.groupBy("id", "term_id").agg(F.count(F.lit(1)).alias("n")).groupBy("id").agg(F.collect_list(F.struct("term_id", "n")).alias("p")).select("id", vector("p").alias("features"))
+    # the model holds a weight for each term and topic on the driver anyhow
+    words = [r.term for r in vocab.orderBy("term_id").select("term").collect()]
+    terms = encoded.join(vocab.select("term_id", "term"), "term_id").groupBy("id").agg(F.collect_list("term").alias("terms"))
+    counts = CountVectorizerModel.from_vocabulary(words, "terms", "features").transform(terms).select("id", "features")
     model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online").fit(counts)
-    best = model.describeTopics(size)
+    best = model.describeTopics(len(words))
     pairs = best.select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("p")).select("topic", F.col("p.termIndices").alias("term_id"), F.col("p.termWeights").alias("weight"))
     weights = model.transform(counts).select("id", F.posexplode(vector_to_array("topicDistribution")).alias("topic", "weight"))
     return pairs.join(vocab.select("term_id", "term"), "term_id").select("topic", "term", "term_id", "weight"), weights
@@ -177,4 +175,4 @@ def assign(weights: DataFrame) -> DataFrame:
 def topic_shares(assigned: DataFrame) -> DataFrame:
     """topic, n, share (percent of documents)."""
     counts = assigned.groupBy("topic").agg(F.count(F.lit(1)).alias("n"))
-    return counts.withColumn("share", F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy(F.lit(1))))
+    return counts.withColumn("share", F.col("n") * 100.0 / assigned.agg(F.count(F.lit(1)).alias("all")).scalar())
