@@ -55,6 +55,18 @@ def running(df: DataFrame, group: list[str], order: list[str], value: str) -> Da
     return out.select(*df.columns, (F.col("before") + F.coalesce("v0", zero)).alias("before"), (F.col("seq") + F.coalesce("c0", zero)).alias("seq"))
 
 
+def ship(spark: SparkSession) -> None:
+    """Lets Python workers import this package where the session was started elsewhere. On a cluster the package is to be shipped
+    (--py-files); a path that isn't there does no harm."""
+    import os
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
+
+
 def spread(df: DataFrame) -> DataFrame:
     """`df` over all cores where its files give fewer partitions than that, as a small file of one row group does; else unchanged. What is dealt out
     is then less than one full partition for each core."""
