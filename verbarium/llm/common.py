@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.staging import fresh_dir, running, shared_dir, stage  # noqa: F401
+from ..plans.staging import fresh_dir, running, shared_dir, ship, stage  # noqa: F401
 
 #: ASCII white space of the word rule `[^\x20\x09-\x0D]+`.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,6 +22,7 @@ BATCH_ROWS = 500
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bound the rows of an Arrow batch for this session; whole texts of some 100 kB then need tens of MB at most in a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    ship(spark)
 
 
 def text_col(name: str = "text") -> Column:
