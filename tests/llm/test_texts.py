@@ -49,6 +49,32 @@ def test_forward_sums_all_segmentations(model):
     assert np.allclose(model.forward(words), [model.long_word(w) for w in words])
 
 
+def test_expected_uses(model):
+    """Forward and backward against all segmentations, one by one."""
+    words, counts = ["the", "thing", "été"], np.array([2.0, 1.0, 3.0])
+    p = model.by_rank[:, 0]
+    order = L.piece_trie(model.pieces)[1]
+    place = {model.pieces[i]: r for r, i in enumerate(order)}
+    want = np.zeros(len(p))
+
+    def walk(text, i):
+        if i == len(text):
+            yield 1.0, []
+        for j in range(i + 1, len(text) + 1):
+            r = place.get(text[i:j], len(p) - 1 if j == i + 1 else None)
+            if r is not None:
+                for q, rest in walk(text, j):
+                    yield p[r] * q, [r, *rest]
+
+    for word, n in zip(words, counts):
+        ways = list(walk(L.MARK + word, 0))
+        total = sum(q for q, _ in ways)
+        for q, ranks in ways:
+            for r in ranks:
+                want[r] += n * q / total
+    assert np.allclose(L.Lattice(words, model.trie).uses(p, counts), want)
+
+
 def test_whole_texts_count(model):
     a, b = (model.scores(pa.array([t]))[0] for t in ("one two", "one two " * 5000))
     assert np.allclose(5000 * a, b)

@@ -54,6 +54,75 @@ def vocabulary(model_name: str = VOCABULARY) -> list[str]:
     return [sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i))]
 
 
+def piece_trie(pieces: list[str]) -> tuple[Automaton, list[int]]:
+    """The automaton of the pieces, and the piece of each rank."""
+    trie = Automaton(memoryview(compile_words([w.encode() for w in pieces], [[i] for i in range(len(pieces))])))
+    return trie, sorted(range(len(pieces)), key=lambda i: pieces[i].encode())
+
+
+class Lattice:
+    """All segmentations of many short words: edges (word w, from byte i, to byte j, rank of the piece). The automaton walks from every
+    character of every word at once. A character that is no piece gives an edge of its own, whose rank comes after the pieces'."""
+
+    def __init__(self, words: list[str], trie: Automaton):
+        texts = [(MARK + w).encode() for w in words]
+        self.n, self.size = len(texts), np.array([len(t) for t in texts])
+        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        first = np.cumsum(self.size) - self.size
+        heads = np.flatnonzero((data & 0xC0) != 0x80)  # first bytes of characters
+        word = np.repeat(np.arange(self.n), self.size)[heads]
+        step = np.diff(np.append(heads, len(data)))
+        rank, state, at, end = np.zeros(len(heads), dtype=np.int64), np.full(len(heads), trie.root, dtype=np.int64), heads.copy(), (first + self.size)[word]
+        row, single = np.arange(len(heads)), np.zeros(len(heads), dtype=bool)
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (head, end, rank)
+        while len(row):
+            on, arc = trie.step(state, data[at])
+            row, at, end, rank = row[on], at[on] + 1, end[on], rank[on] + trie.outs[arc]
+            state = trie.targets[arc].astype(np.int64)
+            final = trie.finals[state] == 1
+            if final.any():
+                found.append((row[final], at[final], rank[final]))
+                single[row[final]] |= at[final] == heads[row[final]] + step[row[final]]
+            more = at < end
+            row, at, end, rank, state = row[more], at[more], end[more], rank[more], state[more]
+        bare = np.flatnonzero(~single)
+        found.append((bare, heads[bare] + step[bare], np.full(len(bare), len(trie))))
+        head, stop, rank = (np.concatenate(x) for x in zip(*found))
+        w = word[head]
+        i, j = heads[head] - first[w], stop - first[w]
+        order = np.argsort(j.astype(np.int16), kind="stable")
+        self.w, self.i, self.j, self.rank = w[order], i[order], j[order], rank[order]
+        self.ends = np.searchsorted(self.j, np.arange(1, self.size.max() + 2))
+
+    def forward(self, p: np.ndarray) -> np.ndarray:
+        """Sums over the ways to each byte: (byte, word, column) from probabilities (rank, column)."""
+        k = p.shape[1]
+        alpha, q = np.zeros((self.size.max() + 1, self.n, k)), p[self.rank]
+        alpha[0] = 1.0
+        for j, (a, b) in enumerate(zip(self.ends, self.ends[1:]), 1):
+            if a < b:
+                flow = alpha[self.i[a:b], self.w[a:b]] * q[a:b]
+                for m in range(k):
+                    alpha[j, :, m] = np.bincount(self.w[a:b], flow[:, m], self.n)
+        return alpha
+
+    def uses(self, p: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Expected uses of each rank over all segmentations of the counted words, from one column of probabilities."""
+        alpha, q = self.forward(p[:, None])[:, :, 0], p[self.rank]
+        whole = alpha[self.size, np.arange(self.n)]
+        beta = np.zeros_like(alpha)
+        beta[self.size, np.arange(self.n)] = 1.0
+        back = np.argsort(self.i.astype(np.int16), kind="stable")
+        w, j, qb = self.w[back], self.j[back], q[back]
+        starts = np.searchsorted(self.i[back], np.arange(self.size.max() + 1))
+        for i in range(self.size.max() - 1, -1, -1):
+            a, b = starts[i], starts[i + 1]
+            if a < b:
+                beta[i] += np.bincount(w[a:b], qb[a:b] * beta[j[a:b], w[a:b]], self.n)
+        share = np.divide(counts, whole, out=np.zeros(self.n), where=whole > 0)
+        return np.bincount(self.rank, alpha[self.i, self.w] * q * beta[self.j, self.w] * share[self.w], len(p))
+
+
 class Unigrams:
     """Piece probabilities in several languages, and the forward pass over all segmentations."""
 
@@ -63,8 +132,7 @@ class Unigrams:
         self.longest = max(map(len, pieces), default=1)
         self.p = {w: tuple(row) for w, row in zip(pieces, table.tolist())}
         self.zero = np.zeros(self.k)
-        order = sorted(range(len(pieces)), key=lambda i: pieces[i].encode())
-        self.trie = Automaton(memoryview(compile_words([w.encode() for w in pieces], [[i] for i in range(len(pieces))])))
+        self.trie, order = piece_trie(pieces)
         # by rank in the automaton; the last row is that of unknown characters
         self.by_rank = np.concatenate([table[order].reshape(len(order), self.k), np.full((1, self.k), UNKNOWN)])
         self.words, self.known = _Rows(self.k), _Rows(self.k)
@@ -105,48 +173,10 @@ class Unigrams:
         short.sort(key=lambda i: len(words[i]))
         for low in range(0, len(short), 4000):
             part = short[low : low + 4000]
-            out[part] = self._forward([(MARK + words[i]).encode() for i in part])
+            lattice = Lattice([words[i] for i in part], self.trie)
+            out[part] = np.log(lattice.forward(self.by_rank)[lattice.size, np.arange(lattice.n)])
         return out
 
-    def _forward(self, texts: list[bytes]) -> np.ndarray:
-        n = len(texts)
-        size = np.array([len(t) for t in texts])
-        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-        first = np.cumsum(size) - size
-        heads = np.flatnonzero((data & 0xC0) != 0x80)  # first bytes of characters
-        word = np.repeat(np.arange(n), size)[heads]
-        start = heads - first[word]
-        step = np.diff(np.append(heads, len(data)))
-        rank, state, at, end = np.zeros(len(heads), dtype=np.int64), np.full(len(heads), self.trie.root, dtype=np.int64), heads.copy(), (first + size)[word]
-        row, single = np.arange(len(heads)), np.zeros(len(heads), dtype=bool)
-        edges: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # (head, end, rank)
-        while len(row):
-            on, arc = self.trie.step(state, data[at])
-            row, at, end, rank = row[on], at[on] + 1, end[on], rank[on] + self.trie.outs[arc]
-            state = self.trie.targets[arc].astype(np.int64)
-            final = self.trie.finals[state] == 1
-            if final.any():
-                edges.append((row[final], at[final], rank[final]))
-                single[row[final]] |= at[final] == heads[row[final]] + step[row[final]]
-            more = at < end
-            row, at, end, rank, state = row[more], at[more], end[more], rank[more], state[more]
-        bare = np.flatnonzero(~single)
-        edges.append((bare, heads[bare] + step[bare], np.full(len(bare), len(self.by_rank) - 1)))
-        head, stop, rank = (np.concatenate(x) for x in zip(*edges))
-        w, i = word[head], start[head]
-        j = stop - first[w]
-        order = np.argsort(j.astype(np.int16), kind="stable")
-        w, i, j, p = w[order], i[order], j[order], self.by_rank[rank[order]]
-        cuts = np.searchsorted(j, np.arange(1, size.max() + 2))
-        alpha = np.zeros((size.max() + 1, n, self.k))
-        alpha[0] = 1.0
-        for at_j, (a, b) in enumerate(zip(cuts, cuts[1:]), 1):
-            if a < b:
-                flow = alpha[i[a:b], w[a:b]] * p[a:b]
-                for m in range(self.k):
-                    alpha[at_j, :, m] = np.bincount(w[a:b], flow[:, m], n)
-        return np.log(alpha[size, np.arange(n)])
-
     def _new_pieces(self, pieces: list[str]) -> np.ndarray:
         """Rows of white-space pieces: sums over their words."""
         split = [[w for w in LETTERS.findall(p.lower()) if any(map(str.isalpha, w))] for p in pieces]
@@ -203,43 +233,24 @@ class _Rows:
         return out
 
 
-def expectation(counts: dict[str, int], p: dict[str, float], longest: int) -> dict[str, float]:
-    """Expected uses of each piece over all segmentations of the counted words."""
-    out: dict[str, float] = {}
-    for word, n in counts.items():
-        text = MARK + word
-        size = len(text)
-        edges = [[(i, text[i:j], q) for i in range(max(0, j - longest), j) if (q := p.get(text[i:j], UNKNOWN if i == j - 1 else 0.0))] for j in range(1, size + 1)]
-        forward = [1.0] + [0.0] * size
-        for j, into in enumerate(edges, 1):
-            forward[j] = sum([forward[i] * q for i, _, q in into])
-        backward = [0.0] * size + [1.0]
-        for j in range(size, 0, -1):
-            b = backward[j]
-            for i, _, q in edges[j - 1]:
-                backward[i] += q * b
-        whole = forward[size]
-        if whole < 1e-290:
-            continue
-        for j, into in enumerate(edges, 1):
-            b = backward[j] * n / whole
-            for i, piece, q in into:
-                out[piece] = out.get(piece, 0.0) + forward[i] * q * b
-    return out
-
-
 def fit_pieces(counts: dict[str, dict[str, int]], pieces: list[str], rounds: int = ROUNDS) -> np.ndarray:
-    """Piece probabilities, a column for each language of `counts` in order; smoothed with the mean over languages."""
-    longest, held = max(map(len, pieces)), set(pieces)
+    """Piece probabilities, a column for each language of `counts` in order, by expectation-maximisation (forward and backward) over words of
+    up to SHORT characters; smoothed with the mean over languages."""
+    trie, order = piece_trie(pieces)
     found = []
-    for words in counts.values():
-        p = dict.fromkeys(pieces, 1.0 / len(pieces))
-        uses: dict[str, float] = {}
+    for known in counts.values():
+        words = sorted((w for w in known if len(w) <= SHORT), key=lambda w: (len(w), w))
+        parts = [words[low : low + 4000] for low in range(0, len(words), 4000)]
+        lattices = [(Lattice(part, trie), np.array([known[w] for w in part], dtype=float)) for part in parts]
+        p = np.full(len(pieces) + 1, 1.0 / len(pieces))
+        p[-1] = UNKNOWN
+        uses = np.zeros(len(pieces) + 1)
         for _ in range(rounds):
-            uses = {w: c for w, c in expectation(words, p, longest).items() if w in held}
-            total = sum(uses.values()) or 1.0
-            p = {w: c / total for w, c in uses.items() if c > 1e-6}
-        found.append([uses.get(w, 0.0) for w in pieces])
+            uses = sum((lattice.uses(p, n) for lattice, n in lattices), np.zeros(len(pieces) + 1))
+            p[:-1] = np.maximum(uses[:-1] / max(uses[:-1].sum(), 1.0), UNKNOWN)
+        by_piece = np.zeros(len(pieces))
+        by_piece[order] = uses[:-1]
+        found.append(by_piece)
     uses = np.array(found).reshape(len(counts), len(pieces)).T
     mean = uses.sum(axis=1) + 0.01
     mean /= mean.sum()
