@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from ..plans.staging import fresh_dir, running, shared_dir, ship, stage  # noqa: F401
 
-#: ASCII white space of the word rule `[^\x20\x09-\x0D]+`.
-WORD = r"[^\x20\x09-\x0D]+"
+#: ASCII white space, the complement of the word rule `[^\x20\x09-\x0D]+`.
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 #: Rows of an Arrow batch. Whole texts travel in batches, so the bound on rows is what keeps a Python worker small.

@@ -1,4 +1,9 @@
-"""The corpus pipeline: five operators in turn, each stage's result written as Parquet and read again as the next one's documents."""
+"""The corpus pipeline: five operators in turn, each stage's result written as Parquet and read again as the next one's documents.
+
+Defined cases: null and empty texts have no language and go at the first stage; a stage that keeps a document keeps one row of it, with all
+columns as they are, whatever their names; rows without doc_id can't be told apart and go; an empty table gives empty results; texts of any
+length are treated whole.
+"""
 
 from __future__ import annotations
 
