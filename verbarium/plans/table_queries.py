@@ -34,9 +34,10 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
 @query("chart_geometry", """
 WITH a AS (SELECT count(o_totalprice) AS n_points, count(*) - count(o_totalprice) AS skipped, least(min(o_totalprice), 0.0) AS y_min, greatest(max(o_totalprice), 0.0) AS y_max FROM orders),
 s AS (SELECT *, CASE WHEN y_max - y_min = 0 THEN 1.0 ELSE y_max - y_min END AS span FROM a)
-SELECT n_points, skipped, y_min, y_max, span, CAST(greatest(1, ceil(n_points / 12)) AS BIGINT) AS label_every, list_transform([0, 1, 2, 3, 4], lambda k: y_min + span * k / 4) AS ticks FROM s""")
+SELECT n_points, skipped, y_min, y_max, span, CAST(greatest(1, ceil(n_points / 12)) AS BIGINT) AS label_every, k AS tick_no, y_min + span * k / 4 AS tick FROM s, (SELECT CAST(unnest([0, 1, 2, 3, 4]) AS INTEGER) AS k)""")
 def chart_geometry(spark, d):
-    return charts.chart_geometry(_t(spark, d, "orders"), "o_totalprice")
+    g = charts.chart_geometry(_t(spark, d, "orders"), "o_totalprice")
+    return g.select(*[c for c in g.columns if c != "ticks"], F.posexplode("ticks").alias("tick_no", "tick"))
 
 
 @query("tick_labels", """SELECT o_orderkey, CASE WHEN o_totalprice >= 1000 THEN regexp_replace(regexp_replace(format('{:.2f}', floor(o_totalprice / 100 + 0.5) / 10), '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '') || 'k'
