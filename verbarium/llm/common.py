@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..plans.staging import fresh_dir, running, shared_dir, ship, stage  # noqa: F401
 
@@ -37,7 +38,7 @@ def as_texts(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
-def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | StructType) -> DataFrame:
     """mapInArrow with a function from batch to batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,6 +59,29 @@ def only(docs: DataFrame, keep: DataFrame, key: str = "doc_id") -> DataFrame:
     return one.select("row.*")
 
 
+def where_text(docs: DataFrame, keep: Callable[[pa.Array], list[bool]]) -> DataFrame:
+    """The rows of `docs` whose text `keep` accepts, each judged by itself in one pass: whole rows in, kept rows out. No key is needed."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(keep(batch.column("text")), pa.bool_()))
+
+    return map_batches(docs, run, docs.schema)
+
+
+def rows_kept(docs: DataFrame, choose: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of `docs` that `choose` keeps, with all their columns. It gets text and, as doc_id, a struct that orders as the row's doc_id does
+    (nulls last), then by the row's place in a staged table; so rows without a doc_id, or with the same one, are rows like any other."""
+    row = F.struct(*[F.col(_q(c)) for c in docs.columns]).alias("row")
+    placed = stage(docs.select(row, F.monotonically_increasing_id().alias("place")), "placed")
+    key = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"), "place").alias("doc_id")
+    keep = choose(placed.select(key, F.col("row.text").alias("text"))).select(F.col("doc_id.place").alias("place"))
+    return placed.join(keep, "place", "left_semi").select("row.*")
+
+
+def id_type(docs: DataFrame) -> str:
+    return "long" if (t := docs.schema["doc_id"].dataType.simpleString()) in ("int", "bigint") else t
+
+
 def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, as_bytes, only, small_batches
+from .common import SPACE_BYTES, as_bytes, id_type, only, small_batches
 
 #: Chunk sizes in bytes; a cut needs 10 zero bits of the gear hash, so chunks are about MIN + 1 kB long.
 MIN_CHUNK, MAX_CHUNK, MASK = 256, 8192, np.uint32(0x3FF << 22)
@@ -116,7 +116,7 @@ def recipes(docs: DataFrame, digests: tuple[Callable[[bytes], bytes], ...] = DIG
     texts = docs.select("doc_id", "text")
     for digest in digests:
         if verified(texts, digest):
-            return texts.mapInArrow(_recipes(digest), "doc_id long, n_points long, text_sha256 string, recipe binary")
+            return texts.mapInArrow(_recipes(digest), f"doc_id {id_type(docs)}, n_points long, text_sha256 string, recipe binary")
     raise ValueError("no digest gives each chunk content an identifier of its own")
 
 

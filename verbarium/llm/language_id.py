@@ -17,7 +17,7 @@ import io
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automaton import Automaton, compile_words
-from .common import as_texts, map_batches, only, open_mapped, publish, resident, small_batches
+from .common import as_texts, map_batches, only, open_mapped, publish, resident, small_batches, where_text
 
 VOCABULARY = "piece_bpe_32k.model"
 FOLDS, HELD_OUT = 5, 0
@@ -296,8 +296,8 @@ def _load(uri: str, languages: tuple[str, ...], priors: tuple[float, ...]) -> Un
     return resident(("language", uri), lambda: Unigrams(vocabulary(), np.load(io.BytesIO(open_mapped(uri))), list(languages), list(priors)))
 
 
-def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score for each row of `docs`; only the text decides."""
+def predictor(docs: DataFrame) -> Callable[[pa.Array], list[tuple[str, float]]]:
+    """What gives language and score of texts in a worker, fitted on `docs`."""
     spark = docs.sparkSession
     small_batches(spark)
     model = fit(docs)
@@ -306,9 +306,19 @@ def identify(docs: DataFrame) -> DataFrame:
     np.save(out, model.table)
     uri = publish(spark, "unigrams", out.getvalue())
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def predict(texts: pa.Array) -> list[tuple[str, float]]:
         m = _load(uri, languages, priors) if languages else Unigrams([], np.zeros((0, 0)), [], [])
-        said = m.predict(batch.column("text"))
+        return m.predict(texts)
+
+    return predict
+
+
+def identify(docs: DataFrame) -> DataFrame:
+    """doc_id, held_out, lang_pred, score for each row of `docs`; only the text decides."""
+    predict = predictor(docs)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        said = predict(batch.column("text"))
         return pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("held_out"), pa.array([x for x, _ in said], pa.string()), pa.array([s for _, s in said], pa.float64())],
             ["doc_id", "held_out", "lang_pred", "score"],
@@ -323,5 +333,11 @@ def known_languages(docs: DataFrame, least: float = 0.5) -> DataFrame:
     return only(docs, identify(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= least)))
 
 
+def rows_in_known_languages(docs: DataFrame, least: float = 0.5) -> DataFrame:
+    """As known_languages, but each row is judged by its own text and stays or goes by itself, whatever its doc_id."""
+    predict = predictor(docs)
+    return where_text(docs, lambda texts: [lang != "und" and score >= least for lang, score in predict(texts)])
+
+
 def op4_language_id(spark, sf_dir: str) -> DataFrame:
     return identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))

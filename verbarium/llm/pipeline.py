@@ -1,8 +1,8 @@
 """The corpus pipeline: five operators in turn, each stage's result written as Parquet and read again as the next one's documents.
 
-Defined cases: null and empty texts have no language and go at the first stage; a stage that keeps a document keeps one row of it, with all
-columns as they are, whatever their names; rows without doc_id can't be told apart and go; an empty table gives empty results; texts of any
-length are treated whole.
+Defined cases: null and empty texts have no language and go at the first stage; each row is judged by its own text and stays with all
+columns as they are, whatever their names, also where its doc_id is null or that of other rows; of copies the one with the smallest doc_id
+stays (nulls last, then any one row); an empty table gives empty results; texts of any length are treated whole.
 """
 
 from __future__ import annotations
@@ -10,27 +10,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup, language_id, packing, quality_mil, simhash
-from .common import stage
+from .common import rows_kept, stage
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a recognised language stay."""
-    return language_id.known_languages(docs)
+    return language_id.rows_in_known_languages(docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted to be good stay."""
-    return quality_mil.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_mil.good_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    return exact_dedup.drop_copies(docs)
+    return rows_kept(docs, lambda rows: exact_dedup.exact_dedup(rows).where("kept"))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return simhash.drop_near_copies(docs)
+    return rows_kept(docs, lambda rows: simhash.near_dedup(rows).where("doc_id = component_id"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_batches, only, open_mapped, publish, resident, small_batches
+from .common import as_bytes, map_batches, only, open_mapped, publish, resident, small_batches, where_text
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
@@ -200,13 +200,18 @@ def score_texts(m: dict[str, np.ndarray], texts: list[bytes], slab: int = 1 << 2
     return out
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted for each row of `docs`; only the text decides."""
+def published(docs: DataFrame, labels: DataFrame) -> str:
+    """URI of the model fitted on `docs`."""
     spark = docs.sparkSession
     small_batches(spark)
     out = io.BytesIO()
     np.savez(out, **fit(docs, labels))
-    uri = publish(spark, "quality", out.getvalue())
+    return publish(spark, "quality", out.getvalue())
+
+
+def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score, predicted for each row of `docs`; only the text decides."""
+    uri = published(docs, labels)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         s = np.array(score_texts(_load(uri), as_bytes(batch.column("text"))))
@@ -221,5 +226,11 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return only(docs, score_quality(docs, labels).where("predicted = 1"))
 
 
+def good_rows(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """As good_documents, but each row is judged by its own text and stays or goes by itself, whatever its doc_id."""
+    uri = published(docs, labels)
+    return where_text(docs, lambda texts: [s >= threshold for s in score_texts(_load(uri), as_bytes(texts))])
+
+
 def op5_quality_mil(spark, sf_dir: str) -> DataFrame:
     return score_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

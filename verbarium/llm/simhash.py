@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_batches, only, small_batches, stage
+from .common import as_bytes, id_type, map_batches, only, small_batches, stage
 from .components import components
 
 SEED, SHINGLE, DISTANCE = 42, 4, 4
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         fps = np.array([fingerprint(t) for t in as_bytes(batch.column("text"))], dtype=np.uint64)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, fp long")
+    return map_batches(docs.select("doc_id", "text"), run, f"doc_id {id_type(docs)}, fp long")
 
 
 # -- the Golay code ----------------------------------------------------------------------------------------------------------------
