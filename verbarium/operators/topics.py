@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.staging import running
+from ..plans.staging import running, stage
 from .ngrams import topic_tokens
 
 RESIDUAL = "other"
@@ -46,8 +46,7 @@ def dropped(docs: DataFrame, encoded: DataFrame) -> DataFrame:
 
 
 def lda(encoded: DataFrame, vocab: DataFrame, k: int = 5, iterations: int = 20, seed: int = 1234) -> tuple[DataFrame, DataFrame]:
-    """Distributed online variational LDA: (topic, term, term_id, weight) and (id, topic, weight)."""
-    from pyspark.ml.clustering import LDA
+    """Distributed variational LDA: (topic, term, term_id, weight) and (id, topic, weight). Each iteration reads every document once."""
     from pyspark.ml.feature import CountVectorizerModel
     from pyspark.ml.functions import vector_to_array
 
@@ -55,13 +54,30 @@ def lda(encoded: DataFrame, vocab: DataFrame, k: int = 5, iterations: int = 20,
     words = [r.term for r in vocab.orderBy("term_id").select("term").collect()]
     terms = encoded.join(vocab.select("term_id", "term"), "term_id").groupBy("id").agg(F.collect_list("term").alias("terms"))
     counts = CountVectorizerModel.from_vocabulary(words, "terms", "features").transform(terms).select("id", "features")
-    model = LDA(k=k, maxIter=iterations, seed=seed, optimizer="online").fit(counts)
+    model = _fit_on_all(counts, k, iterations, seed)
     best = model.describeTopics(len(words))
     pairs = best.select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("p")).select("topic", F.col("p.termIndices").alias("term_id"), F.col("p.termWeights").alias("weight"))
     weights = model.transform(counts).select("id", F.posexplode(vector_to_array("topicDistribution")).alias("topic", "weight"))
     return pairs.join(vocab.select("term_id", "term"), "term_id").select("topic", "term", "term_id", "weight"), weights
 
 
+def _fit_on_all(counts: DataFrame, k: int, iterations: int, seed: int):
+    """MLlib's online optimiser with the whole corpus as its batch. pyspark.ml's LDA can't be told to draw without replacement (even at rate 1
+    a third of the documents would be missing from each iteration), so the optimiser below it is set up directly."""
+    from pyspark.ml.clustering import LocalLDAModel
+
+    spark = counts.sparkSession
+    ml, mllib = spark._jvm.org.apache.spark.ml.clustering, spark._jvm.org.apache.spark.mllib.clustering
+    optimizer = mllib.OnlineLDAOptimizer().setMiniBatchFraction(1.0).setSampleWithReplacement(False).setOptimizeDocConcentration(True)
+    # read again in each iteration
+    fixed = stage(counts.select("features"), "counts")
+    rows = getattr(getattr(ml, "LDA$"), "MODULE$").getOldDataset(fixed._jdf, "features")
+    fitted = mllib.LDA().setK(k).setMaxIterations(iterations).setSeed(seed).setOptimizer(optimizer).run(rows)
+    model = LocalLDAModel(ml.LocalLDAModel("lda", fitted.vocabSize(), fitted, spark._jsparkSession))
+    model._resetUid("lda")
+    return model
+
+
 # -- the repeatable sampler ------------------------------------------------------------------------------------------------------
 
 

@@ -287,7 +287,7 @@ def vocabulary_dropped(spark, d):
 @query("lda_topterms")
 def lda_topterms(spark, d):
     terms = _terms(spark, d)
-    vocab = topics.vocabulary(terms, 20, 10)
+    vocab = topics.vocabulary(terms)
     weights, _ = topics.lda(topics.encode(terms, vocab), vocab, 4, 10)
     return topics.top_terms(weights)
 
