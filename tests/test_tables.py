@@ -126,6 +126,20 @@ def test_publish_takes_the_first_path_of_a_depth_first_walk(make):
         assert {r_.id for r_ in got if r_.kept} == {name(k) for k in keep} and {r_.id for r_ in got} == {name(k) for k in seen - {0}}
 
 
+def test_publish_never_stops_short(make):
+    chain = ["./", "a", "b", "c"]
+    props = [(x, "hasPart", (y,)) for x, y in zip(chain, chain[1:])] + [("a", "custom:publish", "true"), ("c", "custom:publish", "false")]
+    with pytest.raises(ValueError):
+        graph.publish_subset(*make([(x, "X") for x in chain], props), most_depth=2)
+    assert {r.id: r.kept for r in graph.publish_subset(*make([(x, "X") for x in chain], props)).collect()} == {"a": True, "b": True, "c": False}
+
+
+def test_long_custom_properties_stay_apart(make):
+    long = ["z" * 1500 + x for x in "ab"]
+    _, p = graph.custom_properties(*make([("x", "File")], [("x", f"custom:{k}", "1") for k in long]))
+    assert {r.value for r in p.where("key = 'name'").collect()} == {"Z" + k[1:] for k in long}
+
+
 def test_sheets_and_geometry(make, spark):
     e, p = make([("f1", "File"), ("f2", "File"), ("#ann", "Person")], [("f1", "name", "old")])
     sheet = spark.createDataFrame([(1, "f1", "one", "Ann / Bo", "Mount Isa"), (2, "f1", "two", " ", None), (3, "f9", "x", "", "")], "row_no long, `@id` string, title string, who string, place string")

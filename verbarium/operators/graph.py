@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -230,11 +231,11 @@ def prefixes(rows: DataFrame) -> DataFrame:
 
 def custom_properties(entity: DataFrame, prop: DataFrame) -> tuple[DataFrame, DataFrame]:
     """An rdf:Property with a readable name for every `custom:` property in use that has none."""
-    local = F.substring("key", 8, 1000)
+    local = F.substring("key", F.lit(8), F.length("key"))
     used = prop.where("key like 'custom:%'").select(F.concat(F.lit(CUSTOM_BASE), local).alias("id"), local.alias("local")).distinct()
     new = used.join(entity.select("id"), "id", "left_anti")
     spaced = F.trim(F.regexp_replace(F.regexp_replace("local", "([a-z0-9])([A-Z])", "$1 $2"), "[_-]+", " "))
-    words = F.concat(F.upper(F.substring(spaced, 1, 1)), F.substring(spaced, 2, 1000))
+    words = F.concat(F.upper(F.substring(spaced, 1, 1)), F.substring(spaced, F.lit(2), F.length(spaced)))
     names = new.select("id", F.lit("name").alias("key"), F.lit(0).alias("ord"), words.alias("value"), F.lit(None).cast("string").alias("ref"))
     return entity.unionByName(new.select("id", F.array(F.lit("rdf:Property")).alias("types"))), prop.unionByName(names)
 
@@ -250,12 +251,13 @@ def children(prop: DataFrame) -> DataFrame:
     return first.select("parent", "child", (F.row_number().over(Window.partitionBy("parent").orderBy("o")) - 1).alias("ord"))
 
 
-def publish_subset(entity: DataFrame, prop: DataFrame, root: str = ROOT, most_depth: int = 200) -> DataFrame:
+def publish_subset(entity: DataFrame, prop: DataFrame, root: str = ROOT, most_depth: int | None = None) -> DataFrame:
     """id, path, effective, kept of everything below the root.
 
     An own flag wins, else the nearest ancestor's. With several parents the first in depth-first order counts: that is the least path of child
     numbers, so each round lengthens the paths of the nodes that changed and keeps the least of each node. Ancestors of kept nodes, whose
-    paths are prefixes of theirs, stay as shells. A cycle only makes longer paths, which never win.
+    paths are prefixes of theirs, stay as shells. A cycle only makes longer paths, which never win, so the rounds end by themselves; a bound on
+    them, where given, is an error if it is met.
     """
     links = stage(children(prop).join(entity.select(F.col("id").alias("child")), "child", "left_semi"), "children")
     flag = F.lower(F.trim(F.min_by("value", "ord")))
@@ -264,7 +266,9 @@ def publish_subset(entity: DataFrame, prop: DataFrame, root: str = ROOT, most_de
     start = spark.createDataFrame([(root,)], "child string").join(own, "child", "left").select(F.col("child").alias("id"), F.lit("").alias("path"), F.col("own").alias("effective"))
     known = stage(start, "paths")
     fresh = known
-    for _ in range(most_depth):
+    for depth in itertools.count():
+        if depth == most_depth:
+            raise ValueError(f"the graph is deeper than {most_depth} levels")
         step = fresh.join(links, fresh["id"] == links["parent"]).select("child", F.concat("path", F.format_string("/%08d", "ord")).alias("path"), F.col("effective").alias("inherited"))
         best = step.groupBy("child").agg(F.min(F.struct("path", "inherited")).alias("b")).join(own, "child", "left")
         best = best.select(F.col("child").alias("id"), F.col("b.path").alias("path"), F.coalesce("own", "b.inherited").alias("effective"))
@@ -275,7 +279,7 @@ def publish_subset(entity: DataFrame, prop: DataFrame, root: str = ROOT, most_de
             break
     below = known.where(F.col("id") != root)
     chosen = below.where("effective")
-    steps = F.split(F.substring("path", 2, 1 << 20), "/")
+    steps = F.split(F.substring("path", F.lit(2), F.length("path")), "/")
     prefix = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(steps, F.lit(1), n), "/")))
     shells = chosen.select(F.explode(prefix).alias("path")).distinct().withColumn("kept", F.lit(True))
     return below.join(shells, "path", "left").select("id", "path", "effective", F.coalesce("kept", F.lit(False)).alias("kept"))
