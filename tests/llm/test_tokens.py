@@ -102,35 +102,65 @@ def test_bpe_of_an_empty_table(none):
     assert B.bpe_digests(none).count() == 0 and B.bpe_encode(none).count() == 0
 
 
-@settings(max_examples=80, deadline=None)
-@given(st.dictionaries(st.integers(1, 64), st.integers(1, 9), max_size=30))
-def test_best_fit_runs(histogram):
-    runs, bins = K.best_fit(histogram, 64)
-    ranks, filled = {}, {}
-    for length, first, n, each, at, offset in runs.tolist():
-        ranks.setdefault(length, []).append((first, n))
-        for k in range(n):
-            filled.setdefault(at + k // each, []).append((offset + (k % each) * length, length))
-    for length, n in histogram.items():
-        at = 0
-        for first, count in sorted(ranks[length]):
-            assert first == at
-            at += count
-        assert at == n
-    assert len(filled) == bins
-    for parts in filled.values():
-        at = 0
-        for offset, length in sorted(parts):
-            assert offset == at
-            at += length
-        assert at <= 64
-    free: list[int] = []  # best fit, longest first, piece by piece
-    for length in sorted((k for k, n in histogram.items() for _ in range(n)), reverse=True):
-        fits = [g for g in free if g >= length]
-        if fits:
-            free.remove(min(fits))
-        free.append((min(fits) if fits else 64) - length)
-    assert bins == len(free)
+def brute_sweeps(histogram, capacity):
+    """Piece by piece: each round the longest pieces claim slots, a slot being what the successor among the gaps holds of a length."""
+    left, gaps, bins = dict(histogram), [], 0
+    while left:
+        gaps = sorted(g for g in gaps if g)
+        least = next(t for t in (capacity // 2, capacity // 4, 0) if max(left) > t)
+        none = {n: k for n, k in left.items() if n > max([least, *gaps])}
+        more = max(sum(k for n, k in none.items() if n > capacity // 2), -(-sum(k * n for n, k in none.items()) // capacity))
+        gaps, bins = gaps + [capacity] * more, bins + more
+        fit = [n for n in sorted(left) if n > least and gaps[-1] >= n]
+        first = {n: next(i for i, g in enumerate(gaps) if g >= n) for n in fit}
+        each, given, used = {n: gaps[first[n]] // n for n in fit}, {}, 0
+        for n in reversed(fit):
+            given[n] = min(-(-left[n] // each[n]), len(gaps) - first[n] - used)
+            used += given[n]
+        end = 0
+        for n in fit:
+            slot = max(end, first[n])
+            end = slot + given[n] if given[n] else end
+            for k in range(slot, slot + given[n]):
+                m = min(each[n], left[n])
+                gaps[k], left[n] = gaps[k] - m * n, left[n] - m
+                assert gaps[k] >= 0
+            if not left[n]:
+                del left[n]
+    return bins
+
+
+def test_sweeps_of_best_fit(spark):
+    rng = np.random.default_rng(5)
+    cases = [{}, {64: 3}, {1: 1}, {33: 7, 31: 7, 1: 5}, {k: 1 for k in range(1, 65)}, {k: int(n) for k, n in zip(range(1, 65), rng.integers(1, 60, 64))}]
+    for histogram in cases:
+        steps, bins = K.best_fit(spark.createDataFrame(list(histogram.items()), "length int, n long"), 64)
+        ranks, filled = {}, {}
+        for step in steps:
+            for r in step.where("kind = 2").collect():
+                ranks.setdefault(r.s, []).append((r.at, r.n))
+                for k in range(r.n):
+                    filled.setdefault(r.bin + k // r.each, []).append((r.offset + (k % r.each) * r.s, r.s))
+        assert set(ranks) == set(histogram)
+        for length, n in histogram.items():  # every rank once
+            at = 0
+            for first, count in sorted(ranks[length]):
+                assert first == at
+                at += count
+            assert at == n
+        for parts in filled.values():
+            at = 0
+            for offset, length in sorted(parts):
+                assert offset == at
+                at += length
+            assert at <= 64
+        free: list[int] = []  # best fit, longest first, piece by piece
+        for length in sorted((k for k, n in histogram.items() for _ in range(n)), reverse=True):
+            fits = [g for g in free if g >= length]
+            if fits:
+                free.remove(min(fits))
+            free.append((min(fits) if fits else 64) - length)
+        assert len(filled) == bins == brute_sweeps(histogram, 64) <= 1.01 * len(free) + 1
 
 
 def check_packing(docs, encode, capacity):
