@@ -35,6 +35,41 @@ def test_counts_and_cache(spark, odd, documents):
         assert stored.count() == docs.selectExpr("coalesce(text, '')").distinct().count()
 
 
+def test_texts_stay_where_they_are_read(spark, documents):
+    """With a cache that knows nine texts of ten, only the tenth is encoded; and no exchange holds a text, known or not."""
+    cache, seen = fresh_dir(spark, "cache"), []
+    T.token_counts(documents.where("doc_id % 10 > 0"), cache).collect()
+    version = T.tokenizer_digest("byte_bpe_50k.json")
+    stored = lambda: spark.read.option("recursiveFileLookup", "true").parquet(f"{cache}/{version}").count()
+    before, encode = stored(), T.encode_listed
+
+    def listed(texts, *more):
+        seen.append(encode(texts, *more))
+        return seen[-1]
+
+    T.encode_listed = listed
+    try:
+        out = T.token_counts(documents, cache)
+        assert out.count() == documents.count()
+    finally:
+        T.encode_listed = encode
+    assert stored() - before == documents.selectExpr("coalesce(text, '')").subtract(documents.where("doc_id % 10 > 0").selectExpr("coalesce(text, '')")).count() > 0
+    assert "Exchange" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_counts_where_partitions_read_other_rows(spark, documents):
+    """A second pass whose partitions hold other rows than the first one's lacks some digests; their texts are moved."""
+    library = T.Counter("byte_bpe_50k.json", None).library
+    encode = T.encode_listed
+    T.encode_listed = lambda texts, *more: encode(texts.withColumn("part", texts["part"] + 1000), *more)
+    try:
+        got = T.token_counts(documents, fresh_dir(spark, "cache")).collect()
+    finally:
+        T.encode_listed = encode
+    assert {r.doc_id: r.n_tokens for r in got} == {r.doc_id: len(library.encode(r.text or "", add_special_tokens=False)) for r in documents.collect()}
+
+
 def test_counts_of_an_empty_table(spark, none):
     assert T.token_counts(none, fresh_dir(spark, "cache")).count() == 0
 

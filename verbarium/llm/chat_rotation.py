@@ -8,9 +8,11 @@ The result has a row for each perspective and turn, with the turn's place in the
 over many rows and tasks; the segments in order are the dialogue. Places are running sums made in two steps (inside ranges, then over
 ranges), so a conversation that holds a third of all turns isn't gathered into one task.
 
-Defined cases: a null role is the speaker `unknown`; a null text is empty; turns with equal numbers are ordered by role, then text; rows
+Defined cases: a null role is the speaker `unknown`; a null text is empty; turns with equal numbers are ordered by role, then by the
+SHA-256 of their texts (whole texts would be range keys otherwise, of which a sample comes to the driver); texts of any length are one segment; rows
 that are equal in all of these are numbered in any order (they render alike); a null conv_id is a conversation of its own; null turn
-numbers come first; system turns alone have no perspective and give no row; extra columns are ignored.
+numbers come first; system turns alone have no perspective and give no row; an empty table
+gives none; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +36,8 @@ def rotate(conversations: DataFrame, system_roles: tuple[str, ...] = SYSTEM) ->
     named = F.when(F.col("role") == "user", F.concat(F.lit("user name="), "speaker")).otherwise(F.col("role"))
     shown = seen.withColumn("role", role).withColumn("head", F.concat(F.lit(START), named, F.lit("\n")))
     shown = shown.withColumn("segment", F.concat("head", "text", F.lit(END))).withColumn("length", F.length("segment").cast("long")).withColumn("head_length", F.length("head").cast("long"))
-    out = running(shown.drop("head"), ["conv_id", "perspective"], ["turn", "speaker", "text"], "length")
+    shown = shown.withColumn("digest", F.sha2("text", 256)).drop("head", "text")
+    out = running(shown, ["conv_id", "perspective"], ["turn", "speaker", "digest"], "length")
     taught = F.col("role") == "assistant"
     pick = lambda c: F.when(taught, c).otherwise(F.lit(0)).cast("long")
     return out.select(
@@ -66,7 +69,7 @@ h AS (SELECT *, '<|im_start|>' || CASE WHEN role = 'user' THEN 'user name=' || s
 g AS (SELECT *, head || text || '<|im_end|>' || chr(10) AS segment FROM h),
 l AS (SELECT *, CAST(length(segment) AS BIGINT) AS length, CAST(length(head) AS BIGINT) AS head_length FROM g),
 r AS (SELECT *, CAST(coalesce(sum(length) OVER w, 0) AS BIGINT) AS start, CAST(count(*) OVER w AS BIGINT) AS seq FROM l
-      WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn, speaker, text ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+      WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn, speaker, sha256(text) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
 SELECT conv_id, perspective, seq, turn, speaker, role, segment, start, length,
        CAST(CASE WHEN role = 'assistant' THEN start + head_length ELSE 0 END AS BIGINT) AS mask_start,
        CAST(CASE WHEN role = 'assistant' THEN length - head_length ELSE 0 END AS BIGINT) AS mask_length

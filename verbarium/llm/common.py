@@ -5,9 +5,10 @@ from __future__ import annotations
 import gc
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -49,16 +50,6 @@ def map_batches(df: DataFrame, work: Callable[[pa.RecordBatch], pa.RecordBatch],
     return df.mapInArrow(run, schema)
 
 
-def only(docs: DataFrame, keep: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The rows of `docs` whose key is in `keep`, one for each key (repeated rows of a key that stays give one row). All columns of
-    `docs` come back unchanged, whatever their names. Rows without a key can't be told apart, so they go."""
-    cols = [F.col(_q(c)) for c in docs.columns]
-    mine = docs.select(F.struct(*cols).alias("row"), F.col(_q(key)).alias("k"))
-    kept = mine.join(keep.select(F.col(_q(key)).alias("k")).distinct(), "k", "left_semi")
-    one = kept.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("k"))).where("n = 1")
-    return one.select("row.*")
-
-
 def where_text(docs: DataFrame, keep: Callable[[pa.Array], list[bool]]) -> DataFrame:
     """The rows of `docs` whose text `keep` accepts, each judged by itself in one pass: whole rows in, kept rows out. No key is needed."""
 
@@ -70,12 +61,59 @@ def where_text(docs: DataFrame, keep: Callable[[pa.Array], list[bool]]) -> DataF
 
 def rows_kept(docs: DataFrame, choose: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The rows of `docs` that `choose` keeps, with all their columns. It gets text and, as doc_id, a struct that orders as the row's doc_id does
-    (nulls last), then by the row's place in a staged table; so rows without a doc_id, or with the same one, are rows like any other."""
+    (nulls last), then by the row's place in a staged table; so rows without a doc_id, or with the same one, are rows like any other. What is
+    kept goes back as lists of places, one for each partition in which they were given out; the rows themselves are not exchanged."""
     row = F.struct(*[F.col(_q(c)) for c in docs.columns]).alias("row")
     placed = stage(docs.select(row, F.monotonically_increasing_id().alias("place")), "placed")
     key = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("id"), "place").alias("doc_id")
     keep = choose(placed.select(key, F.col("row.text").alias("text"))).select(F.col("doc_id.place").alias("place"))
-    return placed.join(keep, "place", "left_semi").select("row.*")
+    lists = write_parts(keep.withColumn("part", F.shiftright("place", 33)), "kept")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, mine = -1, np.zeros(0, dtype=np.int64)
+        for batch in batches:
+            place = batch.column("place").to_numpy()
+            on = np.zeros(len(place), dtype=bool)
+            for p in np.unique(place >> 33).tolist():
+                if p != part:
+                    part, mine = p, np.array(listed(lists, p, "place"), dtype=np.int64)
+                on |= np.isin(place, mine)
+            yield batch.filter(pa.array(on))
+
+    small_batches(docs.sparkSession)
+    return placed.mapInArrow(run, placed.schema).select("row.*")
+
+
+def write_parts(df: DataFrame, name: str) -> str:
+    """Write `df` to the shared folder, a folder for each value of its column `part`; the URI."""
+    path = fresh_dir(df.sparkSession, name)
+    df.repartition("part").write.partitionBy("part").parquet(path)
+    return path
+
+
+def listed(uri: str, part: int, column: str) -> list:
+    """A column of what write_parts() wrote for one part; read in a worker."""
+    import pyarrow.fs as pafs
+    import pyarrow.parquet as pq
+
+    fs, root = pafs.FileSystem.from_uri(f"{uri}/part={part}")
+    found: list = []
+    for file in fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)):
+        if file.path.endswith(".parquet"):
+            with fs.open_input_file(file.path) as f:
+                found += pq.read_table(f, columns=[column]).column(0).to_pylist()
+    return found
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, most: int = 200, small: Column | None = None) -> DataFrame:
+    """`rows` joined with `groups`, which have one row for each key and count the key's rows in `size`. Keys with more than 1 / `most` of all rows,
+    fewer than `most` of them, are broadcast and meet their rows where these are; the others go by an ordinary join, in which none is hot. `small`
+    says of which keys the bytes are bounded, where their type doesn't. Both tables are read more than once, so they should be staged."""
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    is_hot = (F.col(size) > total / most) & (F.lit(True) if small is None else small)
+    hot = groups.where(is_hot)
+    far = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups.where(~is_hot), key)
+    return rows.join(F.broadcast(hot), key).unionByName(far)
 
 
 def id_type(docs: DataFrame) -> str:

@@ -7,7 +7,8 @@ texts are equal exactly if their ordered identifier lists (16 bytes for about 1
 and joined; the texts themselves are moved once, as deduplicated chunks, for the verification.
 
 Defined cases: null and empty texts are equal to each other and to texts of white space only; rows that repeat a doc_id and its text
-count as members and exactly one of them is kept; a null doc_id sorts last; extra columns are ignored.
+count as members and exactly one of them is kept; of equal texts that tie in length the smallest doc_id stays, a null one sorts last; texts of any
+length are cut whole, a slab at a time; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,13 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_BYTES, as_bytes, id_type, only, small_batches
+from .common import SPACE_BYTES, as_bytes, id_type, join_groups, rows_kept, small_batches, stage
 
 #: Chunk sizes in bytes; a cut needs 10 zero bits of the gear hash, so chunks are about MIN + 1 kB long.
 MIN_CHUNK, MAX_CHUNK, MASK = 256, 8192, np.uint32(0x3FF << 22)
 GEAR = np.random.default_rng(20).integers(0, 1 << 32, 256, dtype=np.uint32)
-#: Bytes for which the gear hash is computed at once.
-SLAB = 1 << 21
+#: Bytes for which the gear hash is computed at once, and that it looks back.
+SLAB, LOOK = 1 << 21, 32
+#: Recipes of very large groups are broadcast up to this size (texts of some 4 MB).
+KEY_BYTES = 1 << 16
 
 #: Chunk digests, tried in turn until one is verified on the data.
 DIGESTS: tuple[Callable[[bytes], bytes], ...] = (
@@ -54,11 +57,7 @@ def cut(texts: list[bytes]) -> Iterator[list[bytes]]:
 
 
 def _cut_slab(slab: list[bytes]) -> Iterator[list[bytes]]:
-    data = np.frombuffer(b"".join(slab), dtype=np.uint8)
-    h = GEAR[data]
-    for step in (1, 2, 4, 8, 16):  # h[i] = sum of GEAR[data[i - k]] << k over k < 32
-        h[step:] += h[:-step] << np.uint32(step)
-    marks = (np.flatnonzero((h & MASK) == 0) + 1).tolist()
+    marks = _marks(b"".join(slab))
     start, at = 0, 0
     for text in slab:
         end, out, low = start + len(text), [], start
@@ -73,6 +72,18 @@ def _cut_slab(slab: list[bytes]) -> Iterator[list[bytes]]:
         start = end
 
 
+def _marks(data: bytes) -> list[int]:
+    """Where the hash hits the mask; computed slab by slab, so that a very long text needs no more than the slab beside itself."""
+    found: list[int] = []
+    for low in range(0, len(data), SLAB):
+        back = min(low, LOOK)
+        h = GEAR[np.frombuffer(data[low - back : low + SLAB], dtype=np.uint8)]
+        for step in (1, 2, 4, 8, 16):  # h[i] = sum of GEAR[data[i - k]] << k over k < 32
+            h[step:] += h[:-step] << np.uint32(step)
+        found += (np.flatnonzero((h[back:] & MASK) == 0) + low + 1).tolist()
+    return found
+
+
 def _normal(batch: pa.RecordBatch) -> list[bytes]:
     return [b.translate(None, SPACE_BYTES) for b in as_bytes(batch.column("text"))]
 
@@ -123,22 +134,23 @@ def recipes(docs: DataFrame, digests: tuple[Callable[[bytes], bytes], ...] = DIG
 def exact_dedup(docs: DataFrame, digests: tuple[Callable[[bytes], bytes], ...] = DIGESTS) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256, n_points: one row for each row of `docs`.
 
-    The row with the most code points, then the smallest doc_id, stays. Groups are reduced in the map tasks first; the join back
-    is on the recipe alone, so that Spark may split the partition of a very large group.
+    The row with the most code points, then the smallest doc_id, stays. Groups are reduced in the map tasks first; very large groups
+    meet their rows by broadcast (at most 200 recipes of at most KEY_BYTES), others by a join on the recipe.
     """
     lists = recipes(docs, digests)
     rows = lists.groupBy("recipe", "n_points", "doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("copies"))
+    rows = stage(rows, "recipes")
     order = F.struct((-F.col("n_points")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"))
     groups = rows.groupBy("recipe").agg(F.min(order).alias("best"), F.sum("copies").alias("group_size"))
-    groups = groups.select("recipe", F.col("best.c").alias("keep_id"), (-F.col("best.a")).alias("keep_points"), "group_size")
-    joined = rows.join(groups, "recipe").select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    groups = stage(groups.select("recipe", F.col("best.c").alias("keep_id"), (-F.col("best.a")).alias("keep_points"), "group_size"), "groups")
+    joined = join_groups(rows, groups, "recipe", "group_size", small=F.octet_length("recipe") <= KEY_BYTES).select("*", F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("keep_points")) & (F.col("copy") == 1)
     return joined.select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"), kept.alias("kept"), "text_sha256", "n_points")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of `docs` that stay, with all their columns."""
-    return only(docs, exact_dedup(docs).where("kept"))
+    return rows_kept(docs, lambda rows: exact_dedup(rows).where("kept"))
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:

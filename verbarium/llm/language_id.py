@@ -5,10 +5,11 @@ a language is the sum over all of them, which a forward pass computes, and a tex
 probabilities are fitted by expectation-maximisation (forward and backward) on the word counts of a bounded sample of labelled texts.
 
 A text is scored whole. Each worker remembers the log-probabilities of a bounded number of white-space pieces, so the forward pass runs
-for new words only.
+for new words only. Every lang value is learned; the model takes 8 bytes for each piece and language (256 kB a language).
 
-Defined cases: `und` with score 0 where the text is null or has no letter (or nothing was learned); a null lang or doc_id is no training
-row, and a null doc_id isn't held out; repeated rows get the same prediction; extra columns are ignored.
+Defined cases: `und` with score 0 where the text is null or has no letter (or nothing was learned); a null lang, text or doc_id is no training
+row, and a null doc_id isn't held out; of languages that tie the first by name is predicted; repeated rows get the same prediction; very long texts and
+words are scored whole, but words of over SHORT letters don't train; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,23 +24,23 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .automaton import Automaton, compile_words
-from .common import as_texts, map_batches, only, open_mapped, publish, resident, small_batches, where_text
+from .common import as_texts, map_batches, open_mapped, publish, resident, small_batches, where_text
 
 VOCABULARY = "piece_bpe_32k.model"
 FOLDS, HELD_OUT = 5, 0
-#: The sample: about this many texts of each language, none longer than SAMPLE_CHARS; languages at most; words of each language at most.
-SAMPLE_DOCS, SAMPLE_CHARS, LANGUAGES, SAMPLE_WORDS = 250, 50_000, 200, 20_000
+#: The sample: about this many texts of each language, and of their words so many distinct ones, the most frequent.
+SAMPLE_DOCS, SAMPLE_WORDS = 250, 20_000
 ROUNDS = 3
 #: Probability of a character that no piece covers, the same in all languages.
 UNKNOWN = 1e-8
-#: White-space pieces, and words, that a worker remembers at most.
-CACHE = 200_000
-#: Characters of words that pass together; longer ones are rescaled one by one.
-SHORT = 30
+#: White-space pieces, and words, that a worker remembers at most, and numbers for them.
+CACHE, CACHE_CELLS = 200_000, 4_000_000
+#: Characters of words that pass together; longer ones are rescaled one by one, as are those whose probability falls below TINY in some language.
+SHORT, TINY = 30, 1e-200
 LETTERS = re.compile(r"[^\W\d_]+")
 MARK = "▁"
 
@@ -171,10 +172,14 @@ class Unigrams:
         for i in set(range(len(words))) - set(short):
             out[i] = self.long_word(words[i])
         short.sort(key=lambda i: len(words[i]))
-        for low in range(0, len(short), 4000):
-            part = short[low : low + 4000]
+        together = max(50, 16_000 // self.k)
+        for low in range(0, len(short), together):
+            part = np.array(short[low : low + together])
             lattice = Lattice([words[i] for i in part], self.trie)
-            out[part] = np.log(lattice.forward(self.by_rank)[lattice.size, np.arange(lattice.n)])
+            p = lattice.forward(self.by_rank)[lattice.size, np.arange(lattice.n)]
+            out[part] = np.log(np.maximum(p, TINY))
+            for i in part[(p < TINY).any(axis=1)].tolist():
+                out[i] = self.long_word(words[i])
         return out
 
     def _new_pieces(self, pieces: list[str]) -> np.ndarray:
@@ -208,11 +213,12 @@ class Unigrams:
 
 
 class _Rows:
-    """Remembers the rows of up to CACHE strings."""
+    """Remembers the rows of a bounded number of strings."""
 
     def __init__(self, k: int):
         self.at: dict[str, int] = {}
-        self.table = np.zeros((4096, k))
+        self.room = max(1000, min(CACHE, CACHE_CELLS // max(1, k)))
+        self.table = np.zeros((1000, k))
 
     def rows(self, strings: list[str], make) -> np.ndarray:
         get = self.at.get
@@ -222,9 +228,9 @@ class _Rows:
         if len(new):
             fresh = [strings[i] for i in new]
             made = out[new] = make(fresh)
-            if len(self.at) + len(fresh) > CACHE:
+            if len(self.at) + len(fresh) > self.room:
                 self.at.clear()
-            kept = [i for i, x in enumerate(fresh) if len(x) < 64][:CACHE]
+            kept = [i for i, x in enumerate(fresh) if len(x) < 64][: self.room]
             low = len(self.at)
             while low + len(kept) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
@@ -264,29 +270,28 @@ def fold(df: DataFrame, folds: int) -> DataFrame:
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, model_name: str = VOCABULARY) -> Unigrams:
     """Fit on rows outside the held-out fold. Languages are counted on all rows; the sample is then picked by hash at each language's
-    rate, and only counted words of it come to the driver."""
+    rate, its words are counted where the texts are, whole texts of any length, and SAMPLE_WORDS counted words a language come to the driver."""
+    spark = docs.sparkSession
     rows = fold(docs.select("doc_id", "text", "lang"), FOLDS).where(F.col("lang").isNotNull() & (F.col("fold") != HELD_OUT) & F.col("text").isNotNull())
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Unigrams([], np.zeros((0, 0)), [], [])
-    rate = F.lit(0)
-    for lang, n in sizes.items():
-        rate = F.when(F.col("lang") == lang, int(min(1.0, sample_docs / n) * (1 << 30))).otherwise(rate)
-    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < rate).where(F.length("text") <= SAMPLE_CHARS)
+    rates = spark.createDataFrame([(lang, int(min(1.0, sample_docs / n) * (1 << 30))) for lang, n in sizes.items()], "lang string, rate long")
+    picked = rows.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("rate"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: Counter[tuple[str, str]] = Counter()
             for lang, text in zip(batch.column("lang").to_pylist(), as_texts(batch.column("text"))):
-                counts.update([(lang, w) for w in LETTERS.findall(text.lower()) if len(w) <= 32])
+                counts.update([(lang, w) for w in LETTERS.findall(text.lower()) if len(w) <= SHORT])
             keys = list(counts)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(list(counts.values()), pa.int64())], ["lang", "word", "n"])
 
     words = picked.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    first = words.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).where(F.col("k") <= SAMPLE_WORDS)
     counts: dict[str, dict[str, int]] = {lang: {} for lang in sorted(sizes)}
-    for r in sorted(words.collect(), key=lambda r: (-r.n, r.word)):
-        if len(counts[r.lang]) < SAMPLE_WORDS:
-            counts[r.lang][r.word] = r.n
+    for r in first.select("lang", "word", "n").collect():
+        counts[r.lang][r.word] = r.n
     pieces = vocabulary(model_name)
     total = sum(sizes.values())
     return Unigrams(pieces, fit_pieces(counts, pieces), list(counts), [sizes[lang] / total for lang in counts])
@@ -328,15 +333,11 @@ def identify(docs: DataFrame) -> DataFrame:
     return map_batches(fold(docs.select("doc_id", "text"), FOLDS).select("doc_id", "text", held_out), run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def known_languages(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """The rows of `docs` whose language is recognised, with all their columns."""
-    return only(docs, identify(docs).where((F.col("lang_pred") != "und") & (F.col("score") >= least)))
-
-
-def rows_in_known_languages(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """As known_languages, but each row is judged by its own text and stays or goes by itself, whatever its doc_id."""
+def known_languages(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` whose language is recognised, whatever the score: the learned languages are a closed set, so a short text may well lie between
+    two of them. All columns come back; each row is judged by its own text, whatever its doc_id."""
     predict = predictor(docs)
-    return where_text(docs, lambda texts: [lang != "und" and score >= least for lang, score in predict(texts)])
+    return where_text(docs, lambda texts: [lang != "und" for lang, _ in predict(texts)])
 
 
 def op4_language_id(spark, sf_dir: str) -> DataFrame:

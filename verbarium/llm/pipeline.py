@@ -10,27 +10,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import exact_dedup, language_id, packing, quality_mil, simhash
-from .common import rows_kept, stage
+from .common import stage
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a recognised language stay."""
-    return language_id.rows_in_known_languages(docs)
+    """Documents whose language is recognised stay, that is all but `und`."""
+    return language_id.known_languages(docs)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are predicted to be good stay."""
-    return quality_mil.good_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_mil.good_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
-    return rows_kept(docs, lambda rows: exact_dedup.exact_dedup(rows).where("kept"))
+    return exact_dedup.drop_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
-    return rows_kept(docs, lambda rows: simhash.near_dedup(rows).where("doc_id = component_id"))
+    return simhash.drop_near_copies(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

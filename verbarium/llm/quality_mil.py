@@ -6,22 +6,26 @@ passages of a document, and a logistic layer scores the weighted representation.
 bounded sample of labelled documents; scoring takes whole texts, each passage of them.
 
 Defined cases: null and empty texts are one empty passage and get a score; labels repeated for a doc_id count once, as their minimum;
-null labels and null doc_ids don't train, and a null doc_id isn't held out; without labels of both kinds every score is the share of label
-1 (1 if there are none); extra columns are ignored.
+null labels, null texts and null doc_ids don't train, and a null doc_id isn't held out; without labels of both kinds every score is the share of label
+1 (1 if there are none); equal texts get equal scores, whatever stands beside them; texts over LONG are scored slice by slice, whole; of a labelled
+doc_id with several texts all train; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Iterator
+from itertools import islice
 from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, map_batches, only, open_mapped, publish, resident, small_batches, where_text
+from .common import as_bytes, map_batches, open_mapped, publish, resident, small_batches, where_text
 
 FOLDS, HELD_OUT = 4, 2
 THRESHOLD = 0.7
@@ -29,6 +33,8 @@ PASSAGE = 64
 #: Labelled documents to train on: about this many of each label, none over SAMPLE_CHARS.
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 100_000
 HIDDEN, ATTENTION, EPOCHS = 24, 12, 200
+#: Bytes above which a text is taken in slices of SLICE passages, so that memory is that of the text and a slice.
+LONG, SLICE = 4 << 20, 2048
 
 #: Character classes, by byte.
 CLASSES = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t\r\x0b\x0c", b"\n", b".,;:", b"!?", b"'\"()-", b"#*$%&", b"|<>", b"/\\_=+~^`@[]{}"]
@@ -39,14 +45,17 @@ for _k, _members in enumerate(CLASSES):
 SPACE = np.zeros(256, dtype=bool)
 SPACE[list(b" \t\n\r\x0b\x0c")] = True
 FEATURES = N_CLASSES * N_CLASSES + 5
+WORD, LINE = re.compile(rb"[^ \t\n\r\x0b\x0c]+"), re.compile(rb"[^\n]+")
 
 
-def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all passages of the texts, and the number of passages of each text."""
-    data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
+def passages(texts: list[bytes], follow: list[bytes] | None = None, traits: list[tuple[float, float]] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Features of all passages of the texts, and the number of passages of each text. `follow`: the byte after each text, where these are slices of
+    a longer one; `traits`: repeated lines and variety of words of the whole one."""
+    data = np.frombuffer(b"".join(x for pair in zip(texts, follow or [b"\n"] * len(texts)) for x in pair), dtype=np.uint8)
     ends = np.cumsum([len(t) + 1 for t in texts])
     starts = ends - np.array([len(t) + 1 for t in texts])
     solid = ~SPACE[data]
+    solid[ends - 1] = False
     word_at = np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]]))
     doc_of = np.searchsorted(ends, word_at, side="right")
     n_words = np.bincount(doc_of, minlength=len(texts))
@@ -65,23 +74,50 @@ def passages(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.diff(np.append(bounds, len(data)))
     kinds = CLASS_OF[data]
     code = kinds[:-1].astype(np.int64) * N_CLASSES + kinds[1:] + np.repeat(np.arange(len(bounds)) * N_CLASSES**2, sizes)[:-1]
-    pairs = np.bincount(code, minlength=len(bounds) * N_CLASSES**2).reshape(len(bounds), -1)
+    own = np.ones(len(code), dtype=bool)
+    own[ends[:-1] - 1] = False  # what follows a text is the second of a pair, never the first
+    pairs = np.bincount(code[own], minlength=len(bounds) * N_CLASSES**2).reshape(len(bounds), -1)
+    sizes[opening + per_doc - 1] -= 1
     out = np.zeros((len(bounds), FEATURES), dtype=np.float32)
     out[:, :-5] = np.sqrt(pairs / np.maximum(1, sizes)[:, None])
     k = 0
-    for text in texts:
+    for d, text in enumerate(texts):
         words = text.split()
-        lines = [x for x in text.split(b"\n") if x]
-        repeated = 1 - len(set(lines)) / max(1, len(lines))
-        varied = len(set(words)) / max(1.0, len(words) ** 0.75)
+        if traits is None:
+            lines = [x for x in text.split(b"\n") if x]
+            repeated, varied = _traits(len(lines), len(set(lines)), len(words), len(set(words)))
+        else:
+            repeated, varied = traits[d]
         for i in range(0, max(1, len(words)), PASSAGE):
-            own = words[i : i + PASSAGE]
-            n = max(1, len(own))
-            out[k, -5:] = (len(set(own)) / n, sum(map(eq, own, own[1:])) / n, sum(map(len, own)) / n / 10, repeated, varied)
+            part = words[i : i + PASSAGE]
+            n = max(1, len(part))
+            out[k, -5:] = (len(set(part)) / n, sum(map(eq, part, part[1:])) / n, sum(map(len, part)) / n / 10, repeated, varied)
             k += 1
     return out, per_doc
 
 
+def _traits(n_lines: int, distinct_lines: int, n_words: int, distinct_words: int) -> tuple[float, float]:
+    return 1 - distinct_lines / max(1, n_lines), distinct_words / max(1.0, n_words**0.75)
+
+
+def _distinct(parts: Iterator[bytes], block: int = 1 << 20) -> tuple[int, int]:
+    """How many, and how many different, by 64-bit digest."""
+    n, seen = 0, np.zeros(0, dtype=np.uint64)
+    while len(now := np.fromiter(map(xxhash.xxh3_64_intdigest, islice(parts, block)), dtype=np.uint64)):
+        n, seen = n + len(now), np.union1d(seen, now)
+    return n, len(seen)
+
+
+def slices(text: bytes, passages_each: int = SLICE) -> Iterator[tuple[bytes, bytes]]:
+    """A text in parts that begin where passages do, each with the byte after it."""
+    low = 0
+    for k, word in enumerate(WORD.finditer(text)):
+        if k and k % (PASSAGE * passages_each) == 0:
+            yield text[low : word.start()], text[word.start() : word.start() + 1]
+            low = word.start()
+    yield text[low:], b"\n"
+
+
 # -- the network -------------------------------------------------------------------------------------------------------------------
 
 
@@ -93,17 +129,37 @@ def _logistic(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def forward(m: dict[str, np.ndarray], x: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-    starts = np.cumsum(counts) - counts
+def encode(m: dict[str, np.ndarray], x: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What a passage is (h), the two halves of its gate, and how strongly it asks for attention."""
     h = np.tanh(((x - m["mean"]) / m["dev"]) @ m["W"] + m["b"])
     t, g = np.tanh(h @ m["V"]), _logistic(h @ m["U"])
-    e = (t * g) @ m["w"]
+    return h, t, g, (t * g) @ m["w"]
+
+
+def forward(m: dict[str, np.ndarray], x: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
+    starts = np.cumsum(counts) - counts
+    h, t, g, e = encode(m, x)
     e = np.exp(e - np.repeat(np.maximum.reduceat(e, starts), counts))
     a = e / np.repeat(_sums(e, starts), counts)
     z = _sums(h * a[:, None], starts)
     return {"h": h, "t": t, "g": g, "a": a, "z": z, "p": _logistic(z @ m["c"] + m["c0"]), "starts": starts}
 
 
+def score_long(m: dict[str, np.ndarray], text: bytes, passages_each: int = SLICE) -> float:
+    """forward() of one text, a slice at a time: sums of attention and of weighted passages, rescaled to the largest exponent so far."""
+    n_lines, distinct_lines = _distinct(x.group() for x in LINE.finditer(text))
+    n_words, distinct_words = _distinct(x.group() for x in WORD.finditer(text))
+    traits = _traits(n_lines, distinct_lines, n_words, distinct_words)
+    top, total, z = -np.inf, 0.0, 0.0
+    for part, after in slices(text, passages_each):
+        h, _, _, e = encode(m, passages([part], [after], [traits])[0])
+        high = max(top, float(e.max()))
+        w = np.exp(e - high)
+        keep = np.exp(top - high)
+        total, z, top = total * keep + w.sum(), z * keep + w @ h, high
+    return float(_logistic((z / total) @ m["c"] + m["c0"]))
+
+
 def train(x: np.ndarray, counts: np.ndarray, y: np.ndarray, weight: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> dict[str, np.ndarray]:
     """Gradient descent (Adam) on the weighted log-loss of whole documents."""
     r = np.random.default_rng(seed)
@@ -191,13 +247,16 @@ def score_texts(m: dict[str, np.ndarray], texts: list[bytes], slab: int = 1 << 2
     out: list[float] = []
     group: list[bytes] = []
     size = 0
-    for k, text in enumerate(texts):
-        group.append(text)
-        size += len(text)
-        if size >= slab or k == len(texts) - 1:
+    for text in texts:
+        if group and (size + len(text) > slab or len(text) > LONG):
             out += forward(m, *passages(group))["p"].tolist()
             group, size = [], 0
-    return out
+        if len(text) > LONG:
+            out.append(score_long(m, text))
+        else:
+            group.append(text)
+            size += len(text)
+    return out + (forward(m, *passages(group))["p"].tolist() if group else [])
 
 
 def published(docs: DataFrame, labels: DataFrame) -> str:
@@ -221,13 +280,8 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     return map_batches(fold(docs.select("doc_id", "text")).select("doc_id", "text", held_out), run, "doc_id long, held_out boolean, score double, predicted int")
 
 
-def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` that are predicted to be good, with all their columns."""
-    return only(docs, score_quality(docs, labels).where("predicted = 1"))
-
-
-def good_rows(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """As good_documents, but each row is judged by its own text and stays or goes by itself, whatever its doc_id."""
+def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of `docs` that are predicted to be good, with all their columns. Each row is judged by its own text, whatever its doc_id."""
     uri = published(docs, labels)
     return where_text(docs, lambda texts: [s >= threshold for s in score_texts(_load(uri), as_bytes(texts))])
 

@@ -5,7 +5,9 @@ it votes what on good and on bad texts (its accuracy), without labels; the poste
 replaces the filter in which every rule must pass. The table of vote patterns on which the estimation works has at most 3^RULES rows
 whatever the size of the corpus, and counts all texts.
 
-Defined cases: null and empty texts have no words and fail the base rules; repeated rows are judged alike, each; extra columns are ignored.
+Defined cases: null and empty texts have no words and fail the base rules; repeated rows are judged alike, each; a posterior of exactly the threshold
+keeps; texts of any length are read whole; where no text passes the base rules (an empty table), the expectations stand; null doc_ids keep their row;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,13 +17,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import only, stage, text_col
+from .common import rows_kept, stage, text_col
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Share of good texts expected beforehand, and how much such expectations weigh, as a share of the texts.
-PRIOR, WEIGHT = 0.85, 0.5
-ROUNDS = 50
+#: Share of good texts expected beforehand, and the number of texts that such expectations count as, whatever the size of the table.
+PRIOR, WEIGHT = 0.85, 500.0
+ROUNDS = 500
 
 
 def base_features(docs: DataFrame) -> DataFrame:
@@ -92,13 +94,13 @@ VOTES = (1, -1, 0)
 
 def fit(patterns: list[tuple[tuple[int, ...], int]], expected: list[tuple[tuple[float, float], tuple[float, float]]], rounds: int = ROUNDS, prior: float = PRIOR, weight: float = WEIGHT) -> tuple[float, list[dict[int, tuple[float, float]]]]:
     """Expectation-maximisation over counted vote patterns: the share of good texts, and for each rule {vote: (P(vote | good),
-    P(vote | bad))}. What is expected beforehand counts as `weight` times the texts, so that of two ways to split the texts the one is found
-    in which "good" means good; the votes then move each rule's probabilities, its accuracy, from there."""
-    total = sum(n for _, n in patterns)
+    P(vote | bad))}. What is expected beforehand counts as `weight` texts, so that of two ways to split the texts the one is found
+    in which "good" means good; the votes then move each rule's probabilities, its accuracy, from there, and outgrow the expectations as texts grow.
+    Ends when the share of good texts stands still, or after `rounds`."""
     start = [{v: (g[k] if k < 2 else 1 - sum(g), b[k] if k < 2 else 1 - sum(b)) for k, v in enumerate(VOTES)} for g, b in expected]
     start = [{v: (max(g, 1e-4), max(b, 1e-4)) for v, (g, b) in t.items()} for t in start]
     table, share = [dict(t) for t in start], prior
-    held = (1 + weight * total * share, 1 + weight * total * (1 - share))
+    held = (1 + weight * share, 1 + weight * (1 - share))
     for _ in range(rounds):
         sums = [{v: [held[0] * t[v][0], held[1] * t[v][1]] for v in t} for t in start]
         good, bad = held
@@ -109,8 +111,10 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], expected: list[tuple[tuple[
             for s, v in zip(sums, votes):
                 s[v][0] += n * p
                 s[v][1] += n * (1 - p)
-        share = good / (good + bad)
+        before, share = share, good / (good + bad)
         table = [{v: (s[v][0] / sum(x[0] for x in s.values()), s[v][1] / sum(x[1] for x in s.values())) for v in s} for s in sums]
+        if abs(share - before) < 1e-10:
+            break
     return share, table
 
 
@@ -144,7 +148,8 @@ def quality_rules(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def good_documents(docs: DataFrame) -> DataFrame:
-    return only(docs, quality_rules(docs).where("kept"))
+    """The rows of `docs` that stay, with all their columns, each judged by its own text."""
+    return rows_kept(docs, lambda rows: quality_rules(rows).where("kept"))
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:

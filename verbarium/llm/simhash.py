@@ -17,7 +17,10 @@ verified by their distance; each bucket returns a spanning forest of its links,
 fingerprints are dealt out in pairs of blocks.
 
 Defined cases: a null text is an empty one; texts without words have fingerprint 0 and link like any other; repeated rows link to each
-other; null doc_ids are members but never a component's name, unless it has no other; extra columns are ignored.
+other; null doc_ids are members but never a component's name, unless it has no other; texts of any length are hashed whole, a stretch of shingles at a
+time; an empty table gives no rows; extra columns are ignored. A bucket of n distinct fingerprints over BUCKET is searched in pairs of blocks, so its
+rows are dealt 2n / BUCKET times each: exact, but work grows with n squared there. Such a bucket needs that many distinct texts which agree in the
+key's 32 bits or more and yet are no exact copies.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, id_type, map_batches, only, small_batches, stage
+from .common import as_bytes, id_type, join_groups, map_batches, rows_kept, small_batches, stage
 from .components import components
 
 SEED, SHINGLE, DISTANCE = 42, 4, 4
@@ -244,16 +247,17 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id, fp: one row for each row of `docs`."""
     mine = stage(fingerprints(docs), "doc-fingerprints")
     roots = stage(components(near_links(mine)), "components")
-    named = mine.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = stage(named.join(names, "root").select(F.col("fp").alias("t"), "component_id"), "names")
-    out = mine.join(table, F.col("fp") == F.col("t"))
+    found = mine.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    named = stage(found.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root")), "named")
+    names = stage(named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members")), "names")
+    table = stage(join_groups(named, names, "root", "members").select("fp", "n", "component_id"), "named-fingerprints")
+    out = join_groups(mine, table, "fp", "n")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp")
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
     """One row of each component, that of its smallest doc_id, with all its columns."""
-    return only(docs, near_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    return rows_kept(docs, lambda rows: near_dedup(rows).where("doc_id = component_id"))
 
 
 def op1_simhash_golay(spark, sf_dir: str) -> DataFrame:
