@@ -242,18 +242,37 @@ def test_charts(spark):
     assert charts.best_zoom(rows) >= 1 and charts.best_zoom(rows.where("false")) == 0
     assert charts.plot_rows(spark.createDataFrame([(" ", "x ")], "a string, b string")).first().asDict() == {"a": None, "b": "x "}
     assert charts.time_units("utcyearmonthdatehours") == ["year", "month", "date", "hours"]
-    for bad in (lambda: charts.time_units("yearx"), lambda: charts.histogram_arguments("nominal", {}), lambda: charts.histogram_arguments("temporal", {})):
+    for bad in (lambda: charts.time_units("yearx"), lambda: charts.histogram_arguments({"xType": "nominal"}), lambda: charts.histogram_arguments({"xType": "temporal"})):
         with pytest.raises(ValueError):
             bad()
-    config = {"plots": {"datasets": [{"name": "d", "source": "t"}, {"name": "e"}], "plotList": [{"type": "boxPlot", "dataset": "d"}, {"type": "odd", "dataset": "zz"}]}}
-    assert len(charts.check_config(config)) == 2 and charts.check_config({}) == ["plots is missing"]
-    found, missing = charts.bind_datasets(config, {"t": t})
-    assert list(found) == ["d"] and missing == ["e"]
+    assert charts.histogram_arguments({"xType": "quantitative", "step": 5, "nice": True}) == ({"xType": "quantitative", "step": 5}, ["nice is ignored"])
     assert charts.embed_options({"a": {"b": 1, "c": 2}}, {"a": {"c": 3}}) == {"a": {"b": 1, "c": 3}} and charts.color_scale({"x": "red"}) == {"domain": ["x"], "range": ["red"]}
     bars = charts.bar_count(spark.createDataFrame([("b",), ("a",), ("b",), ("z",)], "x string"), "x")
     assert [r.x for r in charts.sorted_bars(bars, "x").collect()][0] == "b" and [r.x for r in charts.sorted_bars(bars, "x", ["z", "a"]).collect()] == ["z", "a", "b"]
 
 
+def test_plot_configurations(spark):
+    made = charts.default_config(["x/ships.csv", "y/ships.csv", "harbours"])
+    assert made["plots"]["datasets"] == {"ships": {"source": "x/ships.csv"}, "ships 2": {"source": "y/ships.csv"}, "harbours": {"source": "harbours"}} and charts.check_config(made) == []
+    good = {"dataset": {"name": "ships"}, "makeSpec": {"plotFunction": "boxPlot", "args": {"xVar": "port"}}, "plotCardSpan": 2}
+    own = {"dataset": {"name": "harbours"}, "customSpec": {"mark": "bar"}, "config": {}, "span": "3"}
+    later = {"dataset": {"name": "ships"}, "makeSpec": {"plotFunction": "notYetKnown", "args": {}}, "extra": 1}
+    assert charts.check_config({"plots": {**made["plots"], "plotList": [good, own, later]}}) == []
+    bad = [{**good, "dataset": {"name": "none"}}, {**good, "dataset": "ships"}, {"dataset": {"name": "ships"}}, {**good, "makeSpec": {"plotFunction": "boxPlot"}}, {**own, "config": []}, {**good, "plotCardSpan": 4}, 5]
+    for plot in bad:
+        assert len(charts.check_config({"plots": {**made["plots"], "plotList": [plot]}})) == 1, plot
+    assert charts.check_config({}) and len(charts.check_config({"plots": {"datasets": [], "plotList": {}, "globalConfig": 1}})) == 3
+    t = spark.createDataFrame([("a", 1)], "port string, n int")
+    found, missing = charts.bind_datasets({"plots": {"datasets": {"a": "t", "b": {"source": "t"}, "c": {"path": "t"}, "d": {"source": "u"}, "e": None}}}, {"t": t})
+    assert list(found) == ["a", "b", "c"] and missing == [("d", "u"), ("e", "")]
+
+
+def test_box_of_odd_groups(spark):
+    rows = [("a", float(v)) for v in (1, 2, 3, 4, 100)] + [("b", 7.0), (None, 1.0), (None, 3.0), ("c", None)]
+    got = {r.g: tuple(r)[1:] for r in charts.box(spark.createDataFrame(rows, "g string, y double"), "g", "y").collect()}
+    assert got == {"a": (5, 2.0, 3.0, 4.0, 1.0, 4.0), "b": (1, 7.0, 7.0, 7.0, 7.0, 7.0), None: (2, 1.5, 2.0, 2.5, 1.0, 3.0)}
+
+
 # -- files -------------------------------------------------------------------------------------------------------------------------
 
 
@@ -295,6 +314,17 @@ def test_text_readers(spark, tmp_path):
     assert lines == {("a.txt", 1, "S:"), ("a.txt", 3, "x"), ("b.txt", 1, "one"), ("c.txt", 1, "S:")}
     assert [(r.speaker, r.text) for r in readers.chat_lines(spark, str(tmp_path)).orderBy("line_no").collect()] == [("CHI", "hello more"), ("MOT", "yes")]
     assert [(r.speaker, r.text) for r in readers.csv_corpus(spark, str(tmp_path / "t.csv")).orderBy("line_no").collect()] == [("X", 'a, "b"'), ("", "")]
+    folder = tmp_path / "many"
+    folder.mkdir()
+    (folder / "a.csv").write_text('text,Speaker\nfirst,X\n"two\nlines",Y\n')
+    (folder / "b.csv").write_text("speakerID,note,text\nZ,n,third\n")
+    (folder / "c.csv").write_text("text,Speaker\n")
+    (folder / "d.csv").write_text("m,n\np,q\n")
+    got = sorted((r.source, r.line_no, r.speaker, r.text) for r in readers.csv_corpus(spark, str(folder)).collect())
+    assert got == [("a.csv", 1, "X", "first"), ("a.csv", 2, "Y", "two\nlines"), ("b.csv", 1, "Z", "third"), ("d.csv", 1, "", "p q")]
+    t = readers.csv_table(spark, str(folder))
+    assert sorted(t.columns) == ["Speaker", "m", "n", "note", "row_no", "speakerID", "text"]
+    assert [(r.row_no, r.text, r.note, r.Speaker) for r in t.where("note is not null").collect()] == [(1, "third", "n", None)]
     assert [(r.word, r.joy, r.trust) for r in readers.lexicon_csv(spark, str(tmp_path / "l.csv")).collect()] == [("excellent", 1, 0)]
     for bad in ("bad.csv", "t.csv"):
         with pytest.raises(ValueError):

@@ -7,21 +7,21 @@ from verbarium.operators import transcripts as T
 
 PLAIN = """Transcript: one
 Speakers:
-D: Dora [Dora Leung] (Australian, male) #dora
-S: Sona #sona
-C: Charlie #charlie
+D: Odo [Odo Brandt] (Frisian, old) #odo
+S: Runa #runa
+C: Tilda #tilda
 
 PRELIMINARIES
-C:\tcan you tell me your name again?
+C:\thow many nets did you mend?
 MAIN
-D: hello
-   wrapped tail
-S: it was
-1998 was the year
+D: nine
+   and a half
+S: that was
+1931 was the storm
 6\t(0.4)
 POSTLIMINARIES
 lost line
-S: bye (12:30)
+S: enough (12:30)
 END OF TRANSCRIPT
 """
 
@@ -38,14 +38,14 @@ def rows(parsed, doc):
 
 def test_rows(parsed):
     assert rows(parsed, "d") == [
-        ("", "#charlie", "can you tell me your name again?", "PRE"), ("", "#dora", "hello wrapped tail", "MAIN"), ("", "#sona", "it was 1998 was the year", "MAIN"), ("6", "", "(0.4)", "MAIN"), ("", "#sona", "bye", "POST"),
+        ("", "#tilda", "how many nets did you mend?", "PRE"), ("", "#odo", "nine and a half", "MAIN"), ("", "#runa", "that was 1931 was the storm", "MAIN"), ("6", "", "(0.4)", "MAIN"), ("", "#runa", "enough", "POST"),
     ]
     assert rows(parsed, "e") == [("", "#A", "hi", "MAIN"), ("", "#B", "yo", "MAIN"), ("", "#A", "bye", "MAIN")] and rows(parsed, "f") == []
 
 
 def test_speakers(parsed):
     s = {r.code: r for r in parsed["speakers"].where("doc = 'd'").collect()}
-    assert (s["D"].name, s["D"].alternate_name, s["D"].demographic, s["D"].resolved) == ("Dora", "Dora Leung", "Australian, male", "#dora")
+    assert (s["D"].name, s["D"].alternate_name, s["D"].demographic, s["D"].resolved) == ("Odo", "Odo Brandt", "Frisian, old", "#odo")
     assert {r.resolved for r in parsed["speakers"].where("doc = 'e'").collect()} == {"#A", "#B"}
 
 
@@ -60,17 +60,17 @@ def test_diagnostics(parsed):
 
 def test_exports(parsed):
     csv = T.csv_text(parsed["rows"]).where("doc = 'd'").first().text.split("\n")
-    assert csv[0] == "turnNumber,speakerID,text,section" and csv[1] == ",#charlie,can you tell me your name again?,PRE" and csv[-1] == ""
+    assert csv[0] == "turnNumber,speakerID,text,section" and csv[1] == ",#tilda,how many nets did you mend?,PRE" and csv[-1] == ""
     chat = T.chat_text(parsed["rows"], parsed["speakers"], "eng", "c").where("doc = 'd'").first().text.split("\n")
-    assert chat[0] == "@Participants: D Participant, S Participant, C Participant" and chat[1] == "@ID: eng|c|D|||Australian, male||Participant|||" and chat[4] == "@Begin" and chat[5] == "*C: can you tell me your name again?" and chat[-2] == "@End"
-    assert {r.id for r in T.person_entities(parsed["speakers"]).collect()} >= {"#dora", "#sona", "#charlie", "#A"}
+    assert chat[0] == "@Participants: D Participant, S Participant, C Participant" and chat[1] == "@ID: eng|c|D|||Frisian, old||Participant|||" and chat[4] == "@Begin" and chat[5] == "*C: how many nets did you mend?" and chat[-2] == "@End"
+    assert {r.id for r in T.person_entities(parsed["speakers"]).collect()} >= {"#odo", "#runa", "#tilda", "#A"}
     assert "5 rows" in T.log_text(parsed).where("doc = 'd'").first().text
 
 
 def test_numbering_and_trimming(spark):
-    docs = spark.createDataFrame([("n", "Speakers:\nA: An #a\nB: Bo #b\nPRELIMINARIES\nMAIN\n1. A: one\n2 B: two\n3. A three\n4. C: four\nB:")], "doc string, text string")
+    docs = spark.createDataFrame([("n", "Speakers:\nA: Jo #a\nB: Ulf #b\nPRELIMINARIES\nMAIN\n1. A: rope\n2 B: tar\n3. A oil\n4. C: salt\nB:")], "doc string, text string")
     p = T.parse(docs, header_rows=1, footer_rows=1)
-    assert [(r.turn_number, r.speaker_id, r.text) for r in p["rows"].orderBy("row_no").collect()] == [("2", "#b", "two"), ("3", "#a", "three"), ("4", "C", "four")]
+    assert [(r.turn_number, r.speaker_id, r.text) for r in p["rows"].orderBy("row_no").collect()] == [("2", "#b", "tar"), ("3", "#a", "oil"), ("4", "C", "salt")]
     kinds = {k for r in p["body_diagnostics"].collect() for i in r.issues for k in [i.kind]}
     assert kinds == {"turn-number-missing-period", "speaker-code-missing-colon", "speaker-code-undeclared", "text-missing"}
 
@@ -140,6 +140,8 @@ def test_validation_and_helpers(spark):
         G.resolve("none", {})
     assert G.resolve(None, {}) is None and G.resolve("t", {"t": g}) is g
     assert [r for r, _ in G.suggest_regions(["T: x", "Speakers:", "A: b", "", "MAIN", "hi", "END OF TRANSCRIPT"])] == ["header", "speakers", "speakers", "speakers", "main", "main", "ignore"]
+    assert G.suggest_regions(["", "EARLY CAPS", "speaker", "END OF TRANSCRIPT x", "", "SPEAKERS"]) == [(None, False), ("header", False), ("speakers", True), ("ignore", False), ("speakers", False), ("main", True)]
+    assert G.suggest_regions([]) == []
     assert G.custom_key("Pitch Höhe", ("c_pitch_ho_he",)) == "c_pitch_ho_he_2" and G.custom_key("!") == "c_field"
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import round_half_up, to_number, trim
+from ..plans.staging import running
 from .selection import header_names
 
 TICKS = 5
@@ -87,13 +89,23 @@ def scatter(df: DataFrame, x: str, y: str, color: str | None = None) -> DataFram
 
 
 def box(df: DataFrame, x: str, y: str) -> DataFrame:
-    """x, n, q1, median, q3, and whiskers at the last values within 1.5 times the range between quartiles (linear interpolation)."""
+    """x, n, q1, median, q3, and whiskers at the last values within 1.5 times the range between quartiles (linear interpolation).
+
+    Values are ranked by ranges over the cluster, so that a group of any size spans many tasks; of each group the values at six ranks are taken.
+    """
     v = F.col(y).cast("double")
-    q = df.where(v.isNotNull()).groupBy(x).agg(F.count(v).alias("n"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
-    q = q.select(x, "n", *[F.col("q")[k].alias(c) for k, c in enumerate(("q1", "median", "q3"))])
+    values = df.select(F.col(x).alias("x"), v.alias("v"), F.lit(1).cast("long").alias("one")).where("v is not null")
+    ranked = running(values, ["x"], ["v"], "one").select("x", "v", "seq")
+    sizes = values.groupBy("x").agg(F.count(F.lit(1)).alias("n"))
+    both = ranked.join(sizes, ranked["x"].eqNullSafe(sizes["x"])).select(ranked["x"], "v", "seq", "n")
+    place = {c: (F.col("n") - 1) * p for c, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))}
+    at = {f"{c}_{side}": F.max(F.when(F.col("seq") == f(h).cast("long"), F.col("v"))) for c, h in place.items() for side, f in (("low", F.floor), ("high", F.ceil))}
+    q = both.groupBy("x", "n").agg(*[a.alias(c) for c, a in at.items()])
+    q = q.select("x", "n", *[(F.col(f"{c}_low") + (h - F.floor(h)) * (F.col(f"{c}_high") - F.col(f"{c}_low"))).alias(c) for c, h in place.items()])
     low, high = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
-    ends = df.join(q, x).groupBy(x).agg(F.min(F.when(v >= low, v)).alias("low"), F.max(F.when(v <= high, v)).alias("high"))
-    return q.join(ends, x)
+    fences = q.select(F.col("x").alias("fx"), low.alias("lower"), high.alias("upper"))
+    inside = values.join(fences, F.col("x").eqNullSafe(F.col("fx"))).groupBy("x").agg(F.min(F.when(F.col("v") >= F.col("lower"), F.col("v"))).alias("low"), F.max(F.when(F.col("v") <= F.col("upper"), F.col("v"))).alias("high"))
+    return q.join(inside.withColumnRenamed("x", "ex"), F.col("x").eqNullSafe(F.col("ex"))).drop("ex").withColumnRenamed("x", x)
 
 
 def histogram(df: DataFrame, x: str, step: float) -> DataFrame:
@@ -178,46 +190,83 @@ def heat_cells(points: DataFrame, zoom: int, cell: int = 16) -> DataFrame:
 
 # -- configuration ---------------------------------------------------------------------------------------------------------------
 
-PLOTS = ("barPlotCount", "barPlotPercent", "scatterPlot", "boxPlot", "histogramPlot", "map", "vega")
+#: fixed values: the builders of plots, and arguments that histograms no longer take
+PLOTS = ("barPlotCount", "barPlotPercent", "scatterPlot", "boxPlot", "histogramPlot", "plotMapHeatmap")
+DROPPED = ("maxbins", "minstep", "nice")
+WIDTHS = (1, 2, 3)
+
+
+def default_config(sources: list[str]) -> dict:
+    """A configuration without plots: a dataset for each source, named by its file name without extension; names that repeat are numbered."""
+    datasets: dict[str, dict] = {}
+    for source in sources:
+        file = source.rsplit("/", 1)[-1] or "dataset"
+        base = (file.rsplit(".", 1)[0] if "." in file else file) or "dataset"
+        name = next(n for n in (base if k == 1 else f"{base} {k}" for k in itertools.count(1)) if n not in datasets)
+        datasets[name] = {"source": source}
+    return {"plots": {"globalConfig": {"actions": False}, "datasets": datasets, "plotList": []}}
+
+
+def _is_width(x) -> bool:
+    try:
+        return float(x) in WIDTHS
+    except (TypeError, ValueError):
+        return False
 
 
 def check_config(config: dict) -> list[str]:
-    """What is wrong with a plots configuration; unknown fields are left alone."""
+    """What is wrong with a plots configuration; unknown fields and unknown builders are left alone, as a later release may know them.
+
+    `plots` holds `datasets`, an object of named datasets, and `plotList`, whose plots each name a dataset (`dataset.name`), have a builder with its
+    arguments (`makeSpec.plotFunction`, `makeSpec.args`) or a specification of their own (`customSpec`), and are one to three columns wide.
+    """
     plots = config.get("plots") if isinstance(config, dict) else None
     if not isinstance(plots, dict):
-        return ["plots is missing"]
-    out = []
-    names = [d.get("name") for d in plots.get("datasets", []) if isinstance(d, dict)]
-    if len(set(names)) != len(names):
-        out.append("dataset names repeat")
-    for k, p in enumerate(plots.get("plotList", [])):
-        if p.get("type") not in PLOTS:
-            out.append(f"plot {k}: unknown type {p.get('type')!r}")
-        if p.get("dataset") not in names:
-            out.append(f"plot {k}: unknown dataset {p.get('dataset')!r}")
+        return ["plots must be an object"]
+    datasets, listed = plots.get("datasets"), plots.get("plotList")
+    rules = [(plots.get("globalConfig", {}), dict, "globalConfig must be an object"), (datasets, dict, "datasets must be an object of named datasets"), (listed, list, "plotList must be a list")]
+    out = [text for value, kind, text in rules if not isinstance(value, kind)]
+    for k, plot in enumerate(listed if isinstance(listed, list) else [], 1):
+        if not isinstance(plot, dict):
+            out.append(f"plot {k} must be an object")
+            continue
+        name = plot["dataset"].get("name") if isinstance(plot.get("dataset"), dict) else None
+        spec = plot.get("makeSpec")
+        builder = spec.get("plotFunction") if isinstance(spec, dict) else None
+        width = next((plot[c] for c in ("plotCardSpan", "span") if plot.get(c) is not None), 1)
+        own = isinstance(plot.get("customSpec"), dict) and plot["customSpec"]
+        broken = {
+            "must name a dataset": not (isinstance(name, str) and name),
+            f"names a dataset that is missing: {name!r}": isinstance(name, str) and name and isinstance(datasets, dict) and name not in datasets,
+            "needs a builder or a specification": not own and not (isinstance(builder, str) and builder.strip()),
+            "makeSpec.args must be an object": bool(spec) and not (isinstance(spec, dict) and isinstance(spec.get("args"), dict)),
+            "config must be an object": not isinstance(plot.get("config", {}), dict),
+            "width must be 1, 2 or 3 columns": not _is_width(width),
+        }
+        out += [f"plot {k}: {text}" for text, so in broken.items() if so]
     return out
 
 
-def bind_datasets(config: dict, tables: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], list[str]]:
-    """Configured datasets found among the tables, and those that are missing."""
+def bind_datasets(config: dict, tables: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], list[tuple[str, str]]]:
+    """Configured datasets found among the tables (by source), and those that are missing: (name, source)."""
     found, missing = {}, []
-    for d in config.get("plots", {}).get("datasets", []):
-        source = d.get("source", d.get("name"))
+    for name, said in config["plots"].get("datasets", {}).items():
+        source = said if isinstance(said, str) else (said or {}).get("source") or (said or {}).get("path") or ""
         if source in tables:
-            found[d["name"]] = plot_rows(tables[source])
+            found[name] = plot_rows(tables[source])
         else:
-            missing.append(d["name"])
+            missing.append((name, source))
     return found, missing
 
 
-def histogram_arguments(kind: str, args: dict) -> tuple[dict, list[str]]:
-    """Arguments that a histogram of this kind takes, and warnings about those it drops."""
-    if kind not in ("quantitative", "temporal"):
-        raise ValueError("a histogram needs a quantitative or temporal variable")
-    if kind == "temporal" and not args.get("timeUnit"):
-        raise ValueError("a temporal histogram needs a timeUnit")
-    drop = ["timeUnit"] if kind == "quantitative" else ["maxbins"]
-    return {k: v for k, v in args.items() if k not in drop}, [f"{k} is ignored" for k in drop if k in args]
+def histogram_arguments(args: dict) -> tuple[dict, list[str]]:
+    """Arguments that a histogram takes, and a warning about each that it drops. It bins numbers by `step` or times by `xTimeUnit`."""
+    if args.get("xType") not in ("quantitative", "temporal"):
+        raise ValueError("a histogram needs a quantitative or temporal variable (xType)")
+    if args["xType"] == "temporal" and not args.get("xTimeUnit"):
+        raise ValueError("a temporal histogram needs an xTimeUnit")
+    drop = [k for k in DROPPED if args.get(k) is not None]
+    return {k: v for k, v in args.items() if k not in DROPPED}, [f"{k} is ignored" for k in drop]
 
 
 def color_scale(palette: dict[str, str]) -> dict[str, list[str]]:

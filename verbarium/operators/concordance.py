@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import PatternError, check_pattern, java_pattern, literal_pattern, words
 
-#: Characters of the private use area that mark matches while a row is taken apart; rows that hold them are cleared of them first.
-OPEN, CLOSE = "", ""
+#: Pairs of code points that are no characters. While a row is taken apart a pair that its text doesn't hold marks the matches, so no text is altered.
+MARKS = [(chr(c), chr(c + 1)) for c in range(0xFDD0, 0xFDF0, 2)]
 
 
 def query_pattern(query: str, match: str = "fixed", whole_word: bool = False, case_sensitive: bool = False) -> str:
@@ -44,38 +44,38 @@ def search(docs: DataFrame, query: str, match: str = "fixed", whole_word: bool =
     if query == "":
         pattern = "(?!)"
     window = window or 5
-    rows = docs.select("source", "line_no", "speaker", F.translate(F.coalesce("text", F.lit("")), OPEN + CLOSE, "").alias("text")).where(F.col("text").rlike(pattern))
-    rows = rows.withColumn("parts", F.split(F.regexp_replace("text", pattern, f"{OPEN}$0{CLOSE}"), OPEN))
-    found = rows.select("source", "line_no", "speaker", "parts", F.posexplode("parts").alias("k", "part")).where("k > 0")
-    found = found.withColumn("keyword", F.substring_index("part", CLOSE, 1)).where("keyword <> ''")
-    left, right = _context(window)
-    return found.withColumns({"left_words": left, "right_words": right}).select(
-        "source", "line_no", F.col("k").alias("match_no"), "speaker",
-        F.array_join(F.slice("left_words", F.greatest(F.size("left_words") - window, F.lit(0)) + 1, F.lit(window)), " ").alias("left"), "keyword",
-        F.array_join(F.slice("right_words", F.lit(1), F.lit(window)), " ").alias("right"),
-    )
+    rows = docs.select("source", "line_no", "speaker", F.coalesce("text", F.lit("")).alias("text")).where(F.col("text").rlike(pattern))
+    free = [F.when(~F.contains("text", F.lit(a)) & ~F.contains("text", F.lit(b)), F.lit(a + b)) for a, b in MARKS]
+    rows = rows.withColumn("marks", F.coalesce(*free, F.raise_error(F.lit("a text holds one of each pair of marks")).cast("string")))
+    rows = rows.withColumn("open", F.left("marks", F.lit(1))).withColumn("close", F.right("marks", F.lit(1)))
+    rows = rows.withColumn("parts", F.split(F.regexp_replace("text", F.lit(pattern), F.concat("open", F.lit("$0"), "close")), F.col("open")))
+    matches = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda k: _match(k, window))
+    found = rows.select("source", "line_no", "speaker", F.inline(F.filter(matches, lambda m: m["keyword"] != "")))
+    return found.select("source", "line_no", "match_no", "speaker", "left", "keyword", "right")
 
 
 #: Parts beside a match that are looked at first, and characters for each word of the window
 NEAR, CHARS = 15, 64
 
 
-def _context(window: int) -> tuple[Column, Column]:
-    """Words before and after a match (columns parts, k, part, keyword), as many as the window needs. The text near the match is taken first; only
-    where it holds too few words is the whole text put together, so a row with many matches isn't copied for each of them."""
-    k, last = F.col("k"), F.size("parts") - 1
-    plain = lambda x: F.translate(x, CLOSE, "")
-    rest = F.expr("substring(part, length(keyword) + 2)")
+def _match(k: Column, window: int) -> Column:
+    """match_no, left, keyword, right of the k-th match (columns parts, close), as many words as the window needs. It is made inside the row, so only
+    the words travel on. The text near the match is taken first; only where it holds too few words is the whole text put together."""
+    part, last = F.get("parts", k), F.size("parts") - 1
+    keyword = F.split_part(part, F.col("close"), F.lit(1))
+    plain = lambda x: F.replace(x, F.col("close"), F.lit(""))
+    rest = F.substring(part, F.length(keyword) + 2, F.length(part))
     low = F.greatest(k - NEAR, F.lit(0))
-    ahead = F.least(last - k, F.lit(NEAR))
     near_left = plain(F.array_join(F.slice("parts", low + 1, k - low), ""))
-    near_right = plain(F.concat(rest, F.array_join(F.slice("parts", k + 2, ahead), "")))
+    near_right = plain(F.concat(rest, F.array_join(F.slice("parts", k + 2, F.least(last - k, F.lit(NEAR))), "")))
     all_left = plain(F.array_join(F.slice("parts", F.lit(1), k), ""))
     all_right = plain(F.concat(rest, F.array_join(F.slice("parts", k + 2, F.size("parts")), "")))
     close_left, close_right = words(F.right(near_left, F.lit(CHARS * window))), words(F.left(near_right, F.lit(CHARS * window)))
     # one word more than needed: the outermost may be cut
     left = F.when(F.size(close_left) > window, close_left).otherwise(words(all_left))
-    return left, F.when(F.size(close_right) > window, close_right).otherwise(words(all_right))
+    right = F.when(F.size(close_right) > window, close_right).otherwise(words(all_right))
+    ends = F.slice(left, F.greatest(F.size(left) - window, F.lit(0)) + 1, F.lit(window)), F.slice(right, F.lit(1), F.lit(window))
+    return F.struct(k.alias("match_no"), F.array_join(ends[0], " ").alias("left"), keyword.alias("keyword"), F.array_join(ends[1], " ").alias("right"))
 
 
 def sort_rows(rows: DataFrame, by: str | None = None) -> DataFrame:

@@ -10,6 +10,8 @@ import json
 import re
 from dataclasses import dataclass
 from functools import reduce
+from itertools import accumulate
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -409,25 +411,24 @@ def fixed_pattern(columns: list[dict]) -> dict:
     return {"pattern": out + ".*$", "flags": "u", "fixedWidth": True, "columns": columns}
 
 
+#: fixed values: the lines that open regions, and the one that ends a transcript, in the built-in convention
+SPEAKERS_LINE, SECTION_LINE, END_LINE = r"(?i)speakers?\s*:?", r"[A-Z][A-Z ]{2,}", r"(?i)END OF TRANSCRIPT\b.*"
+
+
 def suggest_regions(lines: list[str]) -> list[tuple[str | None, bool]]:
-    """A first guess for each line: (region, is a marker), by the built-in convention; blank lines take the region above."""
-    region, out, last = "header", [], None
-    for line in lines:
-        t = line.strip()
-        if not t:
-            out.append((last, False))
-        elif re.match(r"(?i)^END OF TRANSCRIPT\b", t):
-            out.append(("ignore", False))
-        elif region == "header" and re.match(r"(?i)^speakers?\s*:?$", t):
-            region = last = "speakers"
-            out.append((region, True))
-        elif region != "header" and re.match(r"^[A-Z][A-Z ]{2,}$", t):
-            region = last = "main"
-            out.append((region, True))
-        else:
-            last = region
-            out.append((region, False))
-    return out
+    """A first guess for each line: (region, is a marker), by the built-in convention.
+
+    The first speakers line opens the speakers, each section line after it the main part; a line belongs to what was opened last, at first to the header.
+    Blank lines belong there too, but have no region before anything is written; a line that ends the transcript is ignored.
+    """
+    said = [line.strip() for line in lines]
+    like = lambda pattern: [bool(re.fullmatch(pattern, t, re.S)) for t in said]
+    ends, speakers, sections = like(END_LINE), like(SPEAKERS_LINE), like(SECTION_LINE)
+    first = next((k for k, found in enumerate(speakers) if found and not ends[k]), len(lines))
+    opened = [("speakers" if k == first else "main" if k > first and sections[k] and not ends[k] else None) for k in range(len(lines))]
+    region = list(accumulate(opened, lambda before, now: now or before, initial="header"))[1:]
+    written = list(accumulate((bool(t) and not end for t, end in zip(said, ends)), or_))
+    return [("ignore", False) if ends[k] else (region[k] if t or written[k] else None, opened[k] is not None) for k, t in enumerate(said)]
 
 
 def build(name: str, speaker_samples: list[dict], turn_samples: list[dict], *, speakers_start: str | None = None, main_start: str | None = None, sections: list[str] = (), ignore: list[str] = (),

@@ -32,11 +32,14 @@ def ngrams(docs: DataFrame, n: int, case_sensitive: bool = False) -> DataFrame:
     return t.select("line_no", F.posexplode(grams).alias("pos", "ngram"))
 
 
-def count_ngrams(docs: DataFrame, n: int, case_sensitive: bool = False) -> DataFrame:
-    """ngram, n_count, first_line, first_pos. The first place as one number keeps the aggregate in a hash table."""
-    place = F.col("line_no") * F.lit(1 << 24) + F.col("pos")
+def count_ngrams(docs: DataFrame, n: int, case_sensitive: bool = False, place_bits: int = 24) -> DataFrame:
+    """ngram, n_count, first_line, first_pos. The first place as one number keeps the aggregate in a hash table: `place_bits` of it are for the position in
+    the text, the others for the line number. A place that doesn't fit is an error, which says so; 31 bits hold every position there can be."""
+    line, pos, low = F.col("line_no"), F.col("pos").cast("long"), 1 << place_bits
+    fits = (line >= 0) & (line < 1 << (63 - place_bits)) & (pos < low)
+    place = F.when(fits, line * F.lit(low) + pos).otherwise(F.raise_error(F.lit(f"a place doesn't fit {place_bits} bits of position and {63 - place_bits} of line number; choose other place_bits")).cast("long"))
     counted = ngrams(docs, n, case_sensitive).groupBy("ngram").agg(F.count(F.lit(1)).alias("n_count"), F.min(place).alias("first"))
-    return counted.select("ngram", "n_count", F.shiftright("first", 24).alias("first_line"), (F.col("first") % (1 << 24)).alias("first_pos"))
+    return counted.select("ngram", "n_count", F.shiftright("first", place_bits).alias("first_line"), (F.col("first") % low).alias("first_pos"))
 
 
 def unigrams(docs: DataFrame, case_sensitive: bool = False) -> DataFrame:

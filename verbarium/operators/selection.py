@@ -73,7 +73,10 @@ def select_many(docs: DataFrame, tables: dict[str, tuple[DataFrame, str]] | None
 
 
 def topic_documents(docs: DataFrame, tables: dict[str, tuple[DataFrame, str]] | None = None) -> DataFrame:
-    """Documents for topics: one for each file, its lines joined; one for each row of a table, numbered from 1 before blank rows go."""
+    """Documents for topics: one for each file, its lines joined; one for each row of a table, numbered from 1 before blank rows go.
+
+    A row holds a whole source, as it is meant to be shown. Topic models need no more than `topic_rows`, whose rows stay as small as the lines.
+    """
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "text")))
     whole = docs if not tables else docs.where(~F.col("source").isin(*tables))
     out = whole.groupBy("source").agg(F.min("line_no").alias("line_no"), trim(F.array_join(F.transform(ordered, lambda x: x["text"]), " ")).alias("text"))
@@ -85,6 +88,17 @@ def topic_documents(docs: DataFrame, tables: dict[str, tuple[DataFrame, str]] |
     return out
 
 
+def topic_rows(docs: DataFrame, tables: dict[str, tuple[DataFrame, str]] | None = None) -> DataFrame:
+    """id, line_no, text: what topic_documents() joins, line by line; `id` is the same. Terms of an id count as those of one document, so a source of any
+    size is never gathered."""
+    whole = docs if not tables else docs.where(~F.col("source").isin(*tables))
+    out = whole.select(F.col("source").alias("id"), "line_no", "text")
+    for name, (table, order) in (tables or {}).items():
+        rows = table_documents(table, name, order)
+        out = out.unionByName(rows.select(F.concat(F.lit(f"{name}#row-"), F.col("line_no").cast("string")).alias("id"), "line_no", "text"))
+    return out.where(trim("text") != "")
+
+
 def sources(docs: DataFrame, tables: list[str] = ()) -> DataFrame:
     """Distinct sources of documents and tables in locale order."""
     names = docs.select("source").distinct()

@@ -15,6 +15,10 @@ RESIDUAL = "other"
 SEED_BOOST = 1000
 
 
+#: Terms that a distributed model takes at most: 1.6 MB of weights a topic.
+MOST_TERMS = 200_000
+
+
 def tokens(docs: DataFrame, stopwords: list[str] = ()) -> DataFrame:
     """id, pos, term."""
     found = topic_tokens("text")
@@ -45,20 +49,22 @@ def dropped(docs: DataFrame, encoded: DataFrame) -> DataFrame:
     return docs.join(encoded.select("id").distinct(), "id", "left_anti")
 
 
-def lda(encoded: DataFrame, vocab: DataFrame, k: int = 5, iterations: int = 20, seed: int = 1234) -> tuple[DataFrame, DataFrame]:
-    """Distributed variational LDA: (topic, term, term_id, weight) and (id, topic, weight). Each iteration reads every document once."""
+def lda(encoded: DataFrame, vocab: DataFrame, k: int = 5, iterations: int = 20, seed: int = 1234, most_terms: int = MOST_TERMS) -> tuple[DataFrame, DataFrame]:
+    """Distributed variational LDA: (topic, term, term_id, weight) and (id, topic, weight). Each iteration reads every document once. The model has a
+    weight for each topic and term on the driver, so it takes the `most_terms` most frequent terms (ties in vocabulary order)."""
     from pyspark.ml.feature import CountVectorizerModel
     from pyspark.ml.functions import vector_to_array
 
-    # the model holds a weight for each term and topic on the driver anyhow
-    words = [r.term for r in vocab.orderBy("term_id").select("term").collect()]
+    chosen = vocab.orderBy(F.desc("n"), "term_id").limit(most_terms).select("term", "term_id").collect()
+    words = [r.term for r in sorted(chosen, key=lambda r: r.term_id)]
+    numbered = encoded.sparkSession.createDataFrame([(k, r.term, r.term_id) for k, r in enumerate(sorted(chosen, key=lambda r: r.term_id))], "place int, term string, term_id int")
     terms = encoded.join(vocab.select("term_id", "term"), "term_id").groupBy("id").agg(F.collect_list("term").alias("terms"))
     counts = CountVectorizerModel.from_vocabulary(words, "terms", "features").transform(terms).select("id", "features")
     model = _fit_on_all(counts, k, iterations, seed)
     best = model.describeTopics(len(words))
-    pairs = best.select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("p")).select("topic", F.col("p.termIndices").alias("term_id"), F.col("p.termWeights").alias("weight"))
+    pairs = best.select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("p")).select("topic", F.col("p.termIndices").alias("place"), F.col("p.termWeights").alias("weight"))
     weights = model.transform(counts).select("id", F.posexplode(vector_to_array("topicDistribution")).alias("topic", "weight"))
-    return pairs.join(vocab.select("term_id", "term"), "term_id").select("topic", "term", "term_id", "weight"), weights
+    return pairs.join(F.broadcast(numbered), "place").select("topic", "term", "term_id", "weight"), weights
 
 
 def _fit_on_all(counts: DataFrame, k: int, iterations: int, seed: int):

@@ -56,7 +56,7 @@ def _ngram_sql(n: int) -> str:
 WITH t AS (SELECT doc_id, {TOKENS} AS t FROM documents),
 p AS (SELECT doc_id, t, unnest(generate_series(1, len(t) - {n - 1})) AS k FROM t WHERE len(t) >= {n}),
 g AS (SELECT doc_id, k - 1 AS pos, array_to_string(t[k:k + {n - 1}], ' ') AS ngram FROM p)
-SELECT ngram, count(*) AS n_count, CAST(min(doc_id * 16777216 + pos) // 16777216 AS BIGINT) AS first_line, CAST(min(doc_id * 16777216 + pos) % 16777216 AS BIGINT) AS first_pos
+SELECT ngram, count(*) AS n_count, CAST(min({{'line': doc_id, 'pos': pos}}).line AS BIGINT) AS first_line, CAST(min({{'line': doc_id, 'pos': pos}}).pos AS BIGINT) AS first_pos
 FROM g GROUP BY ngram"""
 
 

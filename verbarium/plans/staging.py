@@ -12,10 +12,12 @@ _fallback: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of a folder that driver and executors share: spark.checkpoint.dir, or (only where unset, as in tests) a temporary one."""
+    """URI of a folder that driver and executors share: spark.checkpoint.dir, or where it is unset a temporary one, if all run on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _fallback:
         _fallback.append("file://" + tempfile.mkdtemp(prefix="verbarium-"))
     return _fallback[0]

@@ -312,9 +312,14 @@ GRAMMAR = {
 }
 
 
-@query("grammar_turns", """
-SELECT CAST(conv_id AS VARCHAR) AS doc, CAST(turn AS VARCHAR) AS turn_number, '#' || role AS speaker_id, trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g')) || ' tail' AS text, '== A' AS section
-FROM conversations WHERE NOT regexp_matches(coalesce(text, ''), '[()]')""")
+#: Turns as the grammar reads them: what the strip rule leaves of a text; a row without any text lacks the blank that its pattern wants.
+_STRIPPED = r"""
+SELECT conv_id, turn, role, trim(regexp_replace(regexp_replace(trim(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', ' ', 'g')), '[(][^()]*[)]', '', 'g'), ' +', ' ', 'g')) AS l FROM conversations"""
+
+
+@query("grammar_turns", f"""
+SELECT CAST(conv_id AS VARCHAR) AS doc, CAST(turn AS VARCHAR) AS turn_number, CASE WHEN l = '' THEN '' ELSE '#' || role END AS speaker_id, CASE WHEN l = '' THEN role || ':' ELSE l END || ' tail' AS text, '== A' AS section
+FROM ({_STRIPPED})""")
 def grammar_turns(spark, d):
     """Each turn as a numbered row that is followed by a comment and a wrapped line, below a section line."""
     c = _t(spark, d, "conversations")
@@ -324,11 +329,10 @@ def grammar_turns(spark, d):
     return grammar.rows(grammar.parse(grammar.read_lines(docs), GRAMMAR)).select("doc", "turn_number", "speaker_id", "text", "section")
 
 
-@query("grammar_roles", """
-SELECT role, n FROM (SELECT 'main' AS role, count(*) AS n FROM conversations WHERE NOT regexp_matches(coalesce(text, ''), '[()]')
-UNION ALL SELECT 'ignore', count(*) FROM conversations WHERE NOT regexp_matches(coalesce(text, ''), '[()]')
-UNION ALL SELECT 'main:continuation', count(*) FROM conversations WHERE NOT regexp_matches(coalesce(text, ''), '[()]')
-UNION ALL SELECT 'main:marker', count(DISTINCT conv_id) FROM conversations WHERE NOT regexp_matches(coalesce(text, ''), '[()]'))""")
+@query("grammar_roles", f"""
+WITH s AS ({_STRIPPED})
+SELECT role, n FROM (SELECT CASE WHEN l = '' THEN 'main:malformed' ELSE 'main' END AS role, count(*) AS n FROM s GROUP BY ALL
+UNION ALL SELECT 'ignore', count(*) FROM s UNION ALL SELECT 'main:continuation', count(*) FROM s UNION ALL SELECT 'main:marker', count(DISTINCT conv_id) FROM s)""")
 def grammar_roles(spark, d):
     c = _t(spark, d, "conversations")
     row = F.concat(F.col("turn").cast("string"), F.lit("\t"), "role", F.lit(": "), F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), F.lit(" (x)\n% note\n  tail"))
@@ -383,9 +387,10 @@ def people_list(spark, d):
 
 
 @query("candidate_names", r"""
-WITH t AS (SELECT doc_id AS doc, list_filter(regexp_extract_all(text, '\p{Lu}[\p{L}\p{M}''’-]*(?:[ \t]+\p{Lu}[\p{L}\p{M}''’-]*)*'), lambda x: length(regexp_replace(x, '\P{L}', '', 'g')) >= 4) AS l FROM documents
-  WHERE NOT regexp_matches(text, '[''’]s|\b(Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Dame|Rev|Fr)\b'))
-SELECT DISTINCT doc, unnest(l) AS name FROM t""")
+WITH p AS (SELECT doc_id AS doc, regexp_replace(text, '(\p{L})[''’]s\b', '\1', 'g') AS t FROM documents),
+q AS (SELECT doc, regexp_replace(t, '(?:\b(?:Mr|Mrs|Ms|Miss|Dr|Prof|Sir|Dame|Rev|Fr)\.?[ \t\n\x0B\f\r]+)+(\p{Lu})', '\1', 'g') AS t FROM p),
+r AS (SELECT doc, list_filter(regexp_extract_all(t, '\p{Lu}[\p{L}\p{M}''’-]*(?:[ \t]+\p{Lu}[\p{L}\p{M}''’-]*)*'), lambda x: length(regexp_replace(x, '\P{L}', '', 'g')) >= 4) AS l FROM q)
+SELECT DISTINCT doc, unnest(l) AS name FROM r""")
 def candidate_names(spark, d):
     docs = _t(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text")
     return names.candidate_names(docs).select("doc", "name")

@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -16,6 +17,7 @@ from ..functions.text import trim
 from ..operators import graph
 from ..operators.selection import header_names
 from ..operators.sentiment import LexiconError, lexicon
+from ..plans.staging import running, stage
 
 SKIPPED_FOLDERS = r"(^|/)(\.[^/]+|node_modules|_config|_backups)/"
 READABLE = ("txt", "md", "markdown", "docx", "pdf")
@@ -23,10 +25,10 @@ READABLE = ("txt", "md", "markdown", "docx", "pdf")
 
 def decode(content: Column) -> Column:
     """Text of a file: UTF-16 by its byte order mark, else UTF-8; the mark is dropped."""
-    rest = F.substring(content, 3, 1 << 30)
+    rest = F.substring(content, F.lit(3), F.length(content))
     return (
         F.when(F.hex(F.substring(content, 1, 2)) == "FFFE", F.decode(rest, "UTF-16LE")).when(F.hex(F.substring(content, 1, 2)) == "FEFF", F.decode(rest, "UTF-16BE"))
-        .when(F.hex(F.substring(content, 1, 3)) == "EFBBBF", F.decode(F.substring(content, 4, 1 << 30), "UTF-8")).otherwise(F.decode(content, "UTF-8"))
+        .when(F.hex(F.substring(content, 1, 3)) == "EFBBBF", F.decode(F.substring(content, F.lit(4), F.length(content)), "UTF-8")).otherwise(F.decode(content, "UTF-8"))
     )
 
 
@@ -82,28 +84,51 @@ def chat_lines(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.concat("source", F.lit("#"), (F.col("k") + 1).cast("string")).alias("id"), "source", (F.col("k") + 1).cast("long").alias("line_no"), F.regexp_extract("line", said, 1).alias("speaker"), F.regexp_extract("line", said, 2).alias("text"))
 
 
-def csv_table(spark: SparkSession, path: str, order: str = "row_no") -> DataFrame:
-    """A CSV as strings, with distinct column names and its row order."""
-    t = spark.read.option("header", False).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path)
-    numbered = t.withColumn(order, F.monotonically_increasing_id())
-    head = numbered.orderBy(order).limit(1).first()
-    if head is None:
-        return numbered
-    names = header_names([head[c] for c in t.columns])
-    body = numbered.where(F.col(order) > head[order])
-    return body.select(*[F.col(c).alias(n) for c, n in zip(t.columns, names)], order)
-
-
-def csv_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """Corpus rows of a CSV: its text column, or all its cells; the speaker from a speaker or speakerId column, in any case."""
-    t = csv_table(spark, path)
-    low = {c.strip().lower(): c for c in t.columns}
-    cells = [c for c in t.columns if c != "row_no"]
-    text = F.coalesce(F.col(f"`{low['text']}`"), F.lit("")) if "text" in low else F.concat_ws(" ", *[F.col(f"`{c}`") for c in cells])
-    who = low.get("speakerid") or low.get("speaker")
-    source = path.rstrip("/").rsplit("/", 1)[-1]
-    n = F.col("row_no")
-    return t.select(F.concat(F.lit(f"{source}#"), n.cast("string")).alias("id"), F.lit(source).alias("source"), n.alias("line_no"), F.coalesce(F.col(f"`{who}`"), F.lit("")).alias("speaker") if who else F.lit("").alias("speaker"), text.alias("text"))
+def csv_parts(spark: SparkSession, path: str, order: str = "row_no", source: str = "file_name", multi_line: bool = True) -> list[DataFrame]:
+    """A CSV file, or a folder of them, as strings: a table for each different header, with distinct column names, the row's number in its file (from 1)
+    and the file's name.
+
+    Cells may hold line breaks; then a file is read by one task. Where none does, `multi_line=False` lets large files be split.
+    """
+    # Spark takes the number of columns from one file, so the widest first line is looked up first
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("k"))
+    first = lines.groupBy("file").agg(F.min_by("value", "k").alias("v"))
+    widest = first.agg(F.max(F.length(F.regexp_replace("v", "[^,]+", "")))).first()[0]
+    if widest is None:
+        return []
+    t = spark.read.schema(", ".join(f"_c{k} string" for k in range(widest + 1))).option("header", False).option("multiLine", multi_line).option("quote", '"').option("escape", '"').csv(path)
+    raw = t.select(F.array(*t.columns).alias("cells"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"), F.lit(1).cast("long").alias("one"))
+    rows = stage(running(raw, ["file"], ["block", "k"], "one").select("file", "cells", F.col("seq").alias("n")), "csv")
+    heads = rows.where("n = 0").select("file", F.col("cells").alias("head"))
+    body = rows.where("n > 0").join(heads, "file")
+    kinds = sorted((r.head for r in heads.select("head").distinct().collect()), key=lambda x: [c or "" for c in x])
+    parts = []
+    for head in kinds:
+        width = max((k + 1 for k, c in enumerate(head) if c is not None), default=0) if len(kinds) > 1 else len(head)
+        mine = body.where(F.col("head").eqNullSafe(F.array(*[F.lit(c).cast("string") for c in head])))
+        named = [F.col("cells")[k].alias(c) for k, c in enumerate(header_names(head[:width]))]
+        parts.append(mine.select(*named, F.col("n").alias(order), F.regexp_extract("file", r"([^/]*)\z", 1).alias(source)))
+    return parts
+
+
+def csv_table(spark: SparkSession, path: str, order: str = "row_no", multi_line: bool = True) -> DataFrame:
+    """The rows of csv_parts() as one table; a column that a file lacks is null there."""
+    parts = [p.drop("file_name") for p in csv_parts(spark, path, order, "file_name", multi_line)]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts) if parts else spark.createDataFrame([], f"{order} long")
+
+
+def csv_corpus(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Corpus rows of a CSV or a folder of them: the text column, or all cells; the speaker from a speaker or speakerId column, in any case. The
+    source is the file's name, the line number the row's number in it."""
+    out = spark.createDataFrame([], "id string, source string, line_no long, speaker string, text string")
+    for t in csv_parts(spark, path, multi_line=multi_line):
+        cells = [c for c in t.columns if c not in ("row_no", "file_name")]
+        low = {c.strip().lower(): c for c in cells}
+        text = F.coalesce(F.col(f"`{low['text']}`"), F.lit("")) if "text" in low else F.concat_ws(" ", *[F.col(f"`{c}`") for c in cells])
+        who = low.get("speakerid") or low.get("speaker")
+        n = F.col("row_no")
+        out = out.unionByName(t.select(F.concat("file_name", F.lit("#"), n.cast("string")).alias("id"), F.col("file_name").alias("source"), n.alias("line_no"), (F.coalesce(F.col(f"`{who}`"), F.lit("")) if who else F.lit("")).alias("speaker"), text.alias("text")))
+    return out
 
 
 def lexicon_csv(spark: SparkSession, path: str) -> DataFrame:
