@@ -21,10 +21,13 @@ def csv_line(columns: list[str]) -> Column:
 
 def write_csv(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """Rows as CSV lines in that exact form, the header in every part, so that each is a table of its own."""
-    head = df.sparkSession.createDataFrame([(",".join(_cell(c) for c in df.columns),)], "value string")
-    lines = df.select(csv_line(df.columns).alias("value"))
-    out = lines if not df.columns else head.unionByName(lines)
-    out.write.mode("overwrite" if overwrite else "errorifexists").text(path)
+    header = ",".join(_cell(c) for c in df.columns)
+    first = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    line = csv_line(df.columns)
+    lines = df.select(F.when(first, F.concat(F.lit(header + "\n"), line)).otherwise(line).alias("value"))
+    if df.isEmpty():
+        lines = df.sparkSession.createDataFrame([(header,)], "value string")
+    lines.write.mode("overwrite" if overwrite else "errorifexists").text(path)
 
 
 def _cell(x: str) -> str:
