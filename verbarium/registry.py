@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import corpus_queries, file_queries, table_queries
+from .plans import corpus_queries, document_queries, file_queries, table_queries
 
-QUERIES: dict = {**corpus_queries.QUERIES, **table_queries.QUERIES, **file_queries.QUERIES}
-SQL: dict[str, str] = {**corpus_queries.SQL, **table_queries.SQL, **file_queries.SQL}
+QUERIES: dict = {**corpus_queries.QUERIES, **table_queries.QUERIES, **file_queries.QUERIES, **document_queries.QUERIES}
+SQL: dict[str, str] = {**corpus_queries.SQL, **table_queries.SQL, **file_queries.SQL, **document_queries.SQL}
