@@ -289,6 +289,26 @@ DOCX = office(**{"word/document.xml": f'<w:document {W}><w:body><w:p><w:pPr><w:p
                  '<w:tbl><w:tr><w:tc><w:p><w:r><w:t>x</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>y</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'})
 
 
+def test_folder_crate(spark):
+    rows = ["p before", "h1 Boats", "p All kinds.", "h2 Sails", "p Red [image: a.png]", "tr mast\tspar", "h3 Ropes", "p Hemp", "h3 Knots", "tr reef\tbowline", "tr bend", "h2 Oars", "p [sound: gone.wav]"]
+    blocks = [("sea/x/one.docx", k, *r.split(" ", 1)) for k, r in enumerate(rows)] + [("sea/two.docx", 0, "h2", "Only"), ("land/three.docx", 0, "p", "no heading"), ("land/notes.docx", 0, "h2", "left out")]
+    files = spark.createDataFrame([("sea/x/media/a.png",)], "path string")
+    entity, prop = documents.folder_crate(spark.createDataFrame(blocks, "path string, order int, tag string, text string"), files)
+    e = {r.id: r.types[0] for r in entity.collect()}
+    parts = {}
+    for r in prop.where("key = 'hasPart'").orderBy("id", "ord").collect():
+        parts.setdefault(r.id, []).append(r.ref)
+    one = "#sea-x-one-docx"
+    assert parts["./"] == ["#derivedContent", "#sourceDocuments"] and parts["#derivedContent"] == ["#land", "#sea"] and parts["#sea"] == ["#sea-two-docx", one]
+    assert parts["#sourceDocuments-sea"] == ["sea/two.docx", "sea/x/one.docx"] and parts["#land"] == ["#land-three-docx"]
+    chapter = lambda k: f"{one}-chapter-{k}"
+    assert parts[one] == [chapter(1), chapter(2), chapter(4)] and parts[chapter(1)] == [f"{chapter(1)}-row-1", "sea/x/media/a.png", chapter(3)] and parts[chapter(3)] == [f"{chapter(3)}-row-1", f"{chapter(3)}-row-2"]
+    said = {(r.id, r.key): r.value for r in prop.where("value is not null").collect()}
+    assert said[one, "name"] == "Boats" and said["#sea-two-docx", "name"] == "two" and said[chapter(3), "name"] == "Knots" and said[f"{chapter(3)}-row-2", "text"] == "bend" and said[chapter(4), "position"] == "4"
+    assert said[one, "text"].startswith("All kinds.\n\n---\n\nSails\n\nRed [image: a.png]\n\n---\n\nRopes\n\nHemp") and said["#land-three-docx", "text"] == ""
+    assert e[chapter(2)] == "bibo:Chapter" and e["sea/x/media/a.png"] == "File" and e["#sourceDocuments"] == "custom:SourceDocumentsCollection" and not [i for i in e if "notes" in i]
+
+
 def test_office_files(spark):
     files = spark.createDataFrame([("a.docx", bytearray(DOCX)), ("bad.docx", bytearray(b"no"))], "path string, content binary")
     blocks = readers.docx(files)

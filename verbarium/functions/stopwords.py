@@ -1,4 +1,4 @@
-"""Stop-word list (fixed value)."""
+"""Stop words by language: an English list that is a fixed value, Spark's own lists for others, and lists that are given."""
 
 #: fixed value: the English stop words, in their usual order
 ENGLISH = """
@@ -9,3 +9,19 @@ why how what which who whom
 """.split()
 
 NONE: list[str] = []
+
+#: languages on offer, and the names under which Spark has their lists
+LANGUAGES = {"none": None, "en": "english", "de": "german", "fr": "french", "es": "spanish", "it": "italian", "nl": "dutch", "pt": "portuguese", "ru": "russian", "ar": None}
+
+
+def words(language: str = "en", lists: dict[str, list[str]] | None = None) -> list[str]:
+    """The stop words of a language, lower-cased; `none` has none. `lists` come first: other languages (Spark has no Arabic list), or other words."""
+    if lists and language in lists:
+        return list(dict.fromkeys(w.lower() for w in lists[language]))
+    if language in ("none", "en"):
+        return ENGLISH if language == "en" else NONE
+    if not LANGUAGES.get(language):
+        raise ValueError(f"no stop words for {language!r}: give a list")
+    from pyspark.ml.feature import StopWordsRemover
+
+    return list(dict.fromkeys(w.lower() for w in StopWordsRemover.loadDefaultStopWords(LANGUAGES[language])))

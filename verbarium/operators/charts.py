@@ -15,6 +15,7 @@ from .selection import header_names
 
 TICKS = 5
 LABELS = 12
+PREVIEW = 200
 
 
 # -- line and bar chart of one column --------------------------------------------------------------------------------------------
@@ -55,6 +56,11 @@ def default_y(df: DataFrame, order: str, preview: int = 40) -> str | None:
     return next((c for k, c in enumerate(names) if row[k]), None)
 
 
+def preview(df: DataFrame, order: str, most: int = PREVIEW) -> DataFrame:
+    """The first rows in their order, as text, nulls empty: what is shown beside a chart."""
+    return df.orderBy(order).limit(most).select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns])
+
+
 # -- plots -----------------------------------------------------------------------------------------------------------------------
 
 

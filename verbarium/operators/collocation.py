@@ -11,8 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.staging import running
-from .ngrams import token_table, tokenize, unigrams
+from ..plans.staging import running, stage
+from .ngrams import token_table, tokenize
 
 #: fixed value: the columns of the result, in order
 COLUMNS = "node collocate O E OE MI MI2 MI3 G2 tscore DeltaP12 DeltaP21 FisherP f_node f_collocate N".split()
@@ -33,15 +33,22 @@ def stream(docs: DataFrame, ignore_case: bool = True) -> DataFrame:
     return tokens.join(offsets, ["source", "line_no"]).select((F.col("offset") + F.col("pos")).alias("position"), "token")
 
 
+def token_rows(docs: DataFrame, ignore_case: bool = True) -> DataFrame:
+    """source, line_no, t: the tokens of each text, found once and staged, as several passes read them."""
+    return stage(docs.select("source", "line_no", tokenize("text", not ignore_case).alias("t")), "tokens")
+
+
 def cooccurrences(docs: DataFrame, nodes: list[str], left: int, right: int, ignore_case: bool = True) -> DataFrame:
-    """node, collocate, O: each hit counts every token of its span but itself; overlapping spans count twice.
+    """node, collocate, O: each hit counts every token of its span but itself; overlapping spans count twice."""
+    return _cooccurrences(token_rows(docs, ignore_case), nodes, left, right)
+
 
-    Inside a document a span is a slice of its tokens, counted in the task that reads it. Only what crosses a document's ends is joined: offsets of
-    hits near an end with tokens near an end, by position in the stream.
+def _cooccurrences(rows: DataFrame, nodes: list[str], left: int, right: int) -> DataFrame:
+    """cooccurrences() of token_rows(). Inside a document a span is a slice of its tokens, counted in the task that reads it. Only what crosses a document's ends is
+    joined: offsets of hits near an end with tokens near an end, by position in the stream.
     """
     wide = max(left, right)
     found = F.array(*map(F.lit, nodes))
-    rows = docs.select("source", "line_no", tokenize("text", not ignore_case).alias("t"))
     hits = F.expr("filter(transform(t, (x, i) -> struct(x as node, i as at)), h -> array_contains(nodes, h.node))")
     # the tokens of a span, without the hit itself
     span = F.expr(f"transform(hits, h -> struct(h.node as node, concat(slice(t, greatest(h.at - {left}, 0) + 1, least(h.at, {left})), slice(t, h.at + 2, {right})) as c))")
@@ -61,9 +68,10 @@ def cooccurrences(docs: DataFrame, nodes: list[str], left: int, right: int, igno
 def collocations(docs: DataFrame, nodes: str | list[str], span_left: int = 5, span_right: int = 5, min_freq: int = 1, ignore_case: bool = True) -> DataFrame:
     """COLUMNS of every pair with O >= min_freq; node words that don't occur give none."""
     wanted = parse_nodes(nodes)
-    freq = unigrams(docs, not ignore_case)
+    tokens = token_rows(docs, ignore_case)
+    freq = stage(tokens.select(F.explode("t").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("f")), "frequencies")
     total = freq.agg(F.sum("f").alias("N"))
-    pairs = cooccurrences(docs, wanted, span_left, span_right, ignore_case).where(F.col("O") >= min_freq)
+    pairs = _cooccurrences(tokens, wanted, span_left, span_right).where(F.col("O") >= min_freq)
     f1 = freq.where(F.col("token").isin(wanted)).select(F.col("token").alias("node"), F.col("f").alias("f_node"))
     f2 = freq.select(F.col("token").alias("collocate"), F.col("f").alias("f_collocate"))
     rows = pairs.join(f1, "node").join(f2, "collocate").withColumn("N", total.scalar())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +70,80 @@ def assemble(blocks: DataFrame, collection: str) -> tuple[DataFrame, DataFrame]:
     return entity, prop.unionByName(ref(numbered, F.lit(root), "pcdm:hasMember", F.col("doc"), F.col("seq")))
 
 
+#: Types of the entities of a folder crate: fixed values
+DERIVED, SOURCES, GROUP, PART, CHAPTER, ROW = "custom:DerivedContentCollection", "custom:SourceDocumentsCollection", "custom:SourceDocumentGroup", "bibo:DocumentPart", "bibo:Chapter", "custom:TableRow"
+
+
+def outline(blocks: DataFrame) -> DataFrame:
+    """path, chapter_no, level, heading, text, n_rows, position, parent_no: the chapters under the first three heading levels. The first-level ones have no
+    position: the first of them introduces the document. A third-level chapter with a table belongs to the last second-level one (parent_no)."""
+    w = Window.partitionBy("path").orderBy("order")
+    head = F.col("tag").isin("h1", "h2", "h3")
+    b = blocks.where("tag <> 'error'").withColumn("chapter_no", F.sum(head.cast("int")).over(w)).where("chapter_no > 0")
+    said = F.array_sort(F.collect_list(F.when(~F.col("tag").isin("h1", "h2", "h3", "tr"), F.struct("order", trim("text").alias("t")))))
+    c = b.groupBy("path", "chapter_no").agg(
+        F.max(F.when(head, F.substring("tag", 2, 1).cast("int"))).alias("level"), F.max(F.when(head, trim("text"))).alias("heading"),
+        F.array_join(F.filter(F.transform(said, lambda x: x["t"]), lambda x: x != ""), "\n\n").alias("text"), F.count_if(F.col("tag") == "tr").alias("n_rows"),
+    )
+    by = Window.partitionBy("path").orderBy("chapter_no")
+    c = c.withColumn("position", F.when(F.col("level") > 1, F.sum((F.col("level") > 1).cast("int")).over(by)))
+    above = F.last(F.when(F.col("level") == 2, F.col("chapter_no")), True).over(by)
+    return c.withColumn("parent_no", F.when((F.col("level") == 3) & (F.col("n_rows") > 0), above))
+
+
+def folder_crate(blocks: DataFrame, files: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """entity and prop of folders of documents (path: topic folder/.../name.docx): for each topic a collection of its documents and a group of its source files;
+    for each document its chapters, for each chapter its table rows, the chapters below it and the media that it names and that lie in `media`
+    beside the document (files: path)."""
+    named = blocks.where(~F.lower("path").rlike(r"notes[^/]*\.docx$"))
+    part_id = F.concat(F.lit("#"), slug(F.regexp_replace("path", "/", "-")))
+    folder, none = F.substring_index("path", "/", 1), F.lit(None).cast("string")
+    of = lambda no: F.concat(part_id, F.lit("-chapter-"), no.cast("string"))
+    c = outline(named).withColumn("part", part_id)
+    numbers = c.select("path", F.col("chapter_no").alias("parent_no"), F.col("position").alias("parent_position"))
+    c = c.join(numbers, ["path", "parent_no"], "left").withColumn("id", F.when(F.col("position").isNotNull(), of(F.col("position"))).otherwise(F.concat("part", F.lit("-intro"))))
+    docs = named.select("path").distinct().withColumns({"part": part_id, "folder": folder})
+    intro = c.where("level = 1").groupBy("path").agg(F.min_by(F.struct("heading", "text"), "chapter_no").alias("i"))
+    chapters_ = c.where("position is not null")
+
+    w = Window.partitionBy("path").orderBy("order")
+    placed = named.withColumn("chapter_no", F.sum(F.col("tag").isin("h1", "h2", "h3").cast("int")).over(w))
+    rows = placed.where("tag = 'tr'").withColumn("k", F.row_number().over(Window.partitionBy("path", "chapter_no").orderBy("order"))).join(chapters_.select("path", "chapter_no", "id"), ["path", "chapter_no"])
+    rows = rows.select(F.concat("id", F.lit("-row-"), F.col("k").cast("string")).alias("row"), "id", "k", trim("text").alias("text"))
+    shown = media(placed).join(placed.select("path", "order", "chapter_no"), ["path", "order"]).join(c.select("path", "chapter_no", "id", "position", "part", "n_rows"), ["path", "chapter_no"])
+    shown = shown.withColumn("file", F.concat(F.regexp_replace("path", "[^/]*$", ""), F.lit("media/"), "target"))
+    if files is not None:
+        shown = shown.join(files.select(F.col("path").alias("file")), "file", "left_semi")
+
+    value = lambda df, i, key, v: df.select(F.col(i).alias("id"), F.lit(key).alias("key"), F.lit(0).alias("ord"), v.cast("string").alias("value"), none.alias("ref"))
+    link = lambda df, i, ref, o: df.select(i.alias("id"), F.lit("hasPart").alias("key"), o.cast("int").alias("ord"), none.alias("value"), ref.alias("ref"))
+    nth = lambda by, o: F.row_number().over(Window.partitionBy(by).orderBy(o)) - 1
+    topics = docs.select("folder").distinct().withColumns({"id": F.concat(F.lit("#"), slug("folder")), "group": F.concat(F.lit("#sourceDocuments-"), slug("folder"))})
+    topics = running(topics.withColumn("one", F.lit(1)), [], ["folder"], "one")
+    mine = docs.join(topics.select("folder", "id", "group"), "folder").withColumn("k", nth("folder", "path"))
+    body = chapters_.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("position", F.concat_ws("\n\n", "heading", F.nullif("text", F.lit(""))).alias("t")))).alias("all"))
+    whole = docs.join(intro, "path", "left").join(body, "path", "left").withColumn("parts", F.concat(F.array(F.coalesce("i.text", F.lit(""))), F.coalesce(F.transform("all", lambda x: x["t"]), F.array().cast("array<string>"))))
+    fallback = F.regexp_replace(F.regexp_extract("path", r"([^/]*)\z", 1), r"(?i)\.docx\z", "")
+    top = chapters_.where("parent_no is null")
+    below = chapters_.where("parent_no is not null").withColumn("above", of(F.col("parent_position")))
+    two = docs.sparkSession.createDataFrame([("#derivedContent", "Derived Content", 0), ("#sourceDocuments", "Source Documents", 1)], "id string, name string, k int")
+
+    parts = [
+        value(chapters_, "id", "name", F.col("heading")), value(chapters_, "id", "text", F.col("text")), value(chapters_, "id", "position", F.col("position")),
+        value(rows, "row", "text", F.col("text")), value(rows, "row", "position", F.col("k")), link(rows, F.col("id"), F.col("row"), F.col("k") - 1),
+        link(top, F.col("part"), F.col("id"), F.col("position")), link(below, F.col("above"), F.col("id"), 1_000_000 + F.col("position")),
+        link(shown, F.when(F.col("position").isNotNull(), F.col("id")).otherwise(F.col("part")), F.col("file"), 500_000 + F.col("order")),
+        value(whole, "part", "name", F.coalesce("i.heading", fallback)), value(whole, "part", "text", F.array_join(F.filter("parts", lambda x: x != ""), "\n\n---\n\n")),
+        link(mine, F.col("id"), F.col("part"), F.col("k")), link(mine, F.col("group"), F.col("path"), F.col("k")), value(topics, "id", "name", F.col("folder")), value(topics, "group", "name", F.col("folder")),
+        link(topics, F.lit("#derivedContent"), F.col("id"), F.col("seq")), link(topics, F.lit("#sourceDocuments"), F.col("group"), F.col("seq")),
+        value(two, "id", "name", F.col("name")), link(two, F.lit("./"), F.col("id"), F.col("k")),
+    ]
+    kind = lambda df, i, t: df.select(F.col(i).alias("id"), F.array(F.lit(t)).alias("types"))
+    entities = [kind(chapters_, "id", CHAPTER), kind(rows, "row", ROW), kind(docs, "part", PART), kind(docs, "path", "File"), kind(shown.select("file").distinct(), "file", "File"), kind(topics, "id", "RepositoryCollection"),
+                kind(topics, "group", GROUP), kind(two.where("k = 0"), "id", DERIVED), kind(two.where("k = 1"), "id", SOURCES)]
+    return reduce(DataFrame.unionByName, entities), reduce(DataFrame.unionByName, parts)
+
+
 def build_defaults(options: dict) -> dict:
     """Settings of a build with their defaults."""
     return {"name": "Collection", "description": "", "license": "", "creators": [], "overwrite": False, "outputs_in_crate": False, **{k: v for k, v in options.items() if v not in (None, "")}}

@@ -204,6 +204,13 @@ def chart_points(spark, d):
     return charts.chart_points(t, "c_custkey", "c_name", "y")
 
 
+@query("chart_preview", "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_name END AS c_name FROM customer ORDER BY customer.c_custkey LIMIT 200")
+def chart_preview(spark, d):
+    """The rows that are shown beside a chart, the first 200."""
+    t = _t(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 3 != 0, F.col("c_name")).alias("c_name"))
+    return charts.preview(t, "c_custkey")
+
+
 @query("fixed_decimals", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN '' ELSE format('{:.1f}', floor(c_acctbal * 10 + 0.5) / 10) END AS b FROM customer")
 def fixed_decimals(spark, d):
     t = _t(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal")).alias("b"))
