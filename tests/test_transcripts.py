@@ -106,6 +106,13 @@ def make(**options):
                    ignore=[r"^%.*"], strip=[r"\(\d+\)"], **options)
 
 
+def test_trial(spark):
+    found, missed = G.trial(G.read_lines(spark.createDataFrame([("d", DOC)], "doc string, text string")), make())
+    assert {r.role: r.n for r in found.collect()}["main"] >= 3 and {r.line.strip() for r in missed.collect()} >= {"bad one"}
+    again = G.saved(make(), "d.txt", "2026-01-01T00:00:00Z")
+    assert again["markedUpFrom"] == "d.txt" and not G.validate(again)
+
+
 def test_every_line_is_accounted_for_once(spark):
     lines = G.read_lines(spark.createDataFrame([("d", DOC)], "doc string, text string"))
     p = G.parse(lines, make(join_repeats=True)).cache()

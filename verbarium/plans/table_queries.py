@@ -312,6 +312,14 @@ GRAMMAR = {
 }
 
 
+def _numbered(spark, d):
+    """Each turn as a numbered row that is followed by a comment and a wrapped line, below a section line."""
+    c = _t(spark, d, "conversations")
+    row = F.concat(F.col("turn").cast("string"), F.lit("\t"), "role", F.lit(": "), F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), F.lit(" (x)\n% note\n  tail"))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", row.alias("l")))), lambda x: x["l"])
+    return c.groupBy(F.col("conv_id").cast("string").alias("doc")).agg(F.concat(F.lit("== A\n"), F.array_join(ordered, "\n")).alias("text"))
+
+
 #: Turns as the grammar reads them: what the strip rule leaves of a text; a row without any text lacks the blank that its pattern wants.
 _STRIPPED = r"""
 SELECT conv_id, turn, role, trim(regexp_replace(regexp_replace(trim(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', ' ', 'g')), '[(][^()]*[)]', '', 'g'), ' +', ' ', 'g')) AS l FROM conversations"""
@@ -321,12 +329,16 @@ SELECT conv_id, turn, role, trim(regexp_replace(regexp_replace(trim(regexp_repla
 SELECT CAST(conv_id AS VARCHAR) AS doc, CAST(turn AS VARCHAR) AS turn_number, CASE WHEN l = '' THEN '' ELSE '#' || role END AS speaker_id, CASE WHEN l = '' THEN role || ':' ELSE l END || ' tail' AS text, '== A' AS section
 FROM ({_STRIPPED})""")
 def grammar_turns(spark, d):
-    """Each turn as a numbered row that is followed by a comment and a wrapped line, below a section line."""
-    c = _t(spark, d, "conversations")
-    row = F.concat(F.col("turn").cast("string"), F.lit("\t"), "role", F.lit(": "), F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), F.lit(" (x)\n% note\n  tail"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", row.alias("l")))), lambda x: x["l"])
-    docs = c.groupBy(F.col("conv_id").cast("string").alias("doc")).agg(F.concat(F.lit("== A\n"), F.array_join(ordered, "\n")).alias("text"))
-    return grammar.rows(grammar.parse(grammar.read_lines(docs), GRAMMAR)).select("doc", "turn_number", "speaker_id", "text", "section")
+    return grammar.rows(grammar.parse(grammar.read_lines(_numbered(spark, d)), GRAMMAR)).select("doc", "turn_number", "speaker_id", "text", "section")
+
+
+@query("grammar_trial", f"""
+WITH s AS (SELECT CAST(conv_id AS VARCHAR) AS doc, l, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, l) AS k FROM ({_STRIPPED}))
+SELECT doc, CASE WHEN l = '' THEN 'main:malformed' ELSE 'main' END AS role, count(*) AS n FROM s GROUP BY ALL UNION ALL SELECT doc, 'ignore', count(*) FROM s GROUP BY doc
+UNION ALL SELECT doc, 'main:continuation', count(*) FROM s GROUP BY doc UNION ALL SELECT doc, 'main:marker', 1 FROM s GROUP BY doc""")
+def grammar_trial(spark, d):
+    """What the grammar finds in each document."""
+    return grammar.trial(grammar.read_lines(_numbered(spark, d)), GRAMMAR)[0].select("doc", "role", "n")
 
 
 @query("grammar_roles", f"""
@@ -334,11 +346,7 @@ WITH s AS ({_STRIPPED})
 SELECT role, n FROM (SELECT CASE WHEN l = '' THEN 'main:malformed' ELSE 'main' END AS role, count(*) AS n FROM s GROUP BY ALL
 UNION ALL SELECT 'ignore', count(*) FROM s UNION ALL SELECT 'main:continuation', count(*) FROM s UNION ALL SELECT 'main:marker', count(DISTINCT conv_id) FROM s)""")
 def grammar_roles(spark, d):
-    c = _t(spark, d, "conversations")
-    row = F.concat(F.col("turn").cast("string"), F.lit("\t"), "role", F.lit(": "), F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")), F.lit(" (x)\n% note\n  tail"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("turn", row.alias("l")))), lambda x: x["l"])
-    docs = c.groupBy(F.col("conv_id").cast("string").alias("doc")).agg(F.concat(F.lit("== A\n"), F.array_join(ordered, "\n")).alias("text"))
-    return grammar.parse(grammar.read_lines(docs), GRAMMAR).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
+    return grammar.parse(grammar.read_lines(_numbered(spark, d)), GRAMMAR).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
 
 
 # -- names and places ------------------------------------------------------------------------------------------------------------------
