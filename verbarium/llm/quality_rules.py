@@ -33,6 +33,8 @@ def base_features(docs: DataFrame) -> DataFrame:
     sort their windows (as strings, so the count is exact); then word positions are covered from sorted window starts.
     """
     t = docs.select("doc_id", text_col().alias("text"))
+    # two passes over the text: without white space, and without small letters too; the other counts are of what that leaves
+    t = t.withColumn("word_chars", F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", ""))).withColumn("rest", F.regexp_replace("text", r"[a-z\x20\x09-\x0D]+", ""))
     t = t.withColumn("words", F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
     t = t.withColumn("lines", F.expr(r"filter(split(text, '\n'), x -> x rlike '[^\\x20\\x09-\\x0D]')")).withColumn("n", F.size("words"))
     t = t.withColumn(
@@ -48,17 +50,17 @@ def base_features(docs: DataFrame) -> DataFrame:
     return t.select(
         "doc_id",
         F.col("n").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("text", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        F.col("word_chars").cast("long").alias("word_chars"),
+        F.length(F.regexp_replace("rest", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.expr(repeats).alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
         F.size(F.array_distinct("words")).cast("long").alias("n_distinct"),
-        F.length(F.regexp_replace("text", r"[^A-Z]+", "")).cast("long").alias("n_upper"),
-        F.length(F.regexp_replace("text", r"[^a-z]+", "")).cast("long").alias("n_lower"),
-        F.length(F.regexp_replace("text", r"[^!?]+", "")).cast("long").alias("n_shouts"),
-        F.length(F.regexp_replace("text", r"[^0-9]+", "")).cast("long").alias("n_digits"),
-        F.length(F.regexp_replace("text", r"[^.,;:]+", "")).cast("long").alias("n_stops"),
+        F.length(F.regexp_replace("rest", r"[^A-Z]+", "")).cast("long").alias("n_upper"),
+        (F.col("word_chars") - F.length("rest")).cast("long").alias("n_lower"),
+        F.length(F.regexp_replace("rest", r"[^!?]+", "")).cast("long").alias("n_shouts"),
+        F.length(F.regexp_replace("rest", r"[^0-9]+", "")).cast("long").alias("n_digits"),
+        F.length(F.regexp_replace("rest", r"[^.,;:]+", "")).cast("long").alias("n_stops"),
     )
 
 
