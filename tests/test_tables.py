@@ -239,7 +239,9 @@ def test_charts(spark):
     assert [tuple(r) for r in rows.collect()] == [(-33.8, 151.2, 4.0), (1.0, 2.0, 1.0)] and tuple(counts.first()) == (2, 2)
     x, y = charts.mercator(F.lit(0.0), F.lit(0.0), 2, 1, 1)
     assert tuple(spark.range(1).select(x, y).first()) == (256.0, 256.0)
-    assert charts.best_zoom(rows) >= 1 and charts.best_zoom(rows.where("false")) == 0
+    assert charts.best_zoom(rows) >= 1 and charts.best_zoom(rows.where("false")) == 0 and charts.best_zoom(rows.limit(1)) == 20
+    square = spark.createDataFrame([(0.0, 0.0), (0.0, 45.0), (1.0, 3.0)], "latitude double, longitude double")
+    assert charts.best_zoom(square) == 4 and charts.best_zoom(square, target=511) == 3  # an eighth of the world is 512 pixels at zoom 4
     assert charts.plot_rows(spark.createDataFrame([(" ", "x ")], "a string, b string")).first().asDict() == {"a": None, "b": "x "}
     assert charts.time_units("utcyearmonthdatehours") == ["year", "month", "date", "hours"]
     for bad in (lambda: charts.time_units("yearx"), lambda: charts.histogram_arguments({"xType": "nominal"}), lambda: charts.histogram_arguments({"xType": "temporal"})):

@@ -178,14 +178,18 @@ def mercator(lat: Column, lon: Column, zoom: int, tile_x: float = 0, tile_y: flo
 
 
 def best_zoom(points: DataFrame, target: int = 512, tile: int = TILE, most: int = 20) -> int:
-    """The closest zoom at which all points fit a square of `target` pixels."""
-    r = points.agg(F.min("latitude").alias("a"), F.max("latitude").alias("b"), F.min("longitude").alias("c"), F.max("longitude").alias("d")).first()
-    if r.a is None:
+    """The closest zoom at which all points fit a square of `target` pixels. A zoom doubles the world's width of one tile, so it is a matter of what
+    part of the world's width and height the points span."""
+    r = points.agg(F.min("latitude").alias("south"), F.max("latitude").alias("north"), F.min("longitude").alias("west"), F.max("longitude").alias("east")).first()
+    if r.south is None:
         return 0
-    north = lambda lat: math.log(math.tan(math.pi / 4 + math.radians(max(-MOST_LATITUDE, min(MOST_LATITUDE, lat))) / 2))
-    across, along = (r.d - r.c) or 0.0001, abs(north(r.b) - north(r.a)) or 0.0001
-    zoom = min(math.log2(target * 360 / (across * tile)), math.log2(target * 2 * math.pi / (along * tile)))
-    return max(0, min(most, math.floor(zoom)))
+
+    def down(latitude: float) -> float:
+        phi = math.radians(max(-MOST_LATITUDE, min(MOST_LATITUDE, latitude)))
+        return 0.5 - math.asinh(math.tan(phi)) / (2 * math.pi)
+
+    part = max((r.east - r.west) / 360, down(r.south) - down(r.north))
+    return most if part <= 0 else max(0, min(most, math.floor(math.log2(target / (tile * part)))))
 
 
 def heat_cells(points: DataFrame, zoom: int, cell: int = 16) -> DataFrame:
