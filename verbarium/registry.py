@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .plans import corpus_queries, document_queries, file_queries, table_queries
+from .plans import corpus_queries, document_queries, file_queries, graph_queries, map_queries, table_queries
 
-QUERIES: dict = {**corpus_queries.QUERIES, **table_queries.QUERIES, **file_queries.QUERIES, **document_queries.QUERIES}
-SQL: dict[str, str] = {**corpus_queries.SQL, **table_queries.SQL, **file_queries.SQL, **document_queries.SQL}
+_MODULES = (corpus_queries, table_queries, file_queries, document_queries, graph_queries, map_queries)
+QUERIES: dict = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
+SQL: dict[str, str] = {name: s for m in _MODULES for name, s in m.SQL.items()}
