@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import squash
-from ..operators import charts, cleaning, graph, names, selection, topics
+from ..operators import charts, cleaning, formats, graph, names, selection, topics
 from ..sources import readers, sinks
 from .corpus_queries import _LINES, _TERMS, _TRIM, _WS, LEXICON, documents
 from .staging import fresh_dir, spread
@@ -91,19 +91,40 @@ def graph_round_trip(spark, d):
     return graph.from_json(spark.read.text(path).withColumnRenamed("value", "text"))[1].select("id", "key", "ord", "value", "ref")
 
 
-_FORMATS = "(VALUES ('pdf', '255044462D312E', 'pdf'), ('png', '89504E470D0A1A0A00', 'jpg'), ('wav', '5249464601', 'wav'), ('zip', '504B030414', 'docx'), ('none', '00112233', 'zzz'), ('text', '68690A', 'txt')) f(kind, head, ext)"
+def _zip(*members: tuple[str, str]) -> str:
+    import io
+    import zipfile
 
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in members:
+            z.writestr(zipfile.ZipInfo(name), text)
+    return out.getvalue().hex().upper()
 
-@query("file_formats", f"""
-WITH k AS (SELECT s_suppkey, CAST(s_suppkey % 6 AS INTEGER) AS i FROM supplier), f AS (SELECT *, row_number() OVER () - 1 AS i FROM {_FORMATS})
-SELECT 'd/' || s_suppkey || '.' || ext AS path, CASE kind WHEN 'pdf' THEN 'fmt/276' WHEN 'png' THEN 'fmt/11' WHEN 'wav' THEN 'fmt/141' WHEN 'zip' THEN 'fmt/412' WHEN 'text' THEN 'x-fmt/111' END AS puid,
-  CASE WHEN kind = 'png' THEN 'extension mismatch' END AS warning FROM k JOIN f USING (i)""")
+
+_TYPES = ("[Content_Types].xml", "<Types/>")
+#: content, extension, public identifier, media type, warning. Junk before a PDF, archives told apart by their members whatever the name says, three formats in one container
+#: format, a mark far inside, text with and without an extension that says so, and what nothing knows.
+_FILES = [
+    (b"junk \n%PDF-1.4 body %%EOF\n".hex(), "pdf", "fmt/18", "application/pdf", None), (b"%PDF-1.7\n%%EOF".hex(), "txt", "fmt/276", "application/pdf", "extension mismatch"), (b"%PDF-1.7 without an end".hex(), "pdf", "fmt/14", "application/pdf", "match on extension only"),
+    (_zip(_TYPES, ("word/document.xml", "<w/>")), "docx", "fmt/412", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", None),
+    (_zip(_TYPES, ("xl/workbook.xml", "<x/>")), "docx", "fmt/214", "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet", "extension mismatch"),
+    (_zip(_TYPES, ("old/word/document.xml", "xl/workbook.xml")), "zip", "x-fmt/263", "application/zip", None),
+    (_zip(("mimetype", "application/vnd.oasis.opendocument.text"), ("content.xml", "<o/>")), "odt", "fmt/291", "application/vnd.oasis.opendocument.text", None),
+    (b"RIFF\x10\0\0\0WAVEfmt \x10\0\0\0\x01\0".hex(), "wav", "fmt/141", "audio/x-wav", None), (b"RIFF\x10\0\0\0WAVEJUNK".hex(), "WAV", "fmt/6", "audio/x-wav", None), (b"RIFF\x10\0\0\0WEBPVP8 ".hex(), "webp", "fmt/566", "image/webp", None),
+    ((b"x" * 257 + b"ustar\0").hex(), "tar", "x-fmt/265", "application/x-tar", None), (b"\xff\xd8\xff\xe1\0\x10Exif\0".hex(), "jpg", "fmt/645", "image/jpeg", None), (bytes.fromhex("D0CF11E0A1B11AE1").hex(), "doc", "fmt/111", "https://www.nationalarchives.gov.uk/PRONOM/fmt/111", None),
+    (b"a,b\n1,2\n".hex(), "csv", "x-fmt/18", "text/csv", None), (b"some words\n".hex(), "notes", "x-fmt/111", "text/plain", "match on text only; extension mismatch"), (b"\x00\x01\x02".hex(), "png", "fmt/11", "image/png", "match on extension only"), (b"\x00\x01\x02".hex(), "zzz", None, None, None),
+]
+_SQL_FILES = ", ".join("(" + ", ".join(str(k) if n == 0 else "NULL" if v is None else f"'{v}'" for n, v in enumerate([k, *row[1:]])) + ")" for k, row in enumerate(_FILES))
+
+
+@query("file_formats", f"""SELECT 'd/' || s_suppkey || '.' || ext AS path, puid, encoding_format, warning FROM supplier JOIN (VALUES {_SQL_FILES}) f(i, ext, puid, encoding_format, warning) ON s_suppkey % {len(_FILES)} = i WHERE puid IS NOT NULL""")
 def file_formats(spark, d):
-    made = [("255044462D312E", "pdf"), ("89504E470D0A1A0A00", "jpg"), ("5249464601", "wav"), ("504B030414", "docx"), ("00112233", "zzz"), ("68690A", "txt")]
-    i = F.col("s_suppkey") % 6
-    pick = lambda k: F.element_at(F.array(*[F.lit(m[k]) for m in made]), (i + 1).cast("int"))
+    """Files made from keys, told by their bytes."""
+    i = (F.col("s_suppkey") % len(_FILES) + 1).cast("int")
+    pick = lambda k: F.element_at(F.array(*[F.lit(m[k]) for m in _FILES]), i)
     files = _t(spark, d, "supplier").select(F.concat(F.lit("d/"), F.col("s_suppkey").cast("string"), F.lit("."), pick(1)).alias("path"), F.unhex(pick(0)).alias("content"))
-    return names.formats(files).select("path", "puid", "warning")
+    return formats.encoding_formats(formats.identify(formats.edges_of_content(files))).drop("name")
 
 
 # -- cleaning ----------------------------------------------------------------------------------------------------------------------
