@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import PatternError, check_pattern, java_pattern, literal_pattern, words
+from ..functions.text import PatternError, check_pattern, java_pattern, literal_pattern
+from ..plans.staging import ship
 
 #: Pairs of code points that are no characters. While a row is taken apart a pair that its text doesn't hold marks the matches, so no text is altered.
 MARKS = [(chr(c), chr(c + 1)) for c in range(0xFDD0, 0xFDF0, 2)]
@@ -36,46 +42,75 @@ def _edge(c: str, before: bool) -> str:
 def search(docs: DataFrame, query: str, match: str = "fixed", whole_word: bool = False, case_sensitive: bool = False, window: int = 5) -> DataFrame:
     """source, line_no, match_no, speaker, left, keyword, right of every match; only rows with a match are taken apart.
 
-    A pattern that doesn't compile raises PatternError before anything runs.
+    The engine finds and marks the matches; a worker finds a marked text's words once and cuts each window from it, so a text with many matches costs as much as what it returns. A pattern that
+    doesn't compile raises PatternError before anything runs.
     """
     pattern = query_pattern(query, match, whole_word, case_sensitive)
     if problem := check_pattern(docs.sparkSession, pattern):
         raise PatternError(problem)
     if query == "":
         pattern = "(?!)"
-    window = window or 5
     rows = docs.select("source", "line_no", "speaker", F.coalesce("text", F.lit("")).alias("text")).where(F.col("text").rlike(pattern))
     free = [F.when(~F.contains("text", F.lit(a)) & ~F.contains("text", F.lit(b)), F.lit(a + b)) for a, b in MARKS]
     rows = rows.withColumn("marks", F.coalesce(*free, F.raise_error(F.lit("a text holds one of each pair of marks")).cast("string")))
-    rows = rows.withColumn("open", F.left("marks", F.lit(1))).withColumn("close", F.right("marks", F.lit(1)))
-    rows = rows.withColumn("parts", F.split(F.regexp_replace("text", F.lit(pattern), F.concat("open", F.lit("$0"), "close")), F.col("open")))
-    matches = F.transform(F.sequence(F.lit(1), F.size("parts") - 1), lambda k: _match(k, window))
-    found = rows.select("source", "line_no", "speaker", F.inline(F.filter(matches, lambda m: m["keyword"] != "")))
-    return found.select("source", "line_no", "match_no", "speaker", "left", "keyword", "right")
-
-
-#: Parts beside a match that are looked at first, and characters for each word of the window
-NEAR, CHARS = 15, 64
-
-
-def _match(k: Column, window: int) -> Column:
-    """match_no, left, keyword, right of the k-th match (columns parts, close), as many words as the window needs. It is made inside the row, so only
-    the words travel on. The text near the match is taken first; only where it holds too few words is the whole text put together."""
-    part, last = F.get("parts", k), F.size("parts") - 1
-    keyword = F.split_part(part, F.col("close"), F.lit(1))
-    plain = lambda x: F.replace(x, F.col("close"), F.lit(""))
-    rest = F.substring(part, F.length(keyword) + 2, F.length(part))
-    low = F.greatest(k - NEAR, F.lit(0))
-    near_left = plain(F.array_join(F.slice("parts", low + 1, k - low), ""))
-    near_right = plain(F.concat(rest, F.array_join(F.slice("parts", k + 2, F.least(last - k, F.lit(NEAR))), "")))
-    all_left = plain(F.array_join(F.slice("parts", F.lit(1), k), ""))
-    all_right = plain(F.concat(rest, F.array_join(F.slice("parts", k + 2, F.size("parts")), "")))
-    close_left, close_right = words(F.right(near_left, F.lit(CHARS * window))), words(F.left(near_right, F.lit(CHARS * window)))
-    # one word more than needed: the outermost may be cut
-    left = F.when(F.size(close_left) > window, close_left).otherwise(words(all_left))
-    right = F.when(F.size(close_right) > window, close_right).otherwise(words(all_right))
-    ends = F.slice(left, F.greatest(F.size(left) - window, F.lit(0)) + 1, F.lit(window)), F.slice(right, F.lit(1), F.lit(window))
-    return F.struct(k.alias("match_no"), F.array_join(ends[0], " ").alias("left"), keyword.alias("keyword"), F.array_join(ends[1], " ").alias("right"))
+    marked = F.regexp_replace("text", F.lit(pattern), F.concat(F.left("marks", F.lit(1)), F.lit("$0"), F.right("marks", F.lit(1))))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    out = f"source {kinds['source']}, line_no {kinds['line_no']}, match_no int, speaker {kinds['speaker']}, left string, keyword string, right string"
+    ship(docs.sparkSession)
+    return rows.select("source", "line_no", "speaker", "marks", marked.alias("marked")).mapInArrow(_cut(window or 5), out)
+
+
+#: Characters of results that a worker holds at once; a text without white space gives whole texts as windows.
+HELD = 1 << 22
+
+_WORD = re.compile("[^\t\n\x0b\x0c\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
+
+
+def windows(marked: str, marks: str, count: int) -> Iterator[tuple[int, str, str, str]]:
+    """match_no, left, keyword, right of each marked match that isn't empty: up to `count` words on either side, those that the match cuts included."""
+    first, *parts = marked.split(marks[0])
+    plain, spans = [first], []
+    at = len(first)
+    for part in parts:
+        keyword, rest = part.split(marks[1], 1)
+        spans.append((at, at + len(keyword)))
+        plain += (keyword, rest)
+        at += len(keyword) + len(rest)
+    text = "".join(plain)
+    bounds = [m.span() for m in _WORD.finditer(text)]
+    starts, ends = [b[0] for b in bounds], [b[1] for b in bounds]
+    for k, (start, end) in enumerate(spans, 1):
+        if start < end:
+            last, after = bisect_left(starts, start), bisect_right(ends, end)
+            left = " ".join(text[starts[i] : min(ends[i], start)] for i in range(max(0, last - count), last))
+            right = " ".join(text[max(starts[i], end) : ends[i]] for i in range(after, min(after + count, len(starts))))
+            yield k, left, text[start:end], right
+
+
+def _cut(count: int):
+    names = ["source", "line_no", "speaker"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, found, held = [], [], 0
+
+            def filled() -> pa.RecordBatch:
+                source, line_no, speaker = (batch.column(c).take(pa.array(row, pa.int32())) for c in names)
+                no, left, keyword, right = (pa.array(c, t) for c, t in zip(zip(*found), (pa.int32(), pa.string(), pa.string(), pa.string())))
+                return pa.RecordBatch.from_arrays([source, line_no, no, speaker, left, keyword, right], ["source", "line_no", "match_no", "speaker", "left", "keyword", "right"])
+
+            for k in range(batch.num_rows):
+                for one in windows(batch.column("marked")[k].as_py(), batch.column("marks")[k].as_py(), count):
+                    row.append(k)
+                    found.append(one)
+                    held += len(one[1]) + len(one[2]) + len(one[3]) + 64
+                    if held > HELD:
+                        yield filled()
+                        row, found, held = [], [], 0
+            if found:
+                yield filled()
+
+    return run
 
 
 def sort_rows(rows: DataFrame, by: str | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ say all (`head_bytes`, `tail_bytes` follow from the table), and `edges` reads no
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -228,27 +229,30 @@ def identify(edges: DataFrame, signatures: Iterable[Signature] = SIGNATURES) ->
             out = out & F.col("t").rlike(_member(m))
         return out
 
-    entry = lambda s, k: F.struct(F.lit(k).alias("no"), F.lit(s.puid).alias("puid"), F.lit(s.name).alias("name"), F.lit(s.mime).cast("string").alias("mime"), F.array(*map(F.lit, s.extensions)).cast("array<string>").alias("extensions"), F.array(*map(F.lit, s.over)).cast("array<string>").alias("over"))
-    binary = [(k, s) for k, s in enumerate(signatures) if s.sequences or s.members]
-    found = F.filter(F.array(*[F.when(matches(s), entry(s, k)) for k, s in binary]), lambda x: x.isNotNull())
-    beaten = F.flatten(F.transform("found", lambda x: x["over"]))
-    best = F.get(F.filter("found", lambda x: ~F.array_contains(F.col("beaten"), x["puid"])), F.lit(0))
-    is_text = F.col("h").rlike(_TEXT)
+    def literal(value: object, schema: str) -> Column:
+        return F.from_json(F.lit(json.dumps(value)), schema)
 
     def by_extension(text: bool) -> Column:
-        out = F.lit(None)
-        for k, s in reversed(list(enumerate(signatures))):
-            if s.text == text and s.extensions:
-                out = F.when(F.col("ext").isin(*s.extensions), entry(s, k)).otherwise(out)
-        return out
-
-    plain = next(((k, s) for k, s in enumerate(signatures) if s.text and "txt" in s.extensions), None)
-    rows = rows.withColumn("found", found).withColumn("beaten", beaten).withColumn("best", best)
-    said = F.when(F.col("best").isNotNull(), F.struct(F.col("best").alias("of"), F.when(~F.array_contains("best.extensions", F.col("ext")), NO_EXTENSION).alias("warning")))
-    for of, condition, warning in ((by_extension(True), is_text, None), (by_extension(True), F.lit(True), ONLY_EXTENSION), (by_extension(False), F.lit(True), ONLY_EXTENSION), (entry(plain[1], plain[0]) if plain else None, is_text, ONLY_TEXT)):
-        if of is not None:
-            said = said.when(condition & of.isNotNull(), F.struct(of.alias("of"), F.lit(warning).cast("string").alias("warning")))
-    return rows.select("path", said.alias("s")).where("s IS NOT NULL").select("path", "s.of.puid", "s.of.name", "s.of.mime", "s.warning")
+        first: dict[str, int] = {}
+        for k, s in enumerate(signatures):
+            for e in s.extensions if s.text == text else ():
+                first.setdefault(e, k)
+        return F.try_element_at(literal(first, "map<string,int>"), F.col("ext"))
+
+    table = literal([{"puid": s.puid, "name": s.name, "mime": s.mime, "extensions": s.extensions} for s in signatures], "array<struct<puid: string, name: string, mime: string, extensions: array<string>>>")
+    beats = literal([[k for k, other in enumerate(signatures) if other.puid in s.over] for s in signatures], "array<array<int>>")
+    plain = next((k for k, s in enumerate(signatures) if s.text and "txt" in s.extensions), None)
+    found = F.filter(F.array(*[F.when(matches(s), F.lit(k)) for k, s in enumerate(signatures) if s.sequences or s.members]).cast("array<int>"), lambda k: k.isNotNull())
+    rows = rows.withColumn("found", found).withColumn("beaten", F.flatten(F.transform("found", lambda k: F.get(beats, k))))
+    is_text = F.col("h").rlike(_TEXT)
+    rows = rows.select("path", "ext", is_text.alias("is_text"), F.get(F.array_except("found", "beaten"), F.lit(0)).alias("best"), by_extension(True).alias("as_text"), by_extension(False).alias("as_other"))
+    only_text = F.when(F.col("is_text"), F.lit(plain).cast("int"))
+    named = rows.withColumn("s", F.get(table, F.coalesce("best", "as_text", "as_other", only_text))).where("s IS NOT NULL")
+    warning = (
+        F.when(F.col("best").isNotNull(), F.when(~F.array_contains("s.extensions", F.col("ext")), NO_EXTENSION))
+        .when(F.col("as_text").isNotNull(), F.when(~F.col("is_text"), ONLY_EXTENSION)).when(F.col("as_other").isNotNull(), ONLY_EXTENSION).otherwise(ONLY_TEXT)
+    )
+    return named.select("path", "s.puid", "s.name", "s.mime", warning.alias("warning"))
 
 
 def encoding_formats(identified: DataFrame) -> DataFrame:

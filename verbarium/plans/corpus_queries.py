@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stopwords import ENGLISH
 from ..functions.text import TOKEN
-from ..operators import cleaning, collocation, concordance, ngrams, selection, sentiment, topics
-from .staging import spread
+from ..operators import cleaning, collocation, concordance, ngrams, selection, sentiment, text_index, topics
+from .staging import fresh_dir, spread
 
 TOKEN_SQL = TOKEN.replace("'", "''")
 TOKENS = f"list_transform(regexp_extract_all(coalesce(text, ''), '{TOKEN_SQL}'), lambda x: lower(x))"
@@ -309,3 +311,16 @@ def table_documents(spark, d):
 @query("topic_documents", f"WITH g AS (SELECT source, min(doc_id) AS line_no, string_agg(coalesce(text, ''), ' ' ORDER BY doc_id) AS t FROM documents GROUP BY source) SELECT source AS id, source, source AS label, line_no, {_TRIM % 't'} AS text FROM g WHERE t <> ''")
 def topic_documents(spark, d):
     return selection.topic_documents(documents(spark, d))
+
+
+# -- keyword in context over an index ------------------------------------------------------------------------------------------------
+
+#: a part of words, words side by side, a glob, a whole word
+_INDEXED = [("ouen", "(?i)ouen", {}), ("the er", "(?i)the er", {}), ("th?ngand*est", r"(?i)th[\s\S]ngand[\s\S]*est", {"match": "glob"}), ("Was", r"\bWas\b", {"whole_word": True, "case_sensitive": True})]
+
+
+@query("kwic_index", "\nUNION ALL\n".join(f"SELECT {k} AS query, * FROM ({_kwic_sql(pattern, _DOCS, 4)})" for k, (_, pattern, _) in enumerate(_INDEXED)))
+def kwic_index(spark, d):
+    """Searches of an index of all documents."""
+    index = text_index.build(documents(spark, d), fresh_dir(spark, "index"), folders=16)
+    return reduce(DataFrame.unionByName, [index.search(q, window=4, **options).select(F.lit(k).alias("query"), "*") for k, (q, _, options) in enumerate(_INDEXED)])
