@@ -1,4 +1,4 @@
-"""Topics: vocabulary, latent Dirichlet allocation at scale and as a seeded, repeatable sampler, and what follows from a model."""
+"""Topics: vocabulary, a seeded, repeatable sampler for small corpora, and what follows from a model. Models at scale are in `variational`."""
 
 from __future__ import annotations
 
@@ -8,17 +8,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.staging import running, stage
+from ..plans.staging import running
 from .ngrams import topic_tokens
 
 RESIDUAL = "other"
 SEED_BOOST = 1000
 
 
-#: Terms that a distributed model takes at most: 1.6 MB of weights a topic.
-MOST_TERMS = 200_000
-
-
 def tokens(docs: DataFrame, stopwords: list[str] = ()) -> DataFrame:
     """id, pos, term."""
     found = topic_tokens("text")
@@ -49,41 +45,6 @@ def dropped(docs: DataFrame, encoded: DataFrame) -> DataFrame:
     return docs.join(encoded.select("id").distinct(), "id", "left_anti")
 
 
-def lda(encoded: DataFrame, vocab: DataFrame, k: int = 5, iterations: int = 20, seed: int = 1234, most_terms: int = MOST_TERMS) -> tuple[DataFrame, DataFrame]:
-    """Distributed variational LDA: (topic, term, term_id, weight) and (id, topic, weight). Each iteration reads every document once. The model has a
-    weight for each topic and term on the driver, so it takes the `most_terms` most frequent terms (ties in vocabulary order)."""
-    from pyspark.ml.feature import CountVectorizerModel
-    from pyspark.ml.functions import vector_to_array
-
-    chosen = vocab.orderBy(F.desc("n"), "term_id").limit(most_terms).select("term", "term_id").collect()
-    words = [r.term for r in sorted(chosen, key=lambda r: r.term_id)]
-    numbered = encoded.sparkSession.createDataFrame([(k, r.term, r.term_id) for k, r in enumerate(sorted(chosen, key=lambda r: r.term_id))], "place int, term string, term_id int")
-    terms = encoded.join(vocab.select("term_id", "term"), "term_id").groupBy("id").agg(F.collect_list("term").alias("terms"))
-    counts = CountVectorizerModel.from_vocabulary(words, "terms", "features").transform(terms).select("id", "features")
-    model = _fit_on_all(counts, k, iterations, seed)
-    best = model.describeTopics(len(words))
-    pairs = best.select("topic", F.explode(F.arrays_zip("termIndices", "termWeights")).alias("p")).select("topic", F.col("p.termIndices").alias("place"), F.col("p.termWeights").alias("weight"))
-    weights = model.transform(counts).select("id", F.posexplode(vector_to_array("topicDistribution")).alias("topic", "weight"))
-    return pairs.join(F.broadcast(numbered), "place").select("topic", "term", "term_id", "weight"), weights
-
-
-def _fit_on_all(counts: DataFrame, k: int, iterations: int, seed: int):
-    """MLlib's online optimiser with the whole corpus as its batch. pyspark.ml's LDA can't be told to draw without replacement (even at rate 1
-    a third of the documents would be missing from each iteration), so the optimiser below it is set up directly."""
-    from pyspark.ml.clustering import LocalLDAModel
-
-    spark = counts.sparkSession
-    ml, mllib = spark._jvm.org.apache.spark.ml.clustering, spark._jvm.org.apache.spark.mllib.clustering
-    optimizer = mllib.OnlineLDAOptimizer().setMiniBatchFraction(1.0).setSampleWithReplacement(False).setOptimizeDocConcentration(True)
-    # read again in each iteration
-    fixed = stage(counts.select("features"), "counts")
-    rows = getattr(getattr(ml, "LDA$"), "MODULE$").getOldDataset(fixed._jdf, "features")
-    fitted = mllib.LDA().setK(k).setMaxIterations(iterations).setSeed(seed).setOptimizer(optimizer).run(rows)
-    model = LocalLDAModel(ml.LocalLDAModel("lda", fitted.vocabSize(), fitted, spark._jsparkSession))
-    model._resetUid("lda")
-    return model
-
-
 # -- the repeatable sampler ------------------------------------------------------------------------------------------------------
 
 
@@ -157,7 +118,8 @@ def seed_dictionary(names: list[str], words: list[list[str]]) -> list[tuple[str,
 
 def sample_lda(encoded: DataFrame, vocab: DataFrame, k: int = 5, iterations: int = 200, seed: int = 1234, alpha: float | None = None, beta: float = 0.1,
                seeds: list[tuple[str, list[str]]] | None = None, boost: float = SEED_BOOST) -> DataFrame:
-    """kind ('term' or 'document'), topic, name, item (term or document), weight: the repeatable sampler as one grouped task.
+    """kind ('term' or 'document'), topic, name, item (term or document), weight: the repeatable sampler as one grouped task. It draws what a sequential sampler draws, to
+    check small corpora against one; for others there is variational.fit(), with or without seeds.
 
     With `seeds` the topics are those named, with raised priors for their words, and a residual one.
     """

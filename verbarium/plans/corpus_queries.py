@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stopwords import ENGLISH
 from ..functions.text import TOKEN
-from ..operators import cleaning, collocation, concordance, ngrams, selection, sentiment, text_index, topics
+from ..operators import cleaning, collocation, concordance, ngrams, selection, sentiment, text_index, topics, variational
 from .staging import fresh_dir, spread
 
 TOKEN_SQL = TOKEN.replace("'", "''")
@@ -290,8 +290,21 @@ def vocabulary_dropped(spark, d):
 def lda_topterms(spark, d):
     terms = _terms(spark, d)
     vocab = topics.vocabulary(terms)
-    weights, _ = topics.lda(topics.encode(terms, vocab), vocab, 4, 10)
-    return topics.top_terms(weights)
+    return topics.top_terms(variational.fit(topics.encode(terms, vocab), vocab, 4, iterations=10).terms)
+
+
+#: words of three of the corpus's languages
+SEEDS = [("german", ["und", "der", "die"]), ("french", ["les", "une", "dans"]), ("english", ["the", "and", "that"])]
+
+
+@query("seeded_topics")
+def seeded_topics(spark, d):
+    """How many documents each seeded topic, and the residual one, has."""
+    terms = _terms(spark, d)
+    vocab = topics.vocabulary(terms)
+    model = variational.fit(topics.encode(terms, vocab), vocab, seeds=SEEDS, iterations=10)
+    names = F.element_at(F.array(*map(F.lit, model.names)), F.col("topic") + 1)
+    return topics.topic_shares(topics.assign(model.documents)).select("topic", names.alias("name"), "n", F.round("share", 6).alias("share"))
 
 
 # -- selection ---------------------------------------------------------------------------------------------------------------------

@@ -36,6 +36,43 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def publish(spark: SparkSession, name: str, array: object) -> str:
+    """Write a numpy array of bounded size to the shared folder; its URI."""
+    import io
+
+    import numpy as np
+    import pyarrow.fs as pafs
+
+    out = io.BytesIO()
+    np.save(out, array)
+    uri = fresh_dir(spark, name)
+    fs, root = pafs.FileSystem.from_uri(uri)
+    fs.create_dir(root, recursive=True)
+    with fs.open_output_stream(f"{root}/{name}.npy") as f:
+        f.write(out.getvalue())
+    return f"{uri}/{name}.npy"
+
+
+def published(uri: str):
+    """What publish() wrote; read in a worker."""
+    import io
+
+    import numpy as np
+    import pyarrow.fs as pafs
+
+    fs, path = pafs.FileSystem.from_uri(uri)
+    with fs.open_input_stream(path) as f:
+        return np.load(io.BytesIO(f.read()))
+
+
+def discard(uri: str) -> None:
+    """Delete a folder of the shared one that an iteration has left behind; nothing may refer to it any more."""
+    import pyarrow.fs as pafs
+
+    fs, root = pafs.FileSystem.from_uri(uri)
+    fs.delete_dir(root)
+
+
 def running(df: DataFrame, group: list[str], order: list[str], value: str) -> DataFrame:
     """`df` with `before` (sum of `value` over the earlier rows of the group) and `seq` (their number).
 
