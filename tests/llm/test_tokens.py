@@ -169,13 +169,13 @@ def test_sweeps_of_best_fit(spark):
     rng = np.random.default_rng(5)
     cases = [{}, {64: 3}, {1: 1}, {33: 7, 31: 7, 1: 5}, {k: 1 for k in range(1, 65)}, {k: int(n) for k, n in zip(range(1, 65), rng.integers(1, 60, 64))}]
     for histogram in cases:
-        steps, bins = K.best_fit(spark.createDataFrame(list(histogram.items()), "length int, n long"), 64)
+        went = K.best_fit(spark.createDataFrame(list(histogram.items()), "length int, n long"), 64).collect()
+        bins = K.rounds(np.array(list(histogram.items()), dtype=np.int64).reshape(-1, 2), 64)[1]
         ranks, filled = {}, {}
-        for step in steps:
-            for r in step.where("kind = 2").collect():
-                ranks.setdefault(r.s, []).append((r.at, r.n))
-                for k in range(r.n):
-                    filled.setdefault(r.bin + k // r.each, []).append((r.offset + (k % r.each) * r.s, r.s))
+        for r in went:
+            ranks.setdefault(r.s, []).append((r.at, r.n))
+            for k in range(r.n):
+                filled.setdefault(r.bin + k // r.each, []).append((r.offset + (k % r.each) * r.s, r.s))
         assert set(ranks) == set(histogram)
         for length, n in histogram.items():  # every rank once
             at = 0

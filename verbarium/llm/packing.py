@@ -2,11 +2,11 @@
 
 Documents longer than a sequence are cut; the pieces are sorted by length in ranges over the cluster and ranked inside their length. A
 sequence is a bin; its free space is a gap. Lengths and gaps are whole numbers up to the capacity, so sorted documents and sorted gaps are
-runs of equals: a run of documents is (length, number, next rank), a run of gaps (size, number, first bin). A superstep is one DataFrame
-job over the runs, see `superstep`: it sorts both by size, finds every length's successor among the gaps (the smallest gap that holds it), resolves
-conflicts by rank (longer documents first; those that lose a gap take the next one up, or wait), and updates the gaps. Supersteps repeat until all
-are placed; bins are opened for documents that no gap holds, as many as they need at least. Each superstep's runs are written to the shared folder, so a
-lost executor costs one superstep. There are a few thousand runs and some tens of supersteps however large the corpus is; all that has a row for each document (lengths, ranks, places) is distributed, and each piece finds its run, thus its bin and offset, by length and rank.
+runs of equals: a run of documents is (length, number, next rank), a run of gaps (size, number, first bin). A superstep, see `superstep`, sorts both by size, finds
+every length's successor among the gaps (the smallest gap that holds it), resolves conflicts by rank (longer documents first; those that lose a gap take the next one up, or
+wait), and updates the gaps. Supersteps repeat until all are placed; bins are opened for documents that no gap holds, as many as they need at least. There are a few thousand runs and some tens of
+supersteps however large the corpus is, so they are one task of one job; all that has a row for each document (lengths, ranks, places) is distributed, and each piece finds its run, thus its
+bin and offset, by length and rank.
 
 Defined cases: a null text is an empty one, whose only token is the end mark; repeated rows are packed each; pieces that tie in length are ranked by
 doc_id, piece and digest; null doc_ids keep their rows; texts of any length are encoded whole and cut after that; an empty table gives no rows; extra
@@ -18,7 +18,7 @@ from __future__ import annotations
 import io
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache, reduce
+from functools import lru_cache
 from struct import pack
 
 import numpy as np
@@ -57,97 +57,84 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, json_name: str = VOCABULAR
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length int, ids_crc32 long")
 
 
-#: Kinds of rows in the table of a superstep.
-GAP, DOC, RUN = 0, 1, 2
-
-#: A superstep. Rows of `state` are gaps (s: size, n: bins, at: first bin) and documents (s: length, n: number left, at: next rank).
-SUPERSTEP = """
-WITH sorted AS (  -- slots: gaps of this size or more; g: the smallest of them
-  SELECT kind, s, n, at, coalesce(sum(if(kind = 0, n, 0L)) OVER down, 0L) AS slots, last(if(kind = 0, s, null), true) OVER down AS g
-  FROM {state} WINDOW down AS (ORDER BY s DESC, kind, at DESC ROWS UNBOUNDED PRECEDING)),
-asking AS (SELECT *, max(slots) OVER () - slots AS first, if(kind = 1 AND s > {least}, g div s, null) AS each FROM sorted),
-needing AS (  -- slots that this length and all longer ones need
-  SELECT *, max(slots) OVER () AS total, sum(coalesce((n + each - 1) div each, 0L)) OVER down AS needed
-  FROM asking WINDOW down AS (ORDER BY s DESC, kind, at DESC ROWS UNBOUNDED PRECEDING)),
-using AS (  -- slots that they get: of the slots above a successor all may be gone
-  SELECT *, needed + least(0L, min(if(kind = 1, slots - needed, null)) OVER down) AS used
-  FROM needing WINDOW down AS (ORDER BY s DESC, kind, at DESC ROWS UNBOUNDED PRECEDING)),
-taking AS (
-  SELECT *, if(kind = 1, coalesce(used, 0L) - coalesce(max(used) OVER longer, 0L), 0L) AS take
-  FROM using WINDOW longer AS (ORDER BY s DESC, kind, at DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-counted AS (SELECT *, coalesce(sum(take) OVER shorter, 0L) AS c FROM taking WINDOW shorter AS (ORDER BY s, kind DESC, at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-dealt AS (  -- a run starts at its successor, or where the shorter ones end
-  SELECT *, c + max(if(take > 0, first - c, null)) OVER up AS start, coalesce(least(n, take * each), 0L) AS placed
-  FROM counted WINDOW up AS (ORDER BY s, kind DESC, at ROWS UNBOUNDED PRECEDING)),
-marks AS (  -- on the axis of slots: 0 a run of documents ends, 1 one begins, 2 a run of gaps begins; 3: documents left
-  SELECT total, inline(CASE
-    WHEN kind = 0 THEN array(named_struct('pos', first, 'mark', 2, 's', s, 'n', n, 'at', at, 'each', 0L))
-    WHEN take = 0 THEN array(named_struct('pos', cast(null AS bigint), 'mark', 3, 's', s, 'n', n, 'at', at, 'each', 0L))
-    ELSE array(named_struct('pos', cast(null AS bigint), 'mark', 3, 's', s, 'n', n - placed, 'at', at + placed, 'each', 0L),
-               named_struct('pos', start, 'mark', 1, 's', s, 'n', placed, 'at', at, 'each', each),
-               named_struct('pos', start + take, 'mark', 0, 's', s, 'n', 0L, 'at', at, 'each', 0L)) END)
-  FROM dealt),
-laid AS (
-  SELECT mark, pos, s, n, at, lead(pos) OVER (ORDER BY pos NULLS FIRST, mark) AS next, total,
-         last(if(mark = 2, struct(pos, s, n, at, each), null), true) OVER along AS gap, last(if(mark < 2, struct(pos, s, n, at, each), null), true) OVER along AS doc
-  FROM marks WINDOW along AS (ORDER BY pos NULLS FIRST, mark ROWS UNBOUNDED PRECEDING)),
-segments AS (  -- equal documents in equal gaps, `each` in a gap
-  SELECT *, coalesce(next, total) - pos AS width, coalesce(doc.each, 0L) AS each, gap.at + pos - gap.pos AS bin FROM laid),
-filled AS (SELECT *, (pos - doc.pos) * each AS o, least(width * each, doc.n - (pos - doc.pos) * each) AS copies FROM segments WHERE mark = 3 OR width > 0),
-result AS (
-  SELECT inline(CASE
-    WHEN mark = 3 THEN array(named_struct('kind', 1, 's', s, 'n', n, 'at', at, 'each', 0L, 'bin', 0L, 'offset', 0L))
-    WHEN each = 0 THEN array(named_struct('kind', 0, 's', gap.s, 'n', width, 'at', bin, 'each', 0L, 'bin', 0L, 'offset', 0L))
-    ELSE array(named_struct('kind', 2, 's', doc.s, 'n', copies, 'at', doc.at + o, 'each', each, 'bin', bin, 'offset', {capacity} - gap.s),
-               named_struct('kind', 0, 's', gap.s - each * doc.s, 'n', copies div each, 'at', bin, 'each', 0L, 'bin', 0L, 'offset', 0L),
-               named_struct('kind', 0, 's', gap.s - copies % each * doc.s, 'n', if(copies % each > 0, 1L, 0L), 'at', bin + copies div each, 'each', 0L, 'bin', 0L, 'offset', 0L)) END)
-  FROM filled)
-SELECT * FROM result WHERE s > 0 AND n > 0
-"""
-
-
-#: Before a superstep: the lengths at work are those over `least`; of them, what no gap holds.
-OUTLOOK = """
-WITH sized AS (
-  SELECT *, max(if(kind = 1, s, null)) OVER () AS longest, coalesce(max(if(kind = 0, s, null)) OVER (), 0) AS gap FROM {state}),
-aimed AS (SELECT *, CASE WHEN longest > {half} THEN {half} WHEN longest > {quarter} THEN {quarter} ELSE 0 END AS least FROM sized)
-SELECT max(least) AS least, sum(if(kind = 1, n, 0)) AS left, sum(if(kind = 1 AND s > greatest(least, gap), s * n, 0)) AS tokens,
-       sum(if(kind = 1 AND s > greatest({half}, gap), n, 0)) AS alone
-FROM aimed
-"""
-
-
-def superstep(state: DataFrame, capacity: int = CAPACITY, least: int = 0) -> DataFrame:
-    """One round over the runs. Out: gaps and documents as they are afterwards, and rows of kind RUN that say who went where (s: length, n: pieces,
-    at: first rank, each: pieces a bin, bin, offset). Lengths of `least` and less wait.
+def superstep(gaps: np.ndarray, docs: np.ndarray, capacity: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One round over the runs. gaps: size, number, first bin; docs: length, number left, next rank. Returns both as they are afterwards, and who went where
+    (length, first rank, number, pieces a bin, first bin, offset). Lengths of `least` and less wait.
 
     Sorted by size, the gaps are slots 0, 1, ... A run of documents may use the slots from its successor up, `each` pieces a slot. Going down from the
     longest, a run gets the slots that it needs or, if fewer are left above its successor, those: with N slots needed and A slots existing from a
     run up, the slots used by it and all longer ones are N + min(0, least A - N so far). Going up from the shortest, each run then starts at its successor
     or where the one before it ends. Laying the runs over the gaps gives segments of equal documents in equal gaps.
     """
-    return state.sparkSession.sql(SUPERSTEP, state=state.coalesce(1), capacity=capacity, least=least)
-
-
-def best_fit(lengths: DataFrame, capacity: int = CAPACITY) -> tuple[list[DataFrame], int]:
-    """`lengths`: length, n. Returns the tables of all supersteps, whose rows of kind RUN say which pieces go where, and the number of bins.
+    gaps, docs = gaps[np.lexsort((gaps[:, 2], gaps[:, 0]))], docs[np.argsort(docs[:, 0])]
+    stops = np.cumsum(gaps[:, 1])
+    begins, total = stops - gaps[:, 1], int(gaps[:, 1].sum())
+    fits = np.searchsorted(gaps[:, 0], docs[:, 0])  # the first gap that holds a length
+    held = (fits < len(gaps)) & (docs[:, 0] > least)
+    at = np.minimum(fits, len(gaps) - 1)
+    first = np.where(fits < len(gaps), begins[at], total) if len(gaps) else np.full(len(docs), total)
+    each = np.where(held, gaps[at, 0] // docs[:, 0], 0) if len(gaps) else np.zeros(len(docs), dtype=np.int64)
+    wanted = np.where(held, -(-docs[:, 1] // np.maximum(each, 1)), 0)
+    needed = np.cumsum(wanted[::-1])
+    used = needed + np.minimum(0, np.minimum.accumulate((total - first)[::-1] - needed))
+    take = np.diff(np.maximum.accumulate(used), prepend=0)[::-1]
+    on = np.flatnonzero(take > 0)
+    before = np.cumsum(take[on]) - take[on]
+    start = before + np.maximum.accumulate(first[on] - before)
+    placed = np.minimum(docs[on, 1], take[on] * each[on])
+    left = docs.copy()
+    left[on, 1] -= placed
+    left[on, 2] += placed
+    marks = np.unique(np.concatenate([begins, start, start + take[on], [total]]))
+    pos, width = marks[:-1], np.diff(marks)
+    gap = gaps[np.searchsorted(begins, pos, side="right") - 1]
+    bins = gap[:, 2] + pos - begins[np.searchsorted(begins, pos, side="right") - 1]
+    run = np.searchsorted(start, pos, side="right") - 1
+    inside = (run >= 0) & (pos < (start + take[on])[run]) if len(on) else np.zeros(len(pos), dtype=bool)
+    untouched = np.stack([gap[:, 0], width, bins], axis=1)[~inside]
+    run, gap, bins, width, pos = run[inside], gap[inside], bins[inside], width[inside], pos[inside]
+    doc, per = docs[on[run]], each[on[run]]
+    done = (pos - start[run]) * per
+    copies = np.minimum(width * per, placed[run] - done)
+    went = np.stack([doc[:, 0], doc[:, 2] + done, copies, per, bins, capacity - gap[:, 0]], axis=1)
+    full = np.stack([gap[:, 0] - per * doc[:, 0], copies // per, bins], axis=1)
+    last = np.stack([gap[:, 0] - copies % per * doc[:, 0], (copies % per > 0).astype(np.int64), bins + copies // per], axis=1)
+    after = np.concatenate([untouched, full, last])
+    return after[(after[:, 0] > 0) & (after[:, 1] > 0)], left[left[:, 1] > 0], went[went[:, 2] > 0]
+
+
+def rounds(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
+    """`lengths`: length, number. Returns who went where over all supersteps, and the number of bins.
 
     First come pieces over half the capacity, then those over a quarter, then all, so that short ones don't take what longer ones need. Bins are opened
     for what no gap holds: one for each piece over half the capacity, for others as many as their tokens fill.
     """
-    spark, steps, bins = lengths.sparkSession, [], 0
-    zero = F.lit(0).cast("long")
-    state = stage(lengths.select(F.lit(DOC).alias("kind"), F.col("length").cast("long").alias("s"), "n", zero.alias("at")).coalesce(1), "lengths")
-    while True:
-        now = spark.sql(OUTLOOK, state=state.coalesce(1), half=capacity // 2, quarter=capacity // 4).first()
-        if not now.left:
-            return steps, bins
-        more = max(now.alone, -(-now.tokens // capacity))
-        if more:
-            opened = spark.range(1).select(F.lit(GAP).alias("kind"), *[F.lit(x).cast("long").alias(c) for c, x in (("s", capacity), ("n", more), ("at", bins))])
-            state, bins = state.unionByName(opened), bins + more
-        steps.append(stage(superstep(state, capacity, now.least), "superstep"))
-        state = steps[-1].where(F.col("kind") != RUN).select("kind", "s", "n", "at")
+    docs, gaps, bins, went = np.column_stack([lengths, np.zeros(len(lengths), dtype=np.int64)]).astype(np.int64), np.zeros((0, 3), dtype=np.int64), 0, []
+    while len(docs):
+        longest, largest = docs[:, 0].max(), gaps[:, 0].max(initial=0)
+        least = next(x for x in (capacity // 2, capacity // 4, 0) if longest > x)
+        homeless = docs[:, 0] > max(least, largest)
+        alone = docs[docs[:, 0] > max(capacity // 2, largest), 1].sum()
+        if more := max(alone, -(-(docs[homeless, 0] * docs[homeless, 1]).sum() // capacity)):
+            gaps, bins = np.concatenate([gaps, [[capacity, more, bins]]]), bins + int(more)
+        gaps, docs, placed = superstep(gaps, docs, capacity, least)
+        went.append(placed)
+    return (np.concatenate(went) if went else np.zeros((0, 6), dtype=np.int64)), bins
+
+
+PLACED = ["s", "at", "n", "each", "bin", "offset"]
+
+
+def best_fit(lengths: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """`lengths`: length, n. Who went where, from all supersteps: a job of one task, as the runs are `capacity` rows at most. It depends on the lengths alone, so a lost executor
+    costs this task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.column_stack([b.column(c).to_numpy().astype(np.int64) for c in ("length", "n")]) for b in batches if b.num_rows]
+        went, _ = rounds(np.concatenate(held) if held else np.zeros((0, 2), dtype=np.int64), capacity)
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in went.T], PLACED)
+
+    return lengths.select("length", "n").coalesce(1).mapInArrow(run, ", ".join(f"{c} long" for c in PLACED))
 
 
 @lru_cache(maxsize=2)
@@ -162,9 +149,8 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = cut.sparkSession
     held = stage(cut.withColumn("one", F.lit(1).cast("long")), "pieces")
     ranked = running(held, ["length"], ["doc_id", "piece", "ids_crc32"], "one").drop("one", "before")
-    steps, _ = best_fit(held.groupBy("length").agg(F.count(F.lit(1)).alias("n")), capacity)
-    went = reduce(DataFrame.unionByName, steps).where(F.col("kind") == RUN).select("s", "at", "n", "each", "bin", "offset") if steps else None
-    runs = np.array([tuple(r) for r in went.collect()] if steps else [], dtype=np.int64).reshape(-1, 6)
+    went = best_fit(held.groupBy("length").agg(F.count(F.lit(1)).alias("n")), capacity).collect()
+    runs = np.array([tuple(r) for r in went], dtype=np.int64).reshape(-1, 6)
     out = io.BytesIO()
     np.save(out, runs[np.lexsort((runs[:, 1], runs[:, 0]))])
     uri = publish(spark, "plan", out.getvalue())
