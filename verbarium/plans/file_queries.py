@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import squash
 from ..operators import charts, cleaning, formats, graph, names, selection, topics
 from ..sources import readers, sinks
-from .corpus_queries import _LINES, _TERMS, _TRIM, _WS, LEXICON, documents
+from .corpus_queries import _LINES, _TERMS, _TRIM, _WS, documents
 from .staging import fresh_dir, spread
 
 QUERIES: dict = {}
@@ -69,12 +69,13 @@ def text_loader(spark, d):
     return readers.text_lines(spark, path).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("lexicon_loader", "SELECT word, " + ", ".join(f"max(CASE WHEN category = '{c}' THEN 1 ELSE 0 END) AS {c}" for c in sorted({c for _, c in LEXICON}))
-       + " FROM (VALUES " + ", ".join(f"('{w}', '{c}')" for w, c in LEXICON) + ") AS l(word, category) GROUP BY word")
+@query("lexicon_loader", "SELECT lower(p_name) AS word, " + ", ".join(f"max(CASE WHEN p_type = '{c}' THEN 1 ELSE 0 END) AS {c.lower()}" for c in ("ECONOMY", "PROMO", "STANDARD")) + " FROM part GROUP BY lower(p_name)")
 def lexicon_loader(spark, d):
+    """Parts' names by their types, written as a lexicon file and read again."""
     path = fresh_dir(spark, "lexicon")
-    sinks.write_csv(spark.createDataFrame(LEXICON, "Word string, SENTIMENT string"), path)
-    return readers.lexicon_csv(spark, path).select("word", *sorted({c for _, c in LEXICON}))
+    sinks.write_csv(_t(spark, d, "part").select(F.col("p_name").alias("Word"), F.col("p_type").alias("SENTIMENT")), path)
+    found = readers.lexicon_csv(spark, path)
+    return found.select("word", *[(F.col(f"`{c}`") if c in found.columns else F.lit(0)).alias(c.lower()) for c in ("ECONOMY", "PROMO", "STANDARD")])
 
 
 @query("graph_round_trip", """SELECT '#s' || s_suppkey AS id, 'name' AS key, 0 AS ord, s_name || ' "x"' AS value, NULL AS ref FROM supplier

@@ -90,12 +90,17 @@ def csv_parts(spark: SparkSession, path: str, order: str = "row_no", source: str
 
     Cells may hold line breaks; then a file is read by one task. Where none does, `multi_line=False` lets large files be split.
     """
-    # Spark takes the number of columns from one file, so the widest first line is looked up first
+    # Spark takes the number of columns from one file, so the widest first record is looked up first
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("k"))
     first = lines.groupBy("file").agg(F.min_by("value", "k").alias("v"))
-    widest = first.agg(F.max(F.length(F.regexp_replace("v", "[^,]+", "")))).first()[0]
+    count = lambda c: F.length(F.regexp_replace("v", f"[^{c}]+", ""))
+    widest = first.agg(F.max(count(","))).first()[0]
     if widest is None:
         return []
+    # a header that goes on in the next line is taken as Spark reads it; such files are looked at one by one
+    for (file,) in first.where(count('"') % 2 == 1).select("file").collect() if multi_line else ():
+        head = spark.read.option("header", False).option("multiLine", True).option("quote", '"').option("escape", '"').csv(file)
+        widest = max(widest, len(head.columns) - 1)
     t = spark.read.schema(", ".join(f"_c{k} string" for k in range(widest + 1))).option("header", False).option("multiLine", multi_line).option("quote", '"').option("escape", '"').csv(path)
     raw = t.select(F.array(*t.columns).alias("cells"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"), F.lit(1).cast("long").alias("one"))
     rows = stage(running(raw, ["file"], ["block", "k"], "one").select("file", "cells", F.col("seq").alias("n")), "csv")
