@@ -69,13 +69,16 @@ def text_loader(spark, d):
     return readers.text_lines(spark, path).groupBy("text").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("lexicon_loader", "SELECT lower(p_name) AS word, " + ", ".join(f"max(CASE WHEN p_type = '{c}' THEN 1 ELSE 0 END) AS {c.lower()}" for c in ("ECONOMY", "PROMO", "STANDARD")) + " FROM part GROUP BY lower(p_name)")
+_FEELINGS = {"ECONOMY": "Joy", "PROMO": "surprise", "STANDARD": " trust", "MEDIUM": "NEGATIVE", "LARGE": "fear", "SMALL": "positive"}
+
+
+@query("lexicon_loader", "SELECT lower(p_name) AS word, " + ", ".join(f"max(CASE WHEN p_type = '{k}' THEN 1 ELSE 0 END) AS {c.strip().lower()}" for k, c in _FEELINGS.items()) + " FROM part GROUP BY lower(p_name)")
 def lexicon_loader(spark, d):
-    """Parts' names by their types, written as a lexicon file and read again."""
+    """Parts' names, their types as categories, written as a lexicon file and read again."""
     path = fresh_dir(spark, "lexicon")
-    sinks.write_csv(_t(spark, d, "part").select(F.col("p_name").alias("Word"), F.col("p_type").alias("SENTIMENT")), path)
-    found = readers.lexicon_csv(spark, path)
-    return found.select("word", *[(F.col(f"`{c}`") if c in found.columns else F.lit(0)).alias(c.lower()) for c in ("ECONOMY", "PROMO", "STANDARD")])
+    feelings = F.create_map(*[F.lit(x) for kv in _FEELINGS.items() for x in kv])
+    sinks.write_csv(_t(spark, d, "part").select(F.col("p_name").alias("Word"), feelings[F.col("p_type")].alias("SENTIMENT")), path)
+    return readers.lexicon_csv(spark, path).select("word", *[c.strip().lower() for c in _FEELINGS.values()])
 
 
 @query("graph_round_trip", """SELECT '#s' || s_suppkey AS id, 'name' AS key, 0 AS ord, s_name || ' "x"' AS value, NULL AS ref FROM supplier

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import re
 import zipfile
 from collections.abc import Iterator
 from functools import reduce
@@ -18,6 +17,7 @@ from ..operators import graph
 from ..operators.selection import header_names
 from ..operators.sentiment import LexiconError, lexicon
 from ..plans.staging import running, stage
+from . import office
 
 SKIPPED_FOLDERS = r"(^|/)(\.[^/]+|node_modules|_config|_backups)/"
 READABLE = ("txt", "md", "markdown", "docx", "pdf")
@@ -153,38 +153,11 @@ def crate(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 # -- office files --------------------------------------------------------------------------------------------------------------------
 
-W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
-S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
-
 
 def docx_blocks(content: bytes) -> list[tuple[int, str, str]]:
     """(order, tag, text) of a document's body: h1 to h6, p, caption, and tr for table rows (cells divided by tabs)."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        body = ElementTree.fromstring(z.read("word/document.xml")).find(f"{W}body")
-
-    def words(node) -> str:
-        out = []
-        for x in node.iter():
-            if x.tag == f"{W}t":
-                out.append(x.text or "")
-            elif x.tag == f"{W}tab":
-                out.append("\t")
-            elif x.tag in (f"{W}br", f"{W}cr"):
-                out.append("\n")
-        return "".join(out)
-
-    out: list[tuple[int, str, str]] = []
-    for node in body if body is not None else []:
-        if node.tag == f"{W}p":
-            style = node.find(f"{W}pPr/{W}pStyle")
-            name = (style.get(f"{W}val") if style is not None else "") or ""
-            m = re.match(r"(?i)heading\s*([1-6])$", name)
-            out.append((len(out), f"h{m[1]}" if m else "caption" if name.lower() == "caption" else "p", words(node)))
-        elif node.tag == f"{W}tbl":
-            for row in node.iter(f"{W}tr"):
-                out.append((len(out), "tr", "\t".join(" ".join(words(p) for p in cell.iter(f"{W}p")) for cell in row.findall(f"{W}tc"))))
-    return out
+        return list(office.document_blocks(z))
 
 
 def _blocks(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -212,25 +185,9 @@ def docx_text(blocks: DataFrame) -> DataFrame:
 def xlsx_rows(content: bytes) -> list[tuple[str, int, list[str]]]:
     """(sheet, row number, cells as text) of a workbook."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
-        names = z.namelist()
-        shared = [] if "xl/sharedStrings.xml" not in names else ["".join(t.text or "" for t in si.iter(f"{S}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).findall(f"{S}si")]
-        links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        out = []
-        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{S}sheet"):
-            target = links[sheet.get(f"{R}id")].lstrip("/")
-            root = ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}"))
-            for row in root.iter(f"{S}row"):
-                cells: dict[int, str] = {}
-                for c in row.findall(f"{S}c"):
-                    letters = re.match(r"[A-Z]+", c.get("r", "A"))[0]
-                    k = 0
-                    for x in letters:
-                        k = k * 26 + ord(x) - 64
-                    kind, v = c.get("t"), c.find(f"{S}v")
-                    text = "".join(t.text or "" for t in c.iter(f"{S}t")) if kind == "inlineStr" else (v.text or "") if v is not None else ""
-                    cells[k - 1] = shared[int(text)] if kind == "s" and text else {"1": "TRUE", "0": "FALSE"}.get(text, text) if kind == "b" else text
-                out.append((sheet.get("name"), int(row.get("r", len(out) + 1)), [cells.get(i, "") for i in range(max(cells, default=-1) + 1)]))
-    return out
+        strings = office.shared_strings(z)
+        rows = ((name, number, cells) for name, member in office.sheets(z) for number, cells in office.sheet_rows(z, member, strings))
+        return [(name, number, [cells.get(k, "") for k in range(max(cells, default=-1) + 1)]) for name, number, cells in rows]
 
 
 def xlsx(files: DataFrame) -> DataFrame:
