@@ -84,6 +84,12 @@ def bigram_assoc(spark, d):
     return _rounded(ngrams.analyze(documents(spark, d), 2, 2), "mi", "t")
 
 
+@query("bigram_ranked", f"SELECT ngram, n_count, mi, t FROM ({_assoc_sql(False)}) ORDER BY n_count DESC, first_line, first_pos LIMIT 200")
+def bigram_ranked(spark, d):
+    """The 200 most frequent bigrams, ties by first appearance."""
+    return _rounded(ngrams.ranked(ngrams.analyze(documents(spark, d), 2, 2)).limit(200).select("ngram", "n_count", "mi", "t"), "mi", "t")
+
+
 @query("bigram_nostop", _assoc_sql(True))
 def bigram_nostop(spark, d):
     return _rounded(ngrams.analyze(documents(spark, d), 2, 2, ENGLISH), "mi", "t")

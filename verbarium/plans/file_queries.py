@@ -81,6 +81,15 @@ def lexicon_loader(spark, d):
     return readers.lexicon_csv(spark, path).select("word", *[c.strip().lower() for c in _FEELINGS.values()])
 
 
+@query("decoded_files", "SELECT c_custkey, c_name || ' é 日 😀' AS text FROM customer")
+def decoded_files(spark, d):
+    """Contents in the encodings that a byte order mark names, and without one."""
+    text = F.concat("c_name", F.lit(" é 日 😀"))
+    made = [F.concat(F.unhex(F.lit(mark)), F.encode(text, code)) for mark, code in (("", "UTF-8"), ("EFBBBF", "UTF-8"), ("FFFE", "UTF-16LE"), ("FEFF", "UTF-16BE"))]
+    content = F.element_at(F.array(*made), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return _t(spark, d, "customer").select("c_custkey", readers.decode(content).alias("text"))
+
+
 @query("graph_round_trip", """SELECT '#s' || s_suppkey AS id, 'name' AS key, 0 AS ord, s_name || ' "x"' AS value, NULL AS ref FROM supplier
 UNION ALL SELECT '#s' || s_suppkey, 'nation', 0, NULL, '#n' || s_nationkey FROM supplier UNION ALL SELECT '#s' || s_suppkey, 'nation', 1, NULL, '#n' || (s_nationkey + 1) FROM supplier""")
 def graph_round_trip(spark, d):
