@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.staging import discard, fresh_dir, publish, published, ship
+from ..plans.staging import discard, fresh_dir, publish, published, ship, spread
 from .topics import RESIDUAL, SEED_BOOST
 
 #: Terms that a model takes at most: 1.6 MB of weights a topic.
@@ -57,7 +57,7 @@ def improved(gamma: np.ndarray, counts: np.ndarray, beta: np.ndarray, alpha: flo
     """A document's topic weights, from `gamma` on; beta: exponents of the expected logarithms of its terms, topics by terms."""
     for _ in range(ROUNDS):
         theta = np.exp(expected_log(gamma))
-        after = alpha + theta * (beta @ (counts / (theta @ beta + 1e-300)))
+        after = alpha + theta * np.einsum("kn,n->k", beta, counts / (np.einsum("k,kn->n", theta, beta) + 1e-300))  # too small for a linear algebra library's threads
         change, gamma = np.abs(after - gamma).mean(), after
         if change < ENOUGH:
             break
@@ -68,9 +68,9 @@ def share(gamma: np.ndarray, counts: np.ndarray, beta: np.ndarray, alpha: float)
     """How much of each term each topic takes, and the document's part of the objective."""
     logs = expected_log(gamma)
     theta = np.exp(logs)
-    norm = theta @ beta + 1e-300
+    norm = np.einsum("k,kn->n", theta, beta) + 1e-300
     k = len(gamma)
-    part = counts @ np.log(norm) + ((alpha - gamma) * logs).sum() + log_gamma(gamma).sum() - k * log_gamma(np.array(alpha)) + log_gamma(np.array(k * alpha)) - log_gamma(gamma.sum())
+    part = (counts * np.log(norm)).sum() + ((alpha - gamma) * logs).sum() + log_gamma(gamma).sum() - k * log_gamma(np.array(alpha)) + log_gamma(np.array(k * alpha)) - log_gamma(gamma.sum())
     return theta[:, None] * beta * (counts / norm), float(part)
 
 
@@ -142,7 +142,7 @@ def fit(encoded: DataFrame, vocab: DataFrame, k: int = 5, seeds: list[tuple[str,
     lists = counts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("place", "n"))).alias("t"))
     docs = lists.select("id", F.col("t.place").alias("terms"), F.col("t.n").alias("counts"), F.array_repeat(F.lit(1.0), k).alias("gamma"))
     path, objective = _staged(docs), []
-    docs = spark.read.parquet(path)
+    docs = spread(spark.read.parquet(path))
     for n in range(iterations if chosen else 0):
         uri = publish(spark, "model", np.exp(expected_log(model)))
         before, path = path, _staged(_step(docs, uri, alpha))
