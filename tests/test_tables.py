@@ -134,6 +134,31 @@ def test_publish_never_stops_short(make):
     assert {r.id: r.kept for r in graph.publish_subset(*make([(x, "X") for x in chain], props)).collect()} == {"a": True, "b": True, "c": False}
 
 
+def test_publish_of_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    from verbarium.plans import ranking
+
+    n, rounds = 100_000, []
+    staged = ranking.stage
+    monkeypatch.setattr(ranking, "stage", lambda df, name: rounds.append(name) or staged(df, name))
+    ident = lambda c: F.concat(F.lit("#"), c.cast("string"))
+    k = spark.range(1, n + 1)
+    up = F.when(F.col("id") == 1, "./").otherwise(ident(F.col("id") - 1))
+    none = F.lit(None).cast("string")
+    entity = k.select(ident(F.col("id")).alias("id"), F.array(F.lit("X")).alias("types"))
+    link = k.select(up.alias("id"), F.lit("hasPart").alias("key"), F.lit(0).alias("ord"), none.alias("value"), ident(F.col("id")).alias("ref"))
+    flags = spark.createDataFrame([("#10", "true"), (f"#{n // 2}", "false"), (f"#{n // 2 + 5}", "true"), (f"#{n // 2 + 9}", "false")], "id string, value string")
+    link = link.union(flags.select("id", F.lit(graph.PUBLISH).alias("key"), F.lit(0).alias("ord"), "value", none.alias("ref")))
+    out = graph.publish_subset(entity, link)
+    assert out.agg(F.count(F.lit(1)), F.max("depth"), F.sum(F.col("kept").cast("int")), F.sum(F.col("effective").cast("int"))).first()[:] == (n, n, n // 2 + 8, n // 2 - 10 + 4)
+    assert len(rounds) <= 2 * 19
+
+
+def test_publish_ignores_what_hangs_on_rings_elsewhere(make):
+    props = [("./", "hasPart", ("a",)), ("a", "custom:publish", "true"), ("x", "hasPart", ("y",)), ("y", "hasPart", ("x",)), ("y", "hasPart", ("z",)), ("gone", "hasPart", ("w",)), ("z", "hasPart", ("m",)), ("a", "hasPart", ("m",))]
+    got = graph.publish_subset(*make([(x, "X") for x in ["./", *"axyzwm"]], props)).collect()
+    assert {(r.id, r.parent, r.depth, r.kept) for r in got} == {("a", "./", 1, True), ("m", "a", 2, True)}
+
+
 def test_long_custom_properties_stay_apart(make):
     long = ["z" * 1500 + x for x in "ab"]
     _, p = graph.custom_properties(*make([("x", "File")], [("x", f"custom:{k}", "1") for k in long]))

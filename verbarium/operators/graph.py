@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import itertools
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import slug, trim
-from ..plans.staging import stage
+from ..plans.ranking import forest_sums, forest_walk
+from ..plans.staging import running, stage
 
 ENTITY, PROP = "id string, types array<string>", "id string, key string, ord int, value string, ref string"
 #: fixed values: what is structure in a scanned folder
@@ -244,45 +244,60 @@ def custom_properties(entity: DataFrame, prop: DataFrame) -> tuple[DataFrame, Da
 
 
 def children(prop: DataFrame) -> DataFrame:
-    """parent, child, ord: links down, and links up read the other way; down comes first."""
+    """parent, child, k, ord: links down, and links up read the other way; siblings are in the order of (k, ord, child), down comes first."""
     down = prop.where(F.col("ref").isNotNull() & F.col("key").isin(MEMBERS)).select(F.col("id").alias("parent"), F.col("ref").alias("child"), F.array_position(F.array(*map(F.lit, MEMBERS)), F.col("key")).alias("k"), "ord")
     up = prop.where(F.col("ref").isNotNull() & F.col("key").isin(MEMBER_OF)).select(F.col("ref").alias("parent"), F.col("id").alias("child"), (F.array_position(F.array(*map(F.lit, MEMBER_OF)), F.col("key")) + 10).alias("k"), F.lit(0).alias("ord"))
-    first = down.union(up).groupBy("parent", "child").agg(F.min(F.struct("k", "ord", "child")).alias("o"))
-    return first.select("parent", "child", (F.row_number().over(Window.partitionBy("parent").orderBy("o")) - 1).alias("ord"))
+    return down.union(up).groupBy("parent", "child").agg(F.min(F.struct("k", "ord")).alias("o")).select("parent", "child", "o.k", "o.ord")
 
 
 def publish_subset(entity: DataFrame, prop: DataFrame, root: str = ROOT, most_depth: int | None = None) -> DataFrame:
-    """id, path, effective, kept of everything below the root.
+    """id, parent, depth, effective, kept of everything below the root.
 
-    An own flag wins, else the nearest ancestor's. With several parents the first in depth-first order counts: that is the least path of child
-    numbers, so each round lengthens the paths of the nodes that changed and keeps the least of each node. Ancestors of kept nodes, whose
-    paths are prefixes of theirs, stay as shells. A cycle only makes longer paths, which never win, so the rounds end by themselves; a bound on
-    them, where given, is an error if it is met.
+    An own flag wins, else the nearest ancestor's. With several parents the first in depth-first order counts; ancestors of kept nodes stay as shells.
+
+    Nodes with one parent make trees below the root and below the nodes with several. Inside a tree everything (nearest flags, depths, depth-first numbers)
+    comes by pointer jumping, so a chain of n nodes takes some log2(n) rounds and no paths. A node with several parents hangs in trees by slots, leaves
+    that are numbered depth-first; its path is the list of the slots on the way, and the least path of each is found in rounds over these nodes alone.
+    A cycle only makes longer paths, which never win, so the rounds end by themselves; a bound on the depth, where given, is an error if it is met.
     """
-    links = stage(children(prop).join(entity.select(F.col("id").alias("child")), "child", "left_semi"), "children")
+    links = stage(children(prop).where(F.col("child") != root).join(entity.select(F.col("id").alias("child")), "child", "left_semi"), "children")
     flag = F.lower(F.trim(F.min_by("value", "ord")))
-    own = prop.where(F.col("key") == PUBLISH).groupBy(F.col("id").alias("child")).agg(F.when(flag == "true", True).when(flag == "false", False).alias("own"))
+    own = prop.where(F.col("key") == PUBLISH).groupBy(F.col("id").alias("owner")).agg(F.when(flag == "true", True).when(flag == "false", False).alias("own"))
+    real = lambda c: F.concat(F.lit("n"), c)
+    many = stage(links.groupBy("child").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("child").alias("many")), "many")
+    slot = F.concat(F.lit("s"), F.length("parent").cast("string"), F.lit(":"), "parent", "child")
+    items = links.join(many, F.col("child") == F.col("many"), "left").select(F.when(F.col("many").isNull(), real("child")).otherwise(slot).alias("node"), real("parent").alias("parent"), "child", "k", "ord", "many")
+    items = stage(items.join(own, F.col("many").isNull() & (F.col("child") == F.col("owner")), "left").drop("owner"), "items")
     spark = entity.sparkSession
-    start = spark.createDataFrame([(root,)], "child string").join(own, "child", "left").select(F.col("child").alias("id"), F.lit("").alias("path"), F.col("own").alias("effective"))
-    known = stage(start, "paths")
-    fresh = known
-    for depth in itertools.count():
-        if depth == most_depth:
-            raise ValueError(f"the graph is deeper than {most_depth} levels")
-        step = fresh.join(links, fresh["id"] == links["parent"]).select("child", F.concat("path", F.format_string("/%08d", "ord")).alias("path"), F.col("effective").alias("inherited"))
-        best = step.groupBy("child").agg(F.min(F.struct("path", "inherited")).alias("b")).join(own, "child", "left")
-        best = best.select(F.col("child").alias("id"), F.col("b.path").alias("path"), F.coalesce("own", "b.inherited").alias("effective"))
-        both = known.withColumn("new", F.lit(False)).union(best.withColumn("new", F.lit(True)))
-        merged = stage(both.groupBy("id").agg(F.min(F.struct("path", "new", "effective")).alias("b")).select("id", "b.path", "b.effective", "b.new"), "paths")
-        known, fresh = merged.drop("new"), merged.where("new").drop("new")
-        if not fresh.limit(1).count():
-            break
-    below = known.where(F.col("id") != root)
-    chosen = below.where("effective")
-    steps = F.split(F.substring("path", F.lit(2), F.length("path")), "/")
-    prefix = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(steps, F.lit(1), n), "/")))
-    shells = chosen.select(F.explode(prefix).alias("path")).distinct().withColumn("kept", F.lit(True))
-    return below.join(shells, "path", "left").select("id", "path", "effective", F.coalesce("kept", F.lit(False)).alias("kept"))
+    heads = many.select(F.col("many").alias("child")).union(spark.createDataFrame([(root,)], "child string"))
+    tops = heads.join(own, F.col("child") == F.col("owner"), "left").select(real("child").alias("node"), F.lit(None).cast("string").alias("parent"), "own", F.lit(0).alias("off"), F.lit(0).alias("depth"))
+    forked = not many.isEmpty()
+    numbered = items.withColumn("off", F.lit(0))
+    if forked:  # only slots are compared, so only then are numbers needed
+        sizes = forest_sums(items.select("node", "parent", F.lit(1).alias("size")).union(tops.select("node", "parent", F.lit(0).alias("size"))), ["size"])
+        numbered = running(items.join(sizes, "node"), ["parent"], ["k", "ord", "child"], "size").withColumn("off", F.col("before") + 1)
+    tree = numbered.select("node", "parent", "own", "off", F.lit(1).alias("depth")).unionByName(tops)
+    walked = stage(forest_walk(tree, ["off", "depth"], ["own"]), "walked")
+    known = stage(spark.createDataFrame([(f"n{root}", [], None, 0, None)], "top string, path array<bigint>, inherited boolean, start bigint, via string"), "paths")
+    if forked:
+        slots = stage(items.where("many IS NOT NULL").select("node", F.col("parent").alias("from"), real("child").alias("target")).join(walked, "node").select(F.col("top").alias("in"), "off", "depth", "own", "from", "target"), "slots")
+        fresh = known
+        while not fresh.isEmpty():
+            step = fresh.join(slots, F.col("top") == F.col("in")).select("target", F.concat("path", F.array("off")).alias("path"), F.coalesce("own", "inherited").alias("inherited"), (F.col("start") + F.col("depth")).alias("start"), F.col("from").alias("via"))
+            found = step.select(F.col("target").alias("top"), "path", F.lit(True).alias("new"), "inherited", "start", "via")
+            both = known.select("top", "path", F.lit(False).alias("new"), "inherited", "start", "via").union(found)
+            merged = stage(both.groupBy("top").agg(F.min(F.struct("path", "new", "inherited", "start", "via")).alias("b")).select("top", "b.*"), "paths")
+            known, fresh = merged.drop("new"), merged.where("new").drop("new")
+    single = walked.where(F.col("node").startswith("n")).join(known.drop("path"), "top")
+    up = items.where("many IS NULL").select("node", "parent")
+    placed = single.join(up, "node", "left").select("node", F.coalesce("parent", "via").alias("parent"), (F.col("start") + F.col("depth")).alias("depth"), F.coalesce("own", "inherited").alias("effective"))
+    placed = stage(placed, "placed")
+    if most_depth is not None and not placed.where(F.col("depth") > most_depth).isEmpty():
+        raise ValueError(f"the graph is deeper than {most_depth} levels")
+    chosen = forest_sums(placed.select("node", "parent", F.coalesce(F.col("effective").cast("int"), F.lit(0)).alias("chosen")), ["chosen"])
+    name = lambda c: F.substring(c, F.lit(2), F.length(c))
+    below = placed.where(F.col("node") != f"n{root}").join(chosen, "node")
+    return below.select(name("node").alias("id"), name("parent").alias("parent"), "depth", "effective", (F.col("chosen") > 0).alias("kept"))
 
 
 def published(entity: DataFrame, prop: DataFrame, root: str = ROOT) -> tuple[DataFrame, DataFrame]:
