@@ -353,9 +353,8 @@ def exact(text: str) -> str:
     return re.sub(r"([\\^$.*+?()\[\]{}|/\-])", r"\\\1", text)
 
 
-def row_pattern(samples: list[dict], fields: tuple[str, ...], optional: tuple[str, ...] = ()) -> dict:
-    """A row's pattern from samples {line, spans: [{field, start, end}]}. Fields must keep their order; text between them that all samples
-    share is taken as it is, blanks as blanks, other text as its shape; a field that some sample lacks is optional."""
+def field_order(samples: list[dict]) -> tuple[list[str], set[str]]:
+    """The fields in the order that all samples keep, and those that some sample lacks."""
     orders = [[s["field"] for s in sorted(x["spans"], key=lambda s: s["start"])] for x in samples]
     order: list[str] = []
     for o in orders:
@@ -369,16 +368,29 @@ def row_pattern(samples: list[dict], fields: tuple[str, ...], optional: tuple[st
             else:
                 order.insert(at, f)
                 at += 1
-    missing = {f for f in order if any(f not in o for o in orders)} | set(optional)
-
-    def gap(before: str | None, field: str) -> str:
-        found = set()
-        for x in samples:
-            spans = sorted(x["spans"], key=lambda s: s["start"])
-            names = [s["field"] for s in spans]
-            if field in names:
-                k = names.index(field)
-                found.add(x["line"][spans[k - 1]["end"] if k else 0 : spans[k]["start"]])
+    return order, {f for f in order if any(f not in o for o in orders)}
+
+
+def gaps_before(samples: list[dict], field: str) -> list[str]:
+    """The text between a field and what was marked before it, in each sample that has the field."""
+    found = []
+    for x in samples:
+        spans = sorted(x["spans"], key=lambda s: s["start"])
+        names = [s["field"] for s in spans]
+        if field in names:
+            k = names.index(field)
+            found.append(x["line"][spans[k - 1]["end"] if k else 0 : spans[k]["start"]])
+    return found
+
+
+def row_pattern(samples: list[dict], fields: tuple[str, ...], optional: tuple[str, ...] = ()) -> dict:
+    """A row's pattern from samples {line, spans: [{field, start, end}]}. Fields must keep their order; text between them that all samples
+    share is taken as it is, blanks as blanks, other text as its shape; a field that some sample lacks is optional."""
+    order, lacking = field_order(samples)
+    missing = lacking | set(optional)
+
+    def gap(field: str) -> str:
+        found = set(gaps_before(samples, field))
         if len(found) == 1:
             g = found.pop()
             return re.sub(r"(?:\\?[\t ])+", r"[\\t ]+", exact(g)) if g.strip() else (r"[\t ]+" if g else "")
@@ -387,7 +399,7 @@ def row_pattern(samples: list[dict], fields: tuple[str, ...], optional: tuple[st
     out, start = "^", None
     for k, f in enumerate(order):
         body = r"\d+" if f == "turn" else r"\S+" if f in ("code", "id", "speaker") else ".*" if k == len(order) - 1 else ".*?"
-        part = f"{gap(order[k - 1] if k else None, f)}(?<{f}>{body})"
+        part = f"{gap(f)}(?<{f}>{body})"
         out += f"(?:{part})?" if f in missing else part
         if k == 0 and f == "turn":
             start = f"^{part}"

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import charts, grammar, graph, names, transcripts
+from ..operators import charts, grammar, graph, induction, names, transcripts
 from .staging import spread
 
 QUERIES: dict = {}
@@ -349,6 +349,37 @@ def grammar_roles(spark, d):
     return grammar.parse(grammar.read_lines(_numbered(spark, d)), GRAMMAR).groupBy("role").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _coded(spark, d, numbered: bool):
+    """doc, line_no, line of half of the conversations, numbered or coded, each turn followed by a comment; and four marked turns."""
+    c = _t(spark, d, "conversations").where(F.col("conv_id") % 2 == (0 if numbered else 1)).select(F.col("conv_id").cast("string").alias("doc"), "turn", F.coalesce("role", F.lit("?")).alias("role"), F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")).alias("text"))
+    n = F.col("turn").cast("string")
+    line = F.concat(n, F.lit("\t"), "role", F.lit(": "), "text") if numbered else F.concat(F.lit("["), "role", F.lit("-"), n, F.lit("] "), "text")
+    lines = c.select("doc", F.explode(F.array(F.struct((F.col("turn") * 2).alias("line_no"), line.alias("line")), F.struct((F.col("turn") * 2 + 1).alias("line_no"), F.lit("% note").alias("line")))).alias("l")).select("doc", "l.*")
+    marked = []
+    for r in c.orderBy("doc", "turn", "role", "text").limit(4).collect():
+        spans, at, text = [], 0, ""
+        for before, field, value in [("", "turn", str(r.turn)), ("\t", "speaker", r.role), (": ", "text", r.text)] if numbered else [("[", "speaker", r.role), ("-", "turn", str(r.turn)), ("] ", "text", r.text)]:
+            text += before + value
+            at = len(text)
+            spans.append({"field": field, "start": at - len(value), "end": at})
+        marked.append({"line": text, "spans": spans})
+    return lines, marked
+
+
+@query("induced_turns", r"""
+SELECT CAST(conv_id AS VARCHAR) AS doc, CAST(turn AS VARCHAR) AS turn_number, '#' || coalesce(role, '?') AS speaker_id, trim(regexp_replace(coalesce(text, ''), '[ \t\n\x0B\f\r]+', ' ', 'g')) AS text
+FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL""")
+def induced_turns(spark, d):
+    """Turns of two transcript layouts, by row patterns induced from four marked turns each and tried on all lines."""
+    out = []
+    for numbered in (True, False):
+        lines, marked = _coded(spark, d, numbered)
+        row = induction.induce(lines.where("line <> '% note'"), marked) if marked else {"pattern": "^$"}
+        g = {"version": 1, "name": "induced", "regions": {"layout": {"header": False, "speakers": False, "markers": False}}, "ignore": ["^% note$"], "turnRow": row}
+        out.append(grammar.rows(grammar.parse(lines.where("doc IS NOT NULL AND line_no IS NOT NULL"), g)).select("doc", "turn_number", "speaker_id", "text"))
+    return out[0].unionByName(out[1])
+
+
 # -- names and places ------------------------------------------------------------------------------------------------------------------
 
 PEOPLE = ["The Heat", "Wh Ha", "De la", "Tion Er", "Les des", "La que"]
