@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import charts, grammar, graph, induction, names, transcripts
+from ..operators import charts, grammar, graph, induction, names, tagger, transcripts
 from .staging import spread
 
 QUERIES: dict = {}
@@ -394,6 +394,14 @@ def name_match(spark, d):
     return names.find_names(docs, names.people_list(lines)).select("doc", "name")
 
 
+@query("tagged_names")
+def tagged_names(spark, d):
+    """Names in all documents by a tagger that the list's mentions in all documents have taught; SQL can't express it."""
+    lines = spark.createDataFrame(list(enumerate(PEOPLE)), "line_no long, line string")
+    docs = spread(_t(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text"))
+    return tagger.recognise(docs, tagger.fit(docs, names.people_list(lines)))
+
+
 @query("place_rank", """SELECT 'nation_' || n_nationkey AS name, n_name AS matched, CAST(n_nationkey AS DOUBLE) AS latitude, CAST(n_regionkey AS DOUBLE) AS longitude, true AS exact, 400 AS rank FROM nation""")
 def place_rank(spark, d):
     n = _t(spark, d, "nation")
