@@ -396,10 +396,10 @@ def name_match(spark, d):
 
 @query("tagged_names")
 def tagged_names(spark, d):
-    """Names in all documents by a tagger that the list's mentions in all documents have taught; SQL can't express it."""
-    lines = spark.createDataFrame(list(enumerate(PEOPLE)), "line_no long, line string")
+    """Names in all documents by a tagger. Its list are the runs of two or more capitalised words that two documents share; it finds others that stand like them. SQL can't express it."""
     docs = spread(_t(spark, d, "documents").select(F.col("doc_id").alias("doc"), "text"))
-    return tagger.recognise(docs, tagger.fit(docs, names.people_list(lines)))
+    seen = names.candidate_names(docs).where("name LIKE '% %'").groupBy(names.name_key("name").alias("key")).agg(F.min("name").alias("name"), F.countDistinct("doc").alias("n"))
+    return tagger.recognise(docs, tagger.fit(docs, seen.where("n > 1").select("name", "key")))
 
 
 @query("place_rank", """SELECT 'nation_' || n_nationkey AS name, n_name AS matched, CAST(n_nationkey AS DOUBLE) AS latitude, CAST(n_regionkey AS DOUBLE) AS longitude, true AS exact, 400 AS rank FROM nation""")
