@@ -277,8 +277,8 @@ def publish_subset(entity: DataFrame, prop: DataFrame, root: str = ROOT, most_de
         sizes = forest_sums(items.select("node", "parent", F.lit(1).alias("size")).union(tops.select("node", "parent", F.lit(0).alias("size"))), ["size"])
         numbered = running(items.join(sizes, "node"), ["parent"], ["k", "ord", "child"], "size").withColumn("off", F.col("before") + 1)
     tree = numbered.select("node", "parent", "own", "off", F.lit(1).alias("depth")).unionByName(tops)
-    walked = stage(forest_walk(tree, ["off", "depth"], ["own"]), "walked")
-    known = stage(spark.createDataFrame([(f"n{root}", [], None, 0, None)], "top string, path array<bigint>, inherited boolean, start bigint, via string"), "paths")
+    walked = forest_walk(tree, ["off", "depth"], ["own"])
+    known = spark.createDataFrame([(f"n{root}", [], None, 0, None)], "top string, path array<bigint>, inherited boolean, start bigint, via string")
     if forked:
         slots = stage(items.where("many IS NOT NULL").select("node", F.col("parent").alias("from"), real("child").alias("target")).join(walked, "node").select(F.col("top").alias("in"), "off", "depth", "own", "from", "target"), "slots")
         fresh = known
