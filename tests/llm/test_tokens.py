@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import time
 import zlib
 
 import numpy as np
@@ -108,6 +109,60 @@ def test_any_text(texts):
     same_as_library(e, texts)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aAéÉĀ9²'!‐stmdrvelL", max_size=12), max_size=4))
+def test_words_of_lines(lines):
+    assert B.words_of(lines).to_pylist() == [w for x in lines for w in [*B.WORDS.findall(x.lower()), "\n"]]
+
+
+def test_ranks_of_pairs(words):
+    m = words.merger
+    rng = np.random.default_rng(4)
+    known = np.array(list(m.pairs), dtype=np.uint64)
+    a, b = np.append(known >> np.uint64(20), rng.integers(0, 49_000, 50_000, dtype=np.uint64)), np.append(known & np.uint64(0xFFFFF), rng.integers(0, 49_000, 50_000, dtype=np.uint64))
+    assert m._ranks(a, b).tolist() == [m.pairs[k] >> 20 if k in m.pairs else m.NONE for k in (a << np.uint64(20) | b).tolist()]
+
+
+def made_up(n, seed=3):
+    rng = np.random.default_rng(seed)
+    parts = ["er", "th", "an", "tion", "ción", "ß", "Sch", "o", "ndh", "'s", "9", "ly", "ll", "$$", "é"]
+    return ["".join(parts[k] for k in rng.integers(0, len(parts), rng.integers(1, 9))) for _ in range(n)]
+
+
+def test_words_of_every_width(words):
+    letters = [("etaoinshrdlu" * 60)[k % 7 : k % 7 + k] for k in range(1, 70)]
+    same_as_library(words, [" ".join(letters), *letters, *(x + "é" for x in letters), " ".join(made_up(3000)), "é" * 24, "é" * 25])
+
+
+def test_unseen_pieces_in_slices(words, monkeypatch):
+    monkeypatch.setattr(B, "AT_ONCE", 50)
+    same_as_library(words, ["", " ".join(made_up(300)), "日本 " * 3 + "x" * 120 + " 😀", "x" * 49, "y" * 50 + " z"])
+
+
+def test_unseen_words_are_merged_together(words):
+    """Merging the words that no lexicon holds takes well under the CPU time of the library, word by word or text by text."""
+    ours, theirs = [], []
+    for seed in range(3):  # new words each time, so that remembering them is no help
+        text = " ".join(made_up(60_000, seed))
+        at = time.process_time()
+        flat, _ = words.encode_batch(pa.array([text]))
+        ours.append(time.process_time() - at)
+        at = time.process_time()
+        ids = words.library.encode(text, add_special_tokens=False).ids
+        theirs.append(time.process_time() - at)
+        assert flat.tolist() == ids
+    assert 2.5 * min(ours) < min(theirs)
+
+
+def test_packing_merges_together(words, monkeypatch):
+    """Packing's encoder merges words by the matrix, a call for each batch."""
+    calls = []
+    e, merge = B.encoder(), B.Merger.merge
+    monkeypatch.setattr(B.Merger, "merge", lambda self, starts, *more: calls.append(len(starts)) or merge(self, starts, *more))
+    e.encode_batch(pa.array([" ".join(made_up(500)), "the end"]))
+    assert len(calls) == 1 and calls[0] > 100
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.binary(min_size=1, max_size=8), st.lists(st.integers(0, 60_000), max_size=4), max_size=60), st.lists(st.binary(max_size=9), max_size=10))
 def test_automaton(table, others):

@@ -2,7 +2,7 @@
 
 White-space pieces and words of the whole corpus are counted; the most frequent ones (a bounded number) are compiled, with the ids of
 their tokens, into a minimal acyclic transducer, which executors map into memory. Words that are not in it are merged exactly, pair by pair
-in the order of the vocabulary's merges, and each worker remembers a bounded number of them.
+in the order of the vocabulary's merges: the distinct ones of a batch all at once, as rows of a matrix.
 
 Normalising, splitting and merging are done here for the characters of PLAIN, for which the tests compare them with the library one by one;
 a piece with any other character is given to the library.
@@ -19,7 +19,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Iterator
-from struct import pack
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,14 +33,44 @@ from .common import as_texts, map_batches, open_mapped, publish, resident, small
 VOCABULARY = "word_bpe_49k.json"
 #: White-space pieces, and words, in the transducer at most.
 LEXICON = 1 << 18
-#: Merged words that a worker remembers at most.
-CACHE = 200_000
+#: Bytes of words that are merged in matrices of that width; longer words are merged one by one.
+WIDTHS = (4, 8, 12, 16, 24, 32, 48)
+#: Bytes of pieces that are split and merged at once, or one piece.
+AT_ONCE = 1 << 22
 
 PLAIN = re.compile(r"[\x21-\x7e¡-įı-ž‐-‧‰-⁞₠-₿]*")
+NOT_PLAIN = r"[^\x21-\x7e¡-įı-ž‐-‧‰-⁞₠-₿]"
 #: What Python splits at as white space and the library does not, or the other way round: such texts go to the library whole.
 ODD_SPACES = ("\x1c", "\x1d", "\x1e", "\x1f", "\x85")
 #: The vocabulary's word pattern, for lower-cased text of PLAIN characters.
-WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįıĳĵķĸĺļľŀłńņňŉŋōŏőœŕŗřśŝşšţťŧũūŭůűųŵŷźżž]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿā-ž0-9²³¹¼½¾]+")
+LETTERS, DIGITS = "a-zªµºß-öø-ÿāăąćĉċčďđēĕėęěĝğġģĥħĩīĭįıĳĵķĸĺļľŀłńņňŉŋōŏőœŕŗřśŝşšţťŧũūŭůűųŵŷźżž", "0-9²³¹¼½¾"
+WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{DIGITS}]|[^a-zªµºß-öø-ÿā-ž0-9²³¹¼½¾]+")
+
+
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Of each plain character: 0 for a line end, 1 for a letter, 2 for a digit, 3 for others."""
+    letter, digit = re.compile(f"[{LETTERS}]"), re.compile(f"[{DIGITS}]")
+    return np.array([0 if c == "\n" else 1 if letter.match(c) else 2 if digit.match(c) else 3 for c in map(chr, range(0x2100))], dtype=np.uint8)
+
+
+def words_of(lines: list[str]) -> pa.Array:
+    """What WORDS finds in lines of plain characters, lower-cased, line after line, each followed by a line end."""
+    text = "\n".join([*lines, ""]).lower()
+    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    kind = _kinds()[codes]
+    begins = np.append(True, kind[1:] != kind[:-1])[: len(codes)] | (kind == 0) | (kind == 2)
+    # an apostrophe that begins a word may be that of 's 't 'm 'd 're 've 'll
+    after = np.append(codes, [0, 0])
+    mark = np.flatnonzero((codes == ord("'")) & begins)
+    a, b = after[mark + 1], after[mark + 2]
+    for found, size in ((np.isin(a, [*map(ord, "stmd")]), 2), (np.isin(a, [*map(ord, "rv")]) & (b == ord("e")) | (a == ord("l")) & (b == ord("l")), 3)):
+        begins[mark[found] + 1] = False
+        begins[mark[found] + size] = True
+    width = 1 + (codes >= 0x80) + (codes >= 0x800)
+    ends = np.cumsum(width)
+    offsets = np.append((ends - width)[begins], ends[-1:] if len(ends) else 0).astype(np.int32)
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(text.encode()))
 
 
 def odd(text: str) -> bool:
@@ -55,7 +85,10 @@ def byte_alphabet() -> list[str]:
 
 
 class Merger:
-    """Ids of one word by the vocabulary's merges."""
+    """Ids of words by the vocabulary's merges."""
+
+    #: No symbol, and no rank.
+    PAD, NONE = np.uint64((1 << 20) - 1), np.int32((1 << 31) - 1)
 
     def __init__(self, json_name: str = VOCABULARY):
         import public_tokenizers
@@ -71,6 +104,80 @@ class Merger:
         for rank, merge in enumerate(model["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             self.pairs[self.vocab[a] << 20 | self.vocab[b]] = rank << 20 | self.vocab[a + b]
+        self.table()
+
+    def table(self) -> None:
+        """The same for arrays: an open hash table from pairs to ranks, and from ranks to what the merge makes."""
+        size = 1 << max(10, (4 * len(self.pairs)).bit_length())
+        self.shift, self.keys, self.ranks = np.uint64(64 - size.bit_length() + 1), np.full(size, (1 << 64) - 1, dtype=np.uint64), np.full(size, self.NONE, dtype=np.int32)
+        self.made = np.zeros(max((p >> 20 for p in self.pairs.values()), default=0) + 1, dtype=np.uint64)
+        pairs = np.array(list(self.pairs), dtype=np.uint64)
+        taken: set[int] = set()
+        for slot, pair, p in zip(self._slots(pairs).tolist(), self.pairs, self.pairs.values()):
+            while slot in taken:
+                slot = (slot + 1) % size
+            taken.add(slot)
+            self.keys[slot], self.ranks[slot], self.made[p >> 20] = pair, p >> 20, p & 0xFFFFF
+        self.first, self.final = np.array(self.bytes, dtype=np.uint64), np.array(self.last, dtype=np.uint64)
+
+    def _slots(self, pairs: np.ndarray) -> np.ndarray:
+        return (pairs * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Ranks of the merges of `a` with `b`; NONE where there is none."""
+        pairs = (a << np.uint64(20) | b).ravel()
+        slots = self._slots(pairs)
+        out = self.ranks[slots]
+        on = np.flatnonzero((self.keys[slots] != pairs) & (out != self.NONE))
+        while len(on):  # another pair's slot: on to the next one
+            slots[on] = (slots[on] + 1) % len(self.keys)
+            out[on] = self.ranks[slots[on]]
+            on = on[(self.keys[slots[on]] != pairs[on]) & (out[on] != self.NONE)]
+        return out.reshape(a.shape)
+
+    def merge(self, starts: np.ndarray, lengths: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of many words of `data`: all of them, where each word's begin, how many each has."""
+        at, size, flat, total, low = np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64), [np.zeros(0, dtype=np.uint64)], 0, 0
+        for width in WIDTHS:
+            rows = np.flatnonzero((lengths > low) & (lengths <= width))
+            low = width
+            if len(rows):
+                ids = self._rounds(starts[rows], lengths[rows], data, width)
+                held = ids != self.PAD
+                size[rows] = held.sum(axis=1)
+                at[rows] = total + np.cumsum(size[rows]) - size[rows]
+                flat.append(ids[held])
+                total += len(flat[-1])
+        for k in np.flatnonzero(lengths > low).tolist():
+            flat.append(np.array(self.ids(data[starts[k] : starts[k] + lengths[k]].tobytes()), dtype=np.uint64))
+            at[k], size[k], total = total, len(flat[-1]), total + len(flat[-1])
+        return np.concatenate(flat), at, size
+
+    def _rounds(self, starts: np.ndarray, lengths: np.ndarray, data: np.ndarray, width: int) -> np.ndarray:
+        """A row of symbols for each word, PAD behind them. A round merges the first of the best pairs of every row, so each row that goes on loses one symbol; the others are done."""
+        rows, place = np.arange(len(starts)), np.arange(width)
+        inside = place < lengths[:, None]
+        part = data[np.where(inside, starts[:, None] + place, 0)]
+        symbols = np.where(inside, self.first[part], self.PAD)
+        symbols[rows, lengths - 1] = self.final[part[rows, lengths - 1]]
+        ranks, out = self._ranks(symbols[:, :-1], symbols[:, 1:]), np.full(symbols.shape, self.PAD)
+        while ranks.shape[1]:
+            best = ranks.argmin(axis=1)
+            rank = ranks[np.arange(len(rows)), best]
+            on = rank != self.NONE
+            out[rows[~on], : symbols.shape[1]] = symbols[~on]
+            rows, symbols, ranks, best, rank = rows[on], symbols[on], ranks[on], best[on], rank[on]
+            if not len(rows):
+                return out
+            k = np.arange(len(rows))
+            symbols[k, best] = self.made[rank]
+            symbols, ranks = _without(symbols, best + 1), _without(ranks, best)
+            k = np.flatnonzero(best > 0)
+            ranks[k, best[k] - 1] = self._ranks(symbols[k, best[k] - 1], symbols[k, best[k]])
+            k = np.flatnonzero(best < ranks.shape[1])
+            ranks[k, best[k]] = self._ranks(symbols[k, best[k]], symbols[k, best[k] + 1])
+        out[rows, :1] = symbols
+        return out
 
     def ids(self, word: bytes) -> list[int]:
         part = [self.bytes[b] for b in word]
@@ -113,6 +220,13 @@ class Merger:
         return [x for x, on in zip(part, alive) if on]
 
 
+def _without(matrix: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """Each row without its entry of that column."""
+    keep = np.ones(matrix.shape, dtype=bool)
+    keep[np.arange(len(matrix)), column] = False
+    return matrix[keep].reshape(len(matrix), -1)
+
+
 def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The numbers start .. start + length - 1 of all spans, one after the other."""
     ends = np.cumsum(lengths)
@@ -127,33 +241,14 @@ def _strings(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ends[:-1], np.diff(ends), np.frombuffer(data, dtype=np.uint8) if data else np.zeros(1, dtype=np.uint8)
 
 
-class _Remembered(dict):
-    """Key -> what `make` gives for it; of two generations of CACHE / 2 keys the older one goes when the younger is full."""
-
-    def __init__(self, make):
-        super().__init__()
-        self.make, self.old = make, {}
-
-    def __missing__(self, key: str):
-        out = self.old.get(key)
-        if out is None:
-            out = self.make(key)
-        if len(key) < 64:
-            if len(self) >= CACHE // 2:
-                self.old = dict(self)
-                self.clear()
-            self[key] = out
-        return out
-
-
 class Encoder:
     """Texts to ids and back, as the tokenizers library does for the vocabulary without added special tokens.
 
     A batch is split at white space and its distinct pieces are looked up in the lexicon, all at once. Pieces that are not in it are split into
-    words, and these are looked up, remembered or merged.
+    words, and the distinct ones of these are looked up or merged, all at once again.
     """
 
-    def __init__(self, json_name: str = VOCABULARY, lexicon: Automaton | None = None, library_merges: bool = False):
+    def __init__(self, json_name: str = VOCABULARY, lexicon: Automaton | None = None):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -168,41 +263,44 @@ class Encoder:
         tokens = {i: t for t, i in self.library.get_vocab(with_added_tokens=True).items()}
         self.tokens = pa.array([tokens.get(i, "") for i in range(max(tokens) + 1)])
         self.kind = np.dtype("<u2" if max(tokens) < 1 << 16 else "<u4")
-        self.letter = {2: "H", 4: "I"}[self.kind.itemsize]
-        if library_merges:
-            shown = dict(enumerate(byte_alphabet()))
-            tokenize = self.library.model.tokenize
-            self.words = _Remembered(lambda w: self._pack([t.id for t in tokenize(w.encode().decode("latin-1").translate(shown))]))
-        else:
-            merger = Merger(json_name)
-            self.words = _Remembered(lambda w: self._pack(merger.ids(w.encode())))
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return pack(f"<{len(ids)}{self.letter}", *ids)
-
-    def unseen(self, pieces: list[str]) -> list[bytes]:
-        """Ids (as numbers of `kind`) of pieces that aren't in the lexicon: word by word, first in the lexicon again."""
-        plain = PLAIN.fullmatch
-        split = [([p.lower()] if p.isalpha() else WORDS.findall(p.lower())) if plain(p) else None for p in pieces]
-        known: dict[str, bytes] = {}
+        self.merger = Merger(json_name)
+
+    def unseen(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids (as numbers of `kind`) of pieces that aren't in the lexicon, piece after piece, and how many each has. Words are looked up in the lexicon again."""
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(_strings(pieces)[1] + 1) // AT_ONCE)) + 1).tolist(), len(pieces)]
+        done = [self._unseen(pieces.slice(a, b - a)) for a, b in zip(cuts, cuts[1:])]
+        return np.concatenate([ids for ids, _ in done]), np.concatenate([n for _, n in done])
+
+    def _unseen(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        lines = pieces.to_numpy(zero_copy_only=False).tolist()
+        strange = np.flatnonzero(pc.match_substring_regex(pieces, NOT_PLAIN).to_numpy(zero_copy_only=False))
+        own = [np.array(self.library.encode(lines[k], add_special_tokens=False).ids, dtype=self.kind) for k in strange.tolist()]
+        for k in strange.tolist():
+            lines[k] = ""
+        coded = words_of(lines).dictionary_encode()
+        index, words = coded.indices.to_numpy(), coded.dictionary
+        starts, lengths, data = _strings(words)
+        at, size, table = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64), []
+        miss = np.arange(len(words))
         if self.lexicon:
-            words = list({w for ws in split if ws for w in ws})
-            starts, lengths, data = _strings(pa.array(words, pa.string()))
             ranks = self.lexicon.ranks(starts, lengths, data)
-            hit = ranks >= 0
-            low, high = self.lexicon.offsets[ranks[hit]].astype(np.int64), self.lexicon.offsets[ranks[hit] + 1].astype(np.int64)
-            flat = self.lexicon.ids[spans(low, high - low)].astype(self.kind).tobytes()
-            cuts = [0, *(np.cumsum(high - low) * self.kind.itemsize).tolist()]
-            known = {words[k]: flat[a:b] for k, a, b in zip(np.flatnonzero(hit).tolist(), cuts, cuts[1:])}
-        get, word, out = known.get, self.words, []
-        for p, ws in zip(pieces, split):
-            if ws is None:
-                out.append(self._pack(self.library.encode(p, add_special_tokens=False).ids))
-            elif len(ws) == 1:
-                out.append(get(ws[0]) or word[ws[0]])
-            else:
-                out.append(b"".join([get(w) or word[w] for w in ws]))
-        return out
+            hit, miss = np.flatnonzero(ranks >= 0), np.flatnonzero(ranks < 0)
+            low = self.lexicon.offsets[ranks[hit]].astype(np.int64)
+            size[hit] = self.lexicon.offsets[ranks[hit] + 1].astype(np.int64) - low
+            at[hit] = np.cumsum(size[hit]) - size[hit]
+            table.append(self.lexicon.ids[spans(low, size[hit])].astype(self.kind))
+        merged, begin, size[miss] = self.merger.merge(starts[miss], lengths[miss], data)
+        at[miss] = begin + sum(map(len, table))
+        table.append(merged.astype(self.kind))
+        end = words.index("\n").as_py()
+        ends = np.flatnonzero(index == end)
+        at, size = at[index], size[index]
+        size[ends] = 0
+        # the library's ids take the place of the line end behind an empty line
+        n_own = np.array([len(x) for x in own], dtype=np.int64)
+        at[ends[strange]], size[ends[strange]] = sum(map(len, table)) + np.cumsum(n_own) - n_own, n_own
+        flat = np.concatenate([*table, *own])[spans(at, size)]
+        return flat, np.diff(np.cumsum(size)[ends], prepend=0)
 
     def _library_only(self, text: str) -> bool:
         return odd(text) or ("<|" in text and any([s in text for s in self.special]))
@@ -222,17 +320,15 @@ class Encoder:
         starts, lengths, data = _strings(coded.dictionary)
         ranks = self.lexicon.ranks(starts, lengths, data) if self.lexicon else np.full(len(starts), -1)
         miss = ranks < 0
-        pieces = coded.dictionary.filter(pa.array(miss)).to_pylist()
-        new = self.unseen(pieces)
+        new, n_new = self.unseen(coded.dictionary.filter(pa.array(miss)))
         if self.lexicon:
             table, offsets = self.lexicon.ids, self.lexicon.offsets.astype(np.int64)
             low, size = offsets[np.maximum(ranks, 0)], np.where(miss, 0, offsets[ranks + 1] - offsets[np.maximum(ranks, 0)])
         else:
             table, low, size = np.zeros(0, dtype=np.int32), np.zeros(len(ranks), dtype=np.int64), np.zeros(len(ranks), dtype=np.int64)
-        n_new = np.array([len(x) for x in new], dtype=np.int64) // self.kind.itemsize
         low[miss], size[miss] = len(table) + np.cumsum(n_new) - n_new, n_new
         # the ids of the batch's distinct pieces, then of all its pieces
-        used = np.concatenate([table[spans(low[~miss], size[~miss])], np.frombuffer(b"".join(new), dtype=self.kind)])
+        used = np.concatenate([table[spans(low[~miss], size[~miss])], new])
         at = np.empty(len(ranks), dtype=np.int64)
         at[~miss] = np.cumsum(size[~miss]) - size[~miss]
         at[miss] = size[~miss].sum() + np.cumsum(n_new) - n_new
@@ -259,9 +355,9 @@ class Encoder:
         return self.decode_batch(np.array(ids, dtype=np.int64), np.array([len(ids)]))[0].as_py()
 
 
-def encoder(json_name: str = VOCABULARY, lexicon_uri: str | None = None, library_merges: bool = False) -> Encoder:
+def encoder(json_name: str = VOCABULARY, lexicon_uri: str | None = None) -> Encoder:
     """That of this worker process; its lexicon is mapped, not copied."""
-    return resident(("bpe", json_name, lexicon_uri, library_merges), lambda: Encoder(json_name, Automaton(open_mapped(lexicon_uri)) if lexicon_uri else None, library_merges))
+    return resident(("bpe", json_name, lexicon_uri), lambda: Encoder(json_name, Automaton(open_mapped(lexicon_uri)) if lexicon_uri else None))
 
 
 def piece_counts(docs: DataFrame) -> DataFrame:
@@ -322,7 +418,8 @@ def build_lexicon(docs: DataFrame, json_name: str = VOCABULARY, size: int = LEXI
     found = sorted({*most_frequent(pieces, "piece", size), *most_frequent(words, "word", size)})
     small_batches(spark)
     plain = Encoder(json_name)
-    ids = [np.frombuffer(x, dtype=plain.kind).tolist() for x in plain.unseen(found)]
+    flat, counts = plain.unseen(pa.array(found, pa.string()))
+    ids = [x.tolist() for x in np.split(flat, np.cumsum(counts)[:-1])] if found else []
     return publish(spark, "lexicon", compile_words([w.encode() for w in found], ids))
 
 
