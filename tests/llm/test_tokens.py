@@ -139,6 +139,14 @@ def test_unseen_pieces_in_slices(words, monkeypatch):
     same_as_library(words, ["", " ".join(made_up(300)), "日本 " * 3 + "x" * 120 + " 😀", "x" * 49, "y" * 50 + " z"])
 
 
+def test_batches_without_unseen_words(words):
+    known = ["the", "cat"]
+    lexicon = A.Automaton(memoryview(A.compile_words([w.encode() for w in known], [words.library.encode(w, add_special_tokens=False).ids for w in known])))
+    e = B.Encoder(B.VOCABULARY, lexicon)
+    for texts in ([], [None, ""], ["the cat", "cat"], ["the cats", None, "日本 the", "THE cat"]):
+        same_as_library(e, texts)
+
+
 def test_unseen_words_are_merged_together(words):
     """Merging the words that no lexicon holds takes well under the CPU time of the library, word by word or text by text."""
     ours, theirs = [], []
