@@ -101,6 +101,14 @@ def test_dense_group_in_blocks(spark):
         assert all(len(v) == 1 for v in got.values()) and len(got) == len(set(want))
 
 
+def test_keys_are_never_broadcast(spark, capsys):
+    """A fingerprint becomes a hundred keys, which Spark sizes as a few: under its own threshold it would broadcast them all."""
+    frame = spark.range(2000).select(F.xxhash64("id").alias("fp"))
+    S.near_links(frame).explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_components_of_a_long_chain(spark):
     chain = spark.range(0, 3000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     out = C.components(chain)

@@ -234,7 +234,8 @@ def near_links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     # buckets of one fingerprint or one side link nothing; those of very many are cut into blocks, and each pair of blocks is a bucket
     sizes = emitted.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("side").alias("s0"), F.max("side").alias("s1"))
     sizes = sizes.where("n > 1 and (s1 = 0 or s0 <> s1)").select("key", "n")
-    rows = emitted.join(sizes, "key")
+    # Spark sizes both sides as a few rows a fingerprint and would broadcast a hundred times what it expects
+    rows = emitted.hint("merge").join(sizes, "key")
     parts = F.ceil(F.col("n") * 2 / bucket).cast("long")
     mine = F.pmod(F.xxhash64("fp", F.lit(7)), parts)
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), parts - 1), lambda other: F.least(mine, other) * parts + F.greatest(mine, other))
