@@ -139,3 +139,34 @@ def test_lda_finds_planted_topics(spark):
     assert found == {frozenset(t.split()) for t in said}
     by = {r.id: r.topic for r in topics.assign(shares).collect()}
     assert len({by[k] for k in range(0, 40, 2)}) == 1 and by[0] != by[1] and len({by[k] for k in range(1, 40, 2)}) == 1
+
+
+def test_texts_give_the_model_of_their_tokens(spark):
+    """Counted where they are read, also where rows share an id or have none, the texts give the model that rows of tokens give; and documents together that of each alone."""
+    r = random.Random(3)
+    texts = [(k % 37 if k % 11 else None, " ".join(r.choice("aa bb cc dd ee ff éé Gg x 12".split()) for _ in range(r.randrange(0, 60)))) for k in range(90)] + [(500, None), (501, "")]
+    for rows in (texts, [(k, t) for k, (_, t) in enumerate(texts)]):
+        docs = spark.createDataFrame(rows, "id long, text string")
+        terms = topics.tokens(docs)
+        vocab = topics.vocabulary(terms)
+        one, two = fitted(terms, vocab, k=3, iterations=3), variational.fit_texts(docs, 3, iterations=3)
+        for a, b, key in ((one.terms, two.terms, ["topic", "term", "term_id"]), (one.documents, two.documents, ["id", "topic"])):
+            a, b = ({tuple(x[c] for c in key): x.weight for x in t.collect()} for t in (a, b))
+            assert a.keys() == b.keys() and a and all(math.isclose(a[x], b[x], rel_tol=1e-9) for x in a)
+    assert variational.fit_texts(docs.where("id < 0"), 2).terms.count() == 0
+
+
+def test_no_token_is_exchanged(spark):
+    """A few hundred distinct terms said two million times: what is shuffled are counts of terms."""
+    said = spark.range(200).select("id", F.expr("array_join(transform(sequence(1, 10000), i -> concat('w', i % 300)), ' ')").alias("text"))
+    variational_bags = topics.bags(said)
+    assert "Exchange" not in variational_bags._jdf.queryExecution().executedPlan().toString()
+    assert variational_bags.agg(F.sum(F.size("terms")).alias("n")).first().n == 200 * 300
+
+
+def test_documents_at_rest_stay_as_they_are():
+    r = np.random.default_rng(2)
+    beta, counts, gamma = r.random((3, 40, 9)), r.integers(0, 4, (40, 9)).astype(float), r.random((40, 3)) + 0.5
+    together = variational.improved(gamma, counts, beta, 0.4)
+    alone = np.concatenate([variational.improved(gamma[[d]], counts[[d]], beta[:, [d]], 0.4) for d in range(40)])
+    assert np.allclose(together, alone, rtol=1e-12)
